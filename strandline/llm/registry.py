@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": simhash.op3_simhash,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLES: dict[str, str] = {}
