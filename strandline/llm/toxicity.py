@@ -29,7 +29,7 @@ from .labelled import training_rows
 
 BITS_ = 18
 #: Most labelled documents used for fitting, and passes over them.
-SAMPLE = 10000
+SAMPLE = 8000
 EPOCHS = 6
 CUT = 0.3
 
@@ -83,9 +83,14 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, beta: float
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """(slots, weights, intercept) with the slots whose weight isn't zero."""
-    got = training_rows(docs, labels, "toxic", sample).select("doc_id", "y", features_of("text").alias("x")).toPandas()
-    got = got.sort_values("doc_id", kind="stable")  # the same order however Spark deals the rows
-    w, b = ftrl([np.asarray(x, np.int64) for x in got["x"]], got["y"].to_numpy(float), epochs=epochs)
+    got = training_rows(docs, labels, "toxic", sample).select("doc_id", "y", features_of("text").alias("x")).toArrow()
+    got = got.combine_chunks()  # one flat array of slots: the driver holds the sample once, and no Python objects
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")  # the same order however Spark deals the rows
+    x = got["x"].combine_chunks()
+    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else x
+    begin = x.offsets.to_numpy() if len(got) else np.zeros(1, np.int32)
+    slots = x.values.to_numpy() if len(got) else np.zeros(0, np.int32)
+    w, b = ftrl([slots[begin[i] : begin[i + 1]] for i in order], got["y"].to_numpy()[order].astype(float), epochs=epochs)
     at = np.flatnonzero(w)
     return at, w[at], b
 
