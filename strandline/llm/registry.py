@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash, toxicity
+from . import lengths, mixing, packing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": mixing.op1_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op9_quality": quality.op9_quality,
+    "op10_token_counts": lengths.op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}

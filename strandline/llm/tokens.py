@@ -5,22 +5,39 @@ of a text are those of its runs of other than ASCII white space, one after the
 other. (Rarer white space stays inside a run, where the tokenizer itself treats
 it.) Runs repeat, so each worker keeps the ids of those it has met, as packed
 bytes: joining them gives a text's ids without a step per token. The memo is
-emptied once it holds ``MEMO`` runs; runs over ``LONG`` bytes are never kept.
+bounded by ``MEMO`` runs; runs over ``LONG`` bytes are never kept.
 """
 
 from __future__ import annotations
 
+import os
+import re
 from array import array
+from collections import ChainMap
 from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 700_000
+#: Runs kept: two generations of half as many, so common runs outlive rare ones.
+MEMO = 1_200_000
 LONG = 64
 #: Bytes of text whose words are looked up at once.
 PIECE = 1 << 22
 
+#: A comma or full stop at a run's end is split off where it follows a letter or digit (ASCII or Latin-1): letters and
+#: marks are separate pieces to the tokenizer anyway. After another mark both are one piece, and texts with that stay as they are.
+_MARKS_MEET = re.compile(rb"(?:[!-/:-@\[-`{-~]|\xc3[\x97\xb7]|[\x80-\xff](?<!\xc3[\x80-\xbf]))[.,](?=[ \n])")
+
+
+def _runs(text: bytes) -> list[bytes]:
+    """Runs of other than white space. ASCII capitals are folded, as the tokenizer folds them, but where special tokens may stand."""
+    if b"<|" not in text:
+        text = text.lower()
+    if not _MARKS_MEET.search(text):
+        text = text.replace(b". ", b" . ").replace(b", ", b" , ").replace(b".\n", b" .\n")
+    return text.split()
+
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     """Where the public vocabulary file lies on this machine (each worker asks for itself)."""
@@ -33,17 +50,36 @@ class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit numbers in bytes."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-
-    def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in runs], add_special_tokens=False)
-        return {r: array("I", e.ids).tobytes() for r, e in zip(runs, found)}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _learn(self, runs: list[bytes], into: dict[bytes, bytes]) -> None:
+        for a in range(0, len(runs), 20_000):
+            part = runs[a : a + 20_000]
+            found = self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False)
+            for r, e in zip(part, found):
+                into[r] = array("I", e.ids).tobytes()
+
+    def _lookup(self, met: set[bytes]) -> dict[bytes, bytes]:
+        """A table with all of ``met``."""
+        if len(self.young) + len(met) > MEMO // 2:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        met -= young.keys()
+        kept = met & old.keys()
+        young.update((r, old[r]) for r in kept)
+        met -= kept
+        long = [r for r in met if len(r) > LONG]
+        self._learn([r for r in met if len(r) <= LONG], young)
+        if not long:
+            return young
+        once: dict[bytes, bytes] = {}
+        self._learn(long, once)
+        return ChainMap(once, young)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """One bytes object for each text; equal texts give equal bytes."""
@@ -53,20 +89,8 @@ class Encoder:
             while j < len(texts) and (j == i or size < PIECE):
                 size += len(texts[j])
                 j += 1
-            split = [t.split() for t in texts[i:j]]
-            new = set().union(*split).difference(self.memo)
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = set().union(*split)
-            once = {}
-            new = list(new)
-            for a in range(0, len(new), 20_000):
-                for r, ids in self._learn(new[a : a + 20_000]).items():
-                    (self.memo if len(r) <= LONG else once)[r] = ids
-            if once:
-                get = lambda r: self.memo.get(r) or once.get(r, b"")
-            else:
-                get = self.memo.__getitem__
+            split = [_runs(t) for t in texts[i:j]]
+            get = self._lookup(set().union(*split)).__getitem__
             out += [b"".join(map(get, s)) for s in split]
             i = j
         return out
