@@ -20,9 +20,9 @@ CHUNK = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased text.
+#: Words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased text, so capitals are in the class.
 ALNUM = np.zeros(256, bool)
-ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
+ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 #: Words [^\x20\x09-\x0D]+.
 SOLID = np.ones(256, bool)
