@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lengths, mixing, packing, quality, simhash, toxicity
+from . import gif, lengths, licenses, mixing, neighbours, packing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_licenses": licenses.op2_licenses,
     "op3_simhash": simhash.op3_simhash,
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_neighbours": neighbours.op6_neighbours,
+    "op7_gif": gif.op7_gif,
     "op9_quality": quality.op9_quality,
     "op10_token_counts": lengths.op10_token_counts,
 }
