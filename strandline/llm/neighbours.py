@@ -68,6 +68,11 @@ def directions(width: int, dims: int = DIMS, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((width, dims))
 
 
+def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with one vector, summed from the first component on: the same for equal rows, wherever they stand."""
+    return np.cumsum(x * q, axis=1)[:, -1]
+
+
 class Tree:
     """A kd-tree over projected points: halves at the median of the widest coordinate, down to leaves."""
 
@@ -120,7 +125,7 @@ def search(ids: np.ndarray, x: np.ndarray, top: float, q_ids: np.ndarray, q: np.
             at += step
             step = min(step * 2, 32)
             rows = np.concatenate([np.arange(tree.first[i], tree.first[i + 1]) for i in part])
-            score = np.einsum("ij,j->i", x[rows], q[n])
+            score = inner(x[rows], q[n])
             got = ids[rows]
             keep = got != q_ids[n]
             if len(best) >= k:
@@ -171,3 +176,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sure: float = S
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = cut(usable(table(spark, sf_dir, "embeddings")))
     return nearest(v, v.where(F.col("vec_id") % 20 == 0))
+
+
+#: Brute force, with the operator's order of summation.
+ORACLE = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, c -> c <> 0)) > 0
+), width AS (
+  SELECT len(v) AS n FROM v GROUP BY len(v) ORDER BY count(*) DESC, n LIMIT 1
+), fine AS (SELECT v.* FROM v JOIN width ON len(v.v) = width.n),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    list_reduce(list_transform(range(1, len(c.v) + 1), i -> c.v[i] * q.v[i]), (a, b) -> a + b) AS score
+  FROM fine q JOIN fine c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""

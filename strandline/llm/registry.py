@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, lengths, licenses, mixing, neighbours, packing, quality, simhash, toxicity
+from . import gif, lengths, licenses, lm, mixing, neighbours, packing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,8 +16,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_neighbours": neighbours.op6_neighbours,
     "op7_gif": gif.op7_gif,
+    "op8_language_model": lm.op8_language_model,
     "op9_quality": quality.op9_quality,
     "op10_token_counts": lengths.op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_neighbours": neighbours.ORACLE}
