@@ -183,13 +183,13 @@ ORACLE = """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, c -> c <> 0)) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
 ), width AS (
   SELECT len(v) AS n FROM v GROUP BY len(v) ORDER BY count(*) DESC, n LIMIT 1
 ), fine AS (SELECT v.* FROM v JOIN width ON len(v.v) = width.n),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-    list_reduce(list_transform(range(1, len(c.v) + 1), i -> c.v[i] * q.v[i]), (a, b) -> a + b) AS score
+    list_reduce(list_transform(range(1, len(c.v) + 1), lambda i: c.v[i] * q.v[i]), lambda a, b: a + b) AS score
   FROM fine q JOIN fine c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
