@@ -37,7 +37,7 @@ from .common import table
 
 BLOCK = 16
 PERIOD = 4096
-BUCKET = 16_384
+BUCKET = 4096
 #: Default target weights are sizes to this power: large sources are held back, small ones come sooner.
 TEMPER = 0.5
 
@@ -103,7 +103,7 @@ def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], period: in
 _KEY = "__mix_key"
 _PLAN = T.StructType(
     [T.StructField("source_key", T.StringType())]
-    + [T.StructField("plan", T.ArrayType(T.StructType([T.StructField("slots", T.ArrayType(T.IntegerType()))] + [T.StructField(c, T.LongType()) for c in ("phase", "first", "share", "span", "base")])))]
+    + [T.StructField("__mix_plan", T.ArrayType(T.StructType([T.StructField("slots", T.ArrayType(T.IntegerType()))] + [T.StructField(c, T.LongType()) for c in ("phase", "first", "share", "span", "base")])))]
 )
 
 
@@ -136,7 +136,7 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     d = d.withColumn("__mix_n", F.row_number().over(inside) - 1).join(offsets, [_KEY, "__mix_bucket"])
     d = d.withColumn("__mix_n", F.col("__mix_n") + F.col("__mix_before")).join(plans.withColumnRenamed("source_key", _KEY), _KEY)
     d = d.withColumn("__mix_block", F.floor(F.col("__mix_n") / block))
-    d = d.withColumn("__mix_p", F.element_at(F.filter("plan", lambda p: p["first"] <= F.col("__mix_block")), -1)).drop("plan")
+    d = d.withColumn("__mix_p", F.element_at(F.filter("__mix_plan", lambda p: p["first"] <= F.col("__mix_block")), -1)).drop("__mix_plan")
     i, p = F.col("__mix_block") - F.col("__mix_p.first"), F.col("__mix_p")
     slot = p["base"] + F.floor(i / p["share"]) * p["span"] + F.get(p["slots"], F.pmod(i, p["share"]).cast("int"))
     mix = F.struct(

@@ -82,9 +82,9 @@ def sum_of_squares(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
     n = 0
     order = np.argsort(-sizes, kind="stable")
     for i, s in zip(order.tolist(), sizes[order].tolist()):
-        # from gap g to g - s: N(g)^2 + N(g-s)^2 changes by 2 (N(g-s) - N(g) + 1); a filled sequence isn't counted
-        gain = open_[s:] - open_[: length + 1 - s]
-        gain[0] = open_[s] + (open_[s] > 0)
+        # from gap g to g - s the squares change by 2 (N(g-s) - N(g) + 1), or by 1 - 2 N(s) where it is filled; both less 2
+        gain = 2 * (open_[s:] - open_[: length + 1 - s])
+        gain[0] += 1
         gain[open_[s:] == 0] = -(1 << 40)
         g = s + int(gain.argmax())
         if open_[g]:
