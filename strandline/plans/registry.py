@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import catalogue, q_enrich, q_graph, q_infer, q_map, q_sources, q_stats  # noqa: F401  (each fills the catalogue)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = catalogue.QUERIES
+ORACLES: dict[str, str] = catalogue.ORACLES
