@@ -39,8 +39,10 @@ from .common import cut, table
 
 DIMS = 8
 SHARD = 8192
-LEAF = 64
-SURE = 0.95
+LEAF = 128
+SURE = 0.9
+#: Scores this much under the k-th are kept until the last, exact sum: faster sums differ in their last bits.
+NEAR = 1e-9
 #: Queries that meet a shard in one task.
 BLOCK = 4096
 
@@ -107,33 +109,40 @@ def search(ids: np.ndarray, x: np.ndarray, top: float, q_ids: np.ndarray, q: np.
     limit = chi_square_quantile(sure, dims)
     projected = q @ way[:-1]
     base = top * top + np.einsum("ij,ij->i", q, q)
+    place, kth = np.arange(len(x)), -math.inf
+    first = tree.first.tolist()
     for n in range(len(q)):
         away = tree.distances(projected[n])
         leaves = np.argsort(away, kind="stable")
-        best_ids, best = np.zeros(0, ids.dtype), np.zeros(0)
+        near = away[leaves]
+        kept_at, kept = np.zeros(0, np.int64), np.zeros(0)
         at, step = 0, 4
         while at < len(leaves):
-            if len(best) >= k:
+            end = min(at + step, len(leaves))
+            if len(kept) >= k:
                 # squared true distance of the k-th: M^2 + |q|^2 - 2 <q, x>
-                d2 = max(base[n] - 2 * best[k - 1], 0.0)
-                part = leaves[at : at + step]
-                part = part[away[part] <= limit * d2 + 1e-9]
-                if not len(part):
+                d2 = max(base[n] - 2 * kth, 0.0)
+                end = min(end, int(np.searchsorted(near, limit * d2 + 1e-9, "right")))
+                if end <= at:
                     break
-            else:
-                part = leaves[at : at + step]
-            at += step
-            step = min(step * 2, 32)
-            rows = np.concatenate([np.arange(tree.first[i], tree.first[i + 1]) for i in part])
-            score = inner(x[rows], q[n])
-            got = ids[rows]
-            keep = got != q_ids[n]
-            if len(best) >= k:
-                keep &= score >= best[k - 1]
-            best_ids, best = np.concatenate([best_ids, got[keep]]), np.concatenate([best, score[keep]])
-            order = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[order], best[order]
-        yield int(q_ids[n]), best_ids, best
+            part = leaves[at:end].tolist()
+            at, step = end, min(step * 2, 64)
+            score = np.concatenate([x[first[i] : first[i + 1]] @ q[n] for i in part])
+            rows = np.concatenate([place[first[i] : first[i + 1]] for i in part])
+            if len(kept) >= k:
+                some = score >= kth - NEAR
+                score, rows = score[some], rows[some]
+            some = ids[rows] != q_ids[n]
+            kept_at, kept = np.concatenate([kept_at, rows[some]]), np.concatenate([kept, score[some]])
+            if len(kept) > k:
+                kth = np.partition(kept, len(kept) - k)[len(kept) - k]
+                some = kept >= kth - NEAR
+                kept_at, kept = kept_at[some], kept[some]
+            elif len(kept) == k:
+                kth = kept.min()
+        best, best_ids = inner(x[kept_at], q[n]) if len(kept_at) else kept, ids[kept_at]
+        order = np.lexsort((best_ids, -best))[:k]
+        yield int(q_ids[n]), best_ids[order], best[order]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
