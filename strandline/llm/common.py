@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows of whole texts sent to a Python worker at once: bounds what JVM and worker hold of them.
+BATCH = "4096"
+
+
 def shipped(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where they see the same path (elsewhere: --py-files)."""
+    """Let Python workers import this package where they see the same path (elsewhere: --py-files), and take ``BATCH`` rows at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)

@@ -20,10 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Runs kept: two generations of half as many, so common runs outlive rare ones.
-MEMO = 1_200_000
+MEMO = 600_000
 LONG = 64
 #: Bytes of text whose words are looked up at once.
-PIECE = 1 << 22
+PIECE = 1 << 21
 
 #: A comma or full stop at a run's end is split off where it follows a letter or digit (ASCII or Latin-1): letters and
 #: marks are separate pieces to the tokenizer anyway. After another mark both are one piece, and texts with that stay as they are.
