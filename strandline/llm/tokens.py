@@ -16,11 +16,12 @@ from array import array
 from collections import ChainMap
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Runs kept: two generations of half as many, so common runs outlive rare ones.
-MEMO = 600_000
+MEMO = 900_000
 LONG = 64
 #: Bytes of text whose words are looked up at once.
 PIECE = 1 << 21
@@ -30,6 +31,10 @@ PIECE = 1 << 21
 _MARKS_MEET = re.compile(rb"(?:[!-/:-@\[-`{-~]|\xc3[\x97\xb7]|[\x80-\xff](?<!\xc3[\x80-\xbf]))[.,](?=[ \n])")
 
 
+#: Runs of ASCII letters in lower case and Latin-1 letters: no marks, digits or signs.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+
+
 def _runs(text: bytes) -> list[bytes]:
     """Runs of other than white space. ASCII capitals are folded, as the tokenizer folds them, but where special tokens may stand."""
     if b"<|" not in text:
@@ -57,7 +62,30 @@ class Encoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+        # tokens that end a word
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+
     def _learn(self, runs: list[bytes], into: dict[bytes, bytes]) -> None:
+        """Runs of letters alone are one word each to the tokenizer: many are encoded as one text and parted at the ends of words."""
+        words, rest = [], []
+        for r in runs:
+            (words if _LETTERS(r) else rest).append(r)
+        for a in range(0, len(words), 4000):
+            part = words[a : a + 4000]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            end = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(end) != len(part):
+                rest += part
+                continue
+            body, at = ids.tobytes(), 0
+            for r, e in zip(part, end.tolist()):
+                into[r] = body[at:e]
+                at = e
+        self._learn_each(rest, into)
+
+    def _learn_each(self, runs: list[bytes], into: dict[bytes, bytes]) -> None:
         for a in range(0, len(runs), 20_000):
             part = runs[a : a + 20_000]
             found = self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False)
