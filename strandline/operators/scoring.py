@@ -201,9 +201,9 @@ def composite_anchor(g: Graph, pathways: list[str], genes: list[str], mets: list
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison and show; operators never round."""
+    """Doubles rounded for comparison and show, zero without a sign; operators never round."""
     def c(name: str, kind: str) -> Column:
-        return F.round(F.col(name), digits).alias(name) if kind == "double" else F.col(name)
+        return (F.round(F.col(name), digits) + F.lit(0.0)).alias(name) if kind == "double" else F.col(name)
 
     return df.select(*(c(n, k) for n, k in df.dtypes))
 

@@ -250,9 +250,9 @@ def branch_points(spark, sf):
 
 @query("""
 SELECT node_id, round(sum(effect_size * confidence) / count(*), 6) AS net_effect, count(*) AS n_records
-FROM (SELECT 'met:' || l_partkey AS node_id, l_discount - 0.05 AS effect_size, 1 - l_tax AS confidence FROM lineitem) GROUP BY node_id
+FROM (SELECT 'met:' || l_partkey AS node_id, CAST(round(l_discount * 100) AS BIGINT) - 5 AS effect_size, CAST(round(l_tax * 100) AS BIGINT) AS confidence FROM lineitem) GROUP BY node_id
 """)
 def evidence_net_effect(spark, sf):
     li = demo.read(spark, sf, "lineitem")
-    e = li.select(F.concat(F.lit("met:"), "l_partkey").alias("node_id"), (F.col("l_discount") - 0.05).alias("effect_size"), (1 - F.col("l_tax")).alias("confidence"))
-    return sc.rounded(sc.net_effect(sc.evidence_table(e)))
+    e = li.select(F.concat(F.lit("met:"), "l_partkey").alias("node_id"), (F.round(F.col("l_discount") * 100).cast("long") - 5).alias("effect_size"), F.round(F.col("l_tax") * 100).cast("long").alias("confidence"))
+    return sc.rounded(sc.net_effect(e))

@@ -70,7 +70,7 @@ r0 AS (SELECT node_id, 1.0 / n AS rank FROM v, c)"""
 r{i + 1} AS (SELECT v.node_id, 0.15 / c.n + 0.85 * (coalesce(x.s, 0.0) + l.loose / c.n) AS rank FROM v CROSS JOIN c CROSS JOIN
   (SELECT coalesce(sum(r.rank), 0.0) AS loose FROM r{i} r LEFT JOIN dg ON dg.src = r.node_id WHERE dg.src IS NULL) l
   LEFT JOIN (SELECT b.dst, sum(r.rank / dg.deg) AS s FROM b JOIN r{i} r ON r.node_id = b.src JOIN dg ON dg.src = b.src GROUP BY 1) x ON x.dst = v.node_id)"""
-    return sql + f"\nSELECT node_id, round(rank, 9) AS rank FROM r{n}"
+    return sql + f"\nSELECT node_id, round(rank, 7) AS rank FROM r{n}"
 
 
 @query(_rounds(6))
@@ -78,7 +78,7 @@ def pagerank_fixed(spark, sf):
     g = demo.graph(spark, sf)
     e = g.edges.where("rel = 'disease_gene'").select("src", "dst")
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return sc.rounded(it.pagerank(g.of_type("gene", "disease"), both, fixed=6), 9)
+    return sc.rounded(it.pagerank(g.of_type("gene", "disease"), both, fixed=6), 7)
 
 
 @query("""
