@@ -23,7 +23,7 @@ def bh(df: DataFrame, p: str = "p_value", q: str = "fdr", within: list[str] | No
     up = fam.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)
     d = df.withColumn("__n", F.count(p).over(fam)).withColumn("__r", F.count("*").over(fam.orderBy(p).rangeBetween(Window.unboundedPreceding, 0)))
     raw = F.col(p) * F.col("__n") / F.col("__r")
-    return d.withColumn("__raw", raw).withColumn(q, F.least(F.lit(1.0), F.min("__raw").over(up))).drop("__n", "__r", "__raw")
+    return d.withColumn("__raw", raw).withColumn(q, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__raw").over(up)))).drop("__n", "__r", "__raw")
 
 
 def average_rank(value: str, keys: list[str]) -> Column:

@@ -18,12 +18,13 @@ def read_node_link(spark: SparkSession, path: str) -> Graph:
     n = d.select(F.explode("nodes").alias("n")).select("n.*").withColumnRenamed("id", "node_id")
     n = n.withColumn("node_id", F.col("node_id").cast("string"))
     e = d.select(F.posexplode(key).alias("seq", "e")).select("seq", "e.*")
-    e = e.withColumnsRenamed({"source": "src", "target": "dst"}).withColumns({"src": F.col("source").cast("string"), "dst": F.col("target").cast("string")} if "source" in e.columns else {})
+    e = e.withColumnsRenamed({"source": "src", "target": "dst"})
+    e = e.withColumns({c: F.col(c).cast("string") for c in ("src", "dst")})
     have = [F.col(c) for c in ("role", "edge_type") if c in e.columns]
     e = e.withColumn("rel", F.lower(F.coalesce(*have, F.lit(""))))
     w = Window.partitionBy("src", "dst").orderBy(F.desc("seq"))
     e = e.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "seq")
-    return Graph(n, e.select("src", "dst", "rel", *(c for c in e.columns if c not in ("src", "dst", "rel", "source", "target"))))
+    return Graph(n, e.select("src", "dst", "rel", *(c for c in e.columns if c not in ("src", "dst", "rel"))))
 
 
 def write_node_link(g: Graph, path: str) -> None:
@@ -74,11 +75,14 @@ def read_graphml(spark: SparkSession, path: str, lists: tuple[str, ...] = ("ec_n
     keys = {r["i"]: (r["f"], r["n"]) for r in xml("key").schema("_id string, _for string, `_attr.name` string").load(path).select(F.col("_id").alias("i"), F.col("_for").alias("f"), F.col("`_attr.name`").alias("n")).collect()}
     data = "data array<struct<_key:string,value:string>>"
 
+    def value(key: str):
+        held = F.filter("data", lambda d: d["_key"] == key)
+        return F.nullif(F.get(F.transform(held, lambda d: d["value"]), F.lit(0)), F.lit(""))
+
     def columns(part: str):
         for i, (f, name) in keys.items():
             if f == part:
-                v = F.nullif(F.get(F.transform(F.filter("data", lambda d, i=i: d["_key"] == i), lambda d: d["value"]), F.lit(0)), F.lit(""))
-                yield (F.split(v, r"\|") if name in lists else v).alias(name)
+                yield (F.split(value(i), r"\|") if name in lists else value(i)).alias(name)
 
     n = xml("node").schema(f"_id string, {data}").load(path).select(F.col("_id").alias("node_id"), *columns("node"))
     e = xml("edge").schema(f"_source string, _target string, {data}").load(path).select(F.col("_source").alias("src"), F.col("_target").alias("dst"), *columns("edge"))
