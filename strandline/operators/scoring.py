@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph, flag, top_per
+from .iterate import cut
 
 
 def evidence_table(df: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def score_reactions(g: Graph, evidence: DataFrame, min_evidence: int = 1, detail
 def summarise_pathways(g: Graph, scores: DataFrame, top: int = 5) -> DataFrame:
     """Per pathway: reactions, mean, median, sample deviation (0 of one), mean direction, share of the mean's sign, evidence, the top reactions."""
     member = g.of_type("reaction").select(F.col("node_id").alias("reaction_id"), F.explode("pathways").alias("pathway_id"))
-    s = scores.join(member, "reaction_id")
+    s = cut(scores.join(member, "reaction_id"))  # for the figures, and for the top reactions
     stats = s.groupBy("pathway_id").agg(
         F.count("*").alias("n_reactions"),
         F.avg("score").alias("mean_score"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..operators.iterate import cut
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -55,7 +56,8 @@ def graph(spark: SparkSession, sf: str) -> Graph:
     )
     cat = li.select(F.concat(F.lit("gene:"), "l_suppkey").alias("src"), order.alias("dst")).distinct().withColumn("rel", F.lit("catalysis"))
     dg = s.select(F.concat(F.lit("dis:"), "s_nationkey").alias("src"), F.concat(F.lit("gene:"), "s_suppkey").alias("dst"), F.lit("disease_gene").alias("rel"))
-    return Graph(rxn.unionByName(met).unionByName(gene).unionByName(dis), e.unionByName(cat).unionByName(dg))
+    # operators read the edges several times, as they would from a bundle: they are laid down once
+    return Graph(rxn.unionByName(met).unionByName(gene).unionByName(dis), cut(e.unionByName(cat).unionByName(dg)))
 
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
