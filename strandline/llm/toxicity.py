@@ -17,6 +17,8 @@ of empty text; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +31,7 @@ from .labelled import training_rows
 
 BITS_ = 18
 #: Most labelled documents used for fitting, and passes over them.
-SAMPLE = 8000
+SAMPLE = 16_000
 EPOCHS = 6
 CUT = 0.3
 
@@ -81,21 +83,41 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0, beta: float
     return w[:size], float(w[size])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(slots, weights, intercept) with the slots whose weight isn't zero."""
-    got = training_rows(docs, labels, "toxic", sample).select("doc_id", "y", features_of("text").alias("x")).toArrow()
-    got = got.combine_chunks()  # one flat array of slots: the driver holds the sample once, and no Python objects
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")  # the same order however Spark deals the rows
-    x = got["x"].combine_chunks()
-    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else x
-    begin = x.offsets.to_numpy() if len(got) else np.zeros(1, np.int32)
-    slots = x.values.to_numpy() if len(got) else np.zeros(0, np.int32)
-    w, b = ftrl([slots[begin[i] : begin[i + 1]] for i in order], got["y"].to_numpy()[order].astype(float), epochs=epochs)
-    at = np.flatnonzero(w)
-    return at, w[at], b
+Model = tuple[np.ndarray, np.ndarray, float]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> Model:
+    """(slots, weights, intercept) with the slots whose weight isn't zero.
+
+    Features are made where the documents are; one task takes the sample's steps, as
+    each depends on the last, and only its short list of weights comes to the driver.
+    """
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, y, size, slots = [], [], [], []
+        for b in batches:
+            x = b.column("x")
+            ids.append(b.column("doc_id").to_numpy())
+            y.append(b.column("y").to_numpy())
+            size.append(np.diff(x.offsets.to_numpy()))
+            slots.append(x.flatten().to_numpy())
+        if not ids:
+            return
+        ids, y, size, slots = map(np.concatenate, (ids, y, size, slots))
+        begin = np.concatenate([[0], np.cumsum(size)])
+        order = np.lexsort((size, ids))  # the same order however Spark deals the rows
+        w, b = ftrl([slots[begin[i] : begin[i + 1]] for i in order], y[order].astype(float), epochs=epochs)
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()]), pa.array([w[at].tobytes()]), pa.array([b])], ["at", "w", "b"])
+
+    rows = training_rows(docs, labels, "toxic", sample).select("doc_id", "y", features_of("text").alias("x"))
+    got = rows.repartition(1).mapInArrow(train, "at binary, w binary, b double").collect()
+    if not got:
+        return np.zeros(0, np.int64), np.zeros(0), 0.0
+    return np.frombuffer(got[0]["at"], np.int64), np.frombuffer(got[0]["w"]), float(got[0]["b"])
 
 
-def scorer(model: tuple[np.ndarray, np.ndarray, float]):
+def scorer(model: Model):
     """An Arrow function from texts to scores."""
     at, weights, b = model
 
