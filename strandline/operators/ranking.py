@@ -19,29 +19,31 @@ def rank_chains(g: Graph, scores: DataFrame, evidence: DataFrame, decay: float =
     """
     s = cut(scores.where(F.abs("score") >= least).select("reaction_id", F.abs("score").alias("base")))  # used five times
     e = g.edges.select("src", "dst", "rel")
-    cap = lambda d, k: top_per(d, ["reaction_id"], [F.asc("rel"), F.asc("node")], k).drop("rank", "rel")
-    enzymes = cap(e.where("rel = 'catalysis'").select(F.col("dst").alias("reaction_id"), F.col("src").alias("node"), "rel").join(s, "reaction_id", "left_semi"), genes).withColumnRenamed("node", "gene")
-    right = cap(e.where("rel = 'product'").select(F.col("src").alias("reaction_id"), F.col("dst").alias("node"), "rel").join(s, "reaction_id", "left_semi"), mets).withColumnRenamed("node", "met")
-    left = cap(e.where("rel = 'substrate'").select(F.col("dst").alias("reaction_id"), F.col("src").alias("node"), "rel").join(s, "reaction_id", "left_semi"), mets).withColumnRenamed("node", "sub")
+    # what a node adds to any chain: half its degree's logarithm off, and whether it has evidence
+    seen = evidence.select("node_id", F.lit(1).alias("seen")).distinct()
+    info = g.total_degree().join(seen, "node_id", "left").select("node_id", (-0.5 * F.log("degree")).alias("damp"), F.coalesce("seen", F.lit(0)).alias("seen"))
+    info = cut(info.join(g.of_type("reaction").select("node_id"), "node_id", "left_anti"))
+    told = lambda d, c: d.join(info.select(F.col("node_id").alias(c), F.col("damp").alias(f"{c}_d"), F.col("seen").alias(f"{c}_s")), c)
+    cap = lambda d, k, name: told(top_per(d.join(s, "reaction_id", "left_semi"), ["reaction_id"], [F.asc(name)], k).drop("rank"), name)
+    side = lambda rel, rxn, node, name: e.where(F.col("rel") == rel).select(F.col(rxn).alias("reaction_id"), F.col(node).alias(name))
+    enzymes = cap(side("catalysis", "dst", "src", "gene"), genes, "gene")
+    right = cap(side("product", "src", "dst", "met"), mets, "met")
+    left = cap(side("substrate", "dst", "src", "sub"), mets, "sub")
     dis = e.where("rel = 'disease_gene'").select(F.col("src").alias("dis"), F.col("dst").alias("gene"))
-    dis = top_per(dis, ["gene"], [F.asc("dis")], diseases).drop("rank")
+    dis = told(top_per(dis, ["gene"], [F.asc("dis")], diseases).drop("rank"), "dis")
+
+    def chain(d: DataFrame, kind: str, ends: list[str], nodes: list[str]) -> DataFrame:
+        damp, marks = (sum((F.col(f"{c}_{x}") for c in ends[1:]), F.col(f"{ends[0]}_{x}")) for x in ("d", "s"))
+        score = F.col("base") * F.pow(F.lit(decay), len(nodes) - 1) * F.exp(damp) + 0.05 * marks
+        return d.select(F.array(*nodes).alias("path"), F.lit(kind).alias("kind"), score.alias("score"))
+
+    # edges are unique, so no two chains have the same nodes
     gr = s.join(enzymes, "reaction_id").join(right, "reaction_id")
-    paths = [gr.select("base", F.array("gene", "reaction_id", "met").alias("path"), F.lit("gene").alias("kind")), gr.join(dis, "gene").select("base", F.array("dis", "gene", "reaction_id", "met").alias("path"), F.lit("disease").alias("kind"))]
+    p = chain(gr, "gene", ["gene", "met"], ["gene", "reaction_id", "met"]).unionByName(chain(gr.join(dis, "gene"), "disease", ["dis", "gene", "met"], ["dis", "gene", "reaction_id", "met"]))
     if spread:
-        paths.append(s.join(left, "reaction_id").join(right, "reaction_id").where("sub <> met").select("base", F.array("sub", "reaction_id", "met").alias("path"), F.lit("metabolite").alias("kind")))
-    p = paths[0]
-    for x in paths[1:]:
-        p = p.unionByName(x)
-    # degrees and evidence of the nodes of all chains, joined once in long form
-    seen = evidence.select("node_id", F.lit(1).alias("seen")).distinct()
-    info = g.total_degree().join(seen, "node_id", "left")
-    long = p.select("path", "kind", "base", F.posexplode("path").alias("at", "node_id")).join(info, "node_id")
-    damp = F.when(F.col("node_id").startswith("rxn:"), 0.0).otherwise(-0.5 * F.log(F.col("degree")))
-    c = long.groupBy("path", "kind").agg(F.first("base").alias("base"), F.sum(damp).alias("damp"), F.sum(F.coalesce("seen", F.lit(0))).alias("seen"))
-    score = F.col("base") * F.pow(F.lit(decay), F.size("path") - 1) * F.exp("damp") + 0.05 * F.col("seen")
-    c = c.select("path", "kind", score.alias("score")).groupBy("path").agg(F.max_by("kind", "score").alias("kind"), F.max("score").alias("score"))
+        p = p.unionByName(chain(s.join(left, "reaction_id").join(right, "reaction_id").where("sub <> met"), "metabolite", ["sub", "met"], ["sub", "reaction_id", "met"]))
     # sums in different orders differ in their last bits: ties are taken at nine digits
-    best = c.orderBy(F.desc(F.round("score", 9)), "path").limit(most)
+    best = p.orderBy(F.desc(F.round("score", 9)), "path").limit(most)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "path")))
 
 
