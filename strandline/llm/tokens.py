@@ -28,7 +28,7 @@ PIECE = 1 << 21
 
 #: A comma or full stop at a run's end is split off where it follows a letter or digit (ASCII or Latin-1): letters and
 #: marks are separate pieces to the tokenizer anyway. After another mark both are one piece, and texts with that stay as they are.
-_MARKS_MEET = re.compile(rb"(?:[!-/:-@\[-`{-~]|\xc3[\x97\xb7]|[\x80-\xff](?<!\xc3[\x80-\xbf]))[.,](?=[ \n])")
+_MARKS_MEET = re.compile(rb"[.,](?=[ \n])(?<![a-z0-9][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,])")
 
 
 #: Runs of ASCII letters in lower case and Latin-1 letters: no marks, digits or signs.
