@@ -211,14 +211,14 @@ def enzyme_gate(spark, sf):
 
 
 _DRUGS = """
-, drug AS (SELECT 'gene:' || l_suppkey AS gene_id, 'drug:' || l_partkey AS drug_id, max(l_linenumber % 6 - 1) AS max_phase FROM lineitem WHERE l_quantity > 49 GROUP BY 1, 2),
+, drug AS (SELECT 'gene:' || l_suppkey AS gene_id, 'drug:' || l_partkey AS drug_id, max(l_linenumber % 6 - 1) AS max_phase FROM lineitem GROUP BY 1, 2),
 dscore AS (SELECT gene_id, CASE max(max_phase) WHEN 4 THEN 1.0 WHEN 3 THEN 0.75 WHEN 2 THEN 0.55 WHEN 1 THEN 0.3 WHEN 0 THEN 0.1 ELSE 0.05 END AS druggability,
   count(DISTINCT drug_id) AS n_drugs, count(DISTINCT drug_id) FILTER (WHERE max_phase = 4) AS n_approved FROM drug GROUP BY gene_id)
 """
 
 
 def _drugs(spark, sf):
-    li = demo.read(spark, sf, "lineitem").where("l_quantity > 49")
+    li = demo.read(spark, sf, "lineitem")
     return li.groupBy(F.concat(F.lit("gene:"), "l_suppkey").alias("gene_id"), F.concat(F.lit("drug:"), "l_partkey").alias("drug_id")).agg(F.max(F.col("l_linenumber") % 6 - 1).alias("max_phase"))
 
 

@@ -60,14 +60,14 @@ def _chem(spark, sf) -> Graph:
 @query("""
 , linked AS (SELECT DISTINCT b.node_id FROM both_ways b JOIN nodes r ON r.node_id = b.other AND r.node_type = 'reaction'),
 m AS (SELECT node_id, lower(name) AS nk, CAST(split_part(node_id, ':', 2) AS BIGINT) AS k, CASE WHEN l.node_id IS NOT NULL THEN 0 ELSE 2 END AS bucket FROM nodes LEFT JOIN linked l USING (node_id) WHERE node_type = 'metabolite'),
-f AS (SELECT DISTINCT CASE l_partkey % 5 WHEN 0 THEN 'chebi:' || l_partkey WHEN 1 THEN 'HMDB' || (l_partkey - 1) WHEN 2 THEN CAST(l_partkey + 1000000 AS VARCHAR) WHEN 3 THEN 'met:' || l_partkey ELSE 'nothing ' || l_partkey END AS feature_id, l_partkey % 5 AS kind, l_partkey AS p FROM lineitem WHERE l_quantity > 25)
+f AS (SELECT DISTINCT CASE l_partkey % 5 WHEN 0 THEN 'chebi:' || l_partkey WHEN 1 THEN 'HMDB' || (l_partkey - 1) WHEN 2 THEN CAST(l_partkey + 1000000 AS VARCHAR) WHEN 3 THEN 'met:' || l_partkey ELSE 'nothing ' || l_partkey END AS feature_id, l_partkey % 5 AS kind, l_partkey AS p FROM lineitem)
 SELECT f.feature_id, m.node_id, CASE WHEN m.node_id IS NULL THEN NULL WHEN kind = 2 THEN CAST(0.85 AS DOUBLE) ELSE 1.0 END AS confidence, CASE WHEN m.node_id IS NULL THEN NULL ELSE ['chebi', 'hmdb', 'pubchem', 'id', ''][kind + 1] END AS tier
 FROM f LEFT JOIN m ON (kind IN (0, 2, 3) AND m.k = f.p) OR (kind = 1 AND m.k = f.p - 1 AND m.k % 2 = 0)
 """)
 def map_metabolites(spark, sf):
     p = F.col("l_partkey")
     fid = F.when(p % 5 == 0, F.concat(F.lit("chebi:"), p)).when(p % 5 == 1, F.concat(F.lit("HMDB"), p - 1)).when(p % 5 == 2, (p + 1_000_000).cast("string")).when(p % 5 == 3, F.concat(F.lit("met:"), p)).otherwise(F.concat(F.lit("nothing "), p))
-    f = demo.read(spark, sf, "lineitem").where("l_quantity > 25").select(fid.alias("feature_id")).distinct()
+    f = demo.read(spark, sf, "lineitem").select(fid.alias("feature_id")).distinct()
     return rs.map_metabolites(f, rs.metabolite_index(_chem(spark, sf)))
 
 
@@ -83,12 +83,12 @@ def map_genes(spark, sf):
 
 
 @query("""
-WITH x AS (SELECT l_orderkey AS hub, 'chebi:' || l_partkey AS source, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS seq FROM lineitem WHERE l_linenumber <= 2
+WITH x AS (SELECT l_orderkey AS hub, 'chebi:' || l_partkey AS source, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS seq FROM lineitem
   UNION ALL SELECT o_orderkey, 'hmdb:' || o_custkey, 1000000000 + o_orderkey FROM orders)
 SELECT split_part(a.source, ':', 2) AS left_id, arg_min(split_part(b.source, ':', 2), a.hub) AS right_id FROM x a JOIN x b ON a.hub = b.hub WHERE starts_with(a.source, 'chebi:') AND starts_with(b.source, 'hmdb:') GROUP BY 1
 """, demo=False)
 def xref_hub_join(spark, sf):
-    li = demo.read(spark, sf, "lineitem").where("l_linenumber <= 2")
+    li = demo.read(spark, sf, "lineitem")
     x = li.select(F.col("l_orderkey").alias("hub"), F.concat(F.lit("chebi:"), "l_partkey").alias("source"), F.col("l_orderkey").alias("seq"))
     y = demo.read(spark, sf, "orders").select(F.col("o_orderkey").alias("hub"), F.concat(F.lit("hmdb:"), "o_custkey").alias("source"), F.col("o_orderkey").alias("seq"))
     return rs.via_hub(x.unionByName(y), "chebi", "hmdb")

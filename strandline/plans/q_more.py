@@ -13,14 +13,14 @@ from .q_stats import MEASURE, labelled, measure
 
 
 @query("""
-WITH p AS (SELECT CAST(l_linestatus AS VARCHAR) AS tax_a, l_partkey AS gene_a, CASE l_linestatus WHEN 'F' THEN 'O' ELSE 'F' END AS tax_b, l_suppkey AS gene_b FROM lineitem WHERE l_quantity > 30),
+WITH p AS (SELECT CAST(l_linestatus AS VARCHAR) AS tax_a, l_partkey AS gene_a, CASE l_linestatus WHEN 'F' THEN 'O' ELSE 'F' END AS tax_b, l_suppkey AS gene_b FROM lineitem),
 s AS (SELECT * FROM p UNION ALL SELECT tax_b, gene_b, tax_a, gene_a FROM p),
 g AS (SELECT 'F' AS tax_id, p_partkey AS gene_id, 'F' || (p_partkey % 150) AS symbol FROM part UNION ALL SELECT 'O', p_partkey, 'o' || (p_partkey % 150) FROM part)
 SELECT upper(a.symbol) AS symbol, min(b.symbol) AS target_symbol FROM (SELECT DISTINCT gene_a, gene_b FROM s WHERE tax_a = 'F' AND tax_b = 'O') x
 JOIN g a ON a.tax_id = 'F' AND a.gene_id = x.gene_a JOIN g b ON b.tax_id = 'O' AND b.gene_id = x.gene_b GROUP BY 1
 """, demo=False)
 def ortholog_map(spark, sf):
-    li, p = demo.read(spark, sf, "lineitem").where("l_quantity > 30"), demo.read(spark, sf, "part")
+    li, p = demo.read(spark, sf, "lineitem"), demo.read(spark, sf, "part")
     pairs = li.select(F.col("l_linestatus").alias("tax_a"), F.col("l_partkey").alias("gene_a"), F.when(F.col("l_linestatus") == "F", "O").otherwise("F").alias("tax_b"), F.col("l_suppkey").alias("gene_b"))
     gene = lambda t, s: p.select(F.lit(t).alias("tax_id"), F.col("p_partkey").alias("gene_id"), F.concat(F.lit(s), F.col("p_partkey") % 150).alias("symbol"))
     return an.orthologs(pairs, gene("F", "F").unionByName(gene("O", "o")), "F", "O")
@@ -40,8 +40,8 @@ def synonym_union(spark, sf):
 _COMMUNITY = """
 WITH ab AS (SELECT 'tax ' || l_suppkey AS taxon, l_linenumber AS sample_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2),
 tx AS (SELECT taxon, avg(value) AS mean_abundance FROM ab GROUP BY 1),
-ex AS (SELECT 'tax ' || l_suppkey AS taxon, 'm' || (l_partkey % 90) AS vmh_id, l_orderkey AS reaction, CASE l_returnflag WHEN 'R' THEN 'consumes' ELSE 'produces' END AS role, l_discount AS weight FROM lineitem WHERE l_quantity > 45),
-e AS (SELECT 'taxon:tax_' || split_part(taxon, ' ', 2) AS src, 'met:' || substr(vmh_id, 2) AS dst, max(weight) AS weight, CASE WHEN count(DISTINCT role) = 1 THEN any_value(role) ELSE 'bidirectional' END AS role FROM ex JOIN tx USING (taxon) WHERE CAST(substr(vmh_id, 2) AS BIGINT) < 60 GROUP BY 1, 2)
+ex AS (SELECT 'tax ' || l_suppkey AS taxon, 'm' || l_partkey AS vmh_id, l_orderkey AS reaction, CASE l_returnflag WHEN 'R' THEN 'consumes' ELSE 'produces' END AS role, l_discount AS weight FROM lineitem),
+e AS (SELECT 'taxon:tax_' || split_part(taxon, ' ', 2) AS src, 'met:' || substr(vmh_id, 2) AS dst, max(weight) AS weight, CASE WHEN count(DISTINCT role) = 1 THEN any_value(role) ELSE 'bidirectional' END AS role FROM ex JOIN tx USING (taxon) WHERE CAST(substr(vmh_id, 2) AS BIGINT) IN (SELECT p_partkey FROM part WHERE p_size > 12) GROUP BY 1, 2)
 """
 
 
@@ -49,8 +49,8 @@ def _community(spark, sf):
     li = demo.read(spark, sf, "lineitem")
     taxon = F.concat(F.lit("tax "), "l_suppkey")
     ab = li.groupBy(taxon.alias("taxon"), F.col("l_linenumber").alias("sample_id")).agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("value"))
-    ex = li.where("l_quantity > 45").select(taxon.alias("taxon"), F.concat(F.lit("m"), F.col("l_partkey") % 90, F.lit("[e]")).alias("vmh_met"), F.col("l_orderkey").alias("reaction"), F.when(F.col("l_returnflag") == "R", "consumes").otherwise("produces").alias("role"), F.col("l_discount").alias("weight"))
-    vmh = spark.range(60).select(F.concat(F.lit("m"), "id").alias("vmh_id"), F.concat(F.lit("met:"), "id").alias("node_id"))
+    ex = li.select(taxon.alias("taxon"), F.concat(F.lit("m"), "l_partkey", F.lit("[e]")).alias("vmh_met"), F.col("l_orderkey").alias("reaction"), F.when(F.col("l_returnflag") == "R", "consumes").otherwise("produces").alias("role"), F.col("l_discount").alias("weight"))
+    vmh = demo.read(spark, sf, "part").where("p_size > 12").select(F.concat(F.lit("m"), "p_partkey").alias("vmh_id"), F.concat(F.lit("met:"), "p_partkey").alias("node_id"))
     return an.community(ex, ab, vmh)
 
 
@@ -83,14 +83,11 @@ def literature_counts(spark, sf):
 
 
 @query(f"""WITH {MEASURE.strip()},
-big AS (SELECT feature_id FROM measure GROUP BY 1 ORDER BY count(*) DESC, feature_id LIMIT 40),
-r AS (SELECT sample_id, feature_id, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2.0 AS r FROM measure JOIN big USING (feature_id))
-SELECT x.feature_id AS a, y.feature_id AS b, round(corr(x.r, y.r), 6) AS rho FROM r x JOIN r y ON x.sample_id = y.sample_id AND x.feature_id < y.feature_id GROUP BY 1, 2 HAVING count(*) > 2 AND abs(corr(x.r, y.r)) >= 0.5
+r AS (SELECT sample_id, feature_id, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2.0 AS r FROM measure)
+SELECT x.feature_id AS a, y.feature_id AS b, round(corr(x.r, y.r), 6) AS rho FROM r x JOIN r y ON x.sample_id = y.sample_id AND x.feature_id < y.feature_id GROUP BY 1, 2 HAVING count(*) > 2 AND abs(corr(x.r, y.r)) >= 0.5 - 1e-12
 """, demo=False)
 def correlation_edges(spark, sf):
-    m = measure(spark, sf)
-    big = m.groupBy("feature_id").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "feature_id").limit(40).select("feature_id")
-    return sc.rounded(md.correlation_edges(m.join(F.broadcast(big), "feature_id", "left_semi")))
+    return sc.rounded(md.correlation_edges(measure(spark, sf)))
 
 
 @query(f"""WITH {MEASURE.strip()},
@@ -105,28 +102,33 @@ def delong_intervals(spark, sf):
 
 
 @query("""
-WITH m AS (SELECT s_nationkey AS module, s_suppkey AS node_id FROM supplier), p AS (SELECT DISTINCT l_suppkey AS node_id, l_linenumber AS pathway_id FROM lineitem WHERE l_quantity > 48),
+WITH m AS (SELECT s_nationkey AS module, s_suppkey AS node_id FROM supplier), p AS (SELECT DISTINCT l_suppkey AS node_id, l_quantity AS pathway_id FROM lineitem),
 c AS (SELECT module, pathway_id, count(*) AS n FROM m JOIN p USING (node_id) GROUP BY 1, 2), s AS (SELECT module, count(DISTINCT node_id) AS size FROM m GROUP BY 1),
 q AS (SELECT module, n, n / sum(n) OVER (PARTITION BY module) AS p FROM c)
 SELECT module, round(max(n) / any_value(size), 6) AS purity, round(-sum(p * ln(p)), 6) AS entropy FROM q JOIN s USING (module) GROUP BY module
 """, demo=False)
 def module_coherence(spark, sf):
     m = demo.read(spark, sf, "supplier").select(F.col("s_nationkey").alias("module"), F.col("s_suppkey").alias("node_id"))
-    p = demo.read(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("node_id"), F.col("l_linenumber").alias("pathway_id")).distinct()
+    p = demo.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("node_id"), F.col("l_quantity").alias("pathway_id")).distinct()
     return sc.rounded(md.coherence(m, p)).select("module", "purity", F.when(F.col("entropy") == 0, 0.0).otherwise(F.col("entropy")).alias("entropy"))
 
 
+def _by_brand(spark, sf):
+    """All measurements, summed over the brand of the part; blocks are the sizes' halves, cohorts fifths of the nations."""
+    p = demo.read(spark, sf, "part").select(F.col("p_partkey").alias("feature_id"), "p_brand", F.when(F.col("p_size") > 25, "large").otherwise("small").alias("block"))
+    d = labelled(spark, sf).join(p, "feature_id")
+    keys = [(F.col("cohort") % 5).alias("cohort"), "block", "sample_id", F.concat("block", F.lit(":"), "p_brand").alias("feature_id")]
+    return d.groupBy(*keys).agg(F.sum("value").alias("value"), F.first("is_case").alias("is_case"))
+
+
 @query(None)
 def plsda_loadings(spark, sf):
-    d = labelled(spark, sf).withColumn("cohort", F.col("cohort") % 5)
-    big = d.groupBy("feature_id").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "feature_id").limit(50).select("feature_id")
-    return md.plsda(d.join(F.broadcast(big), "feature_id", "left_semi"), ["cohort"])
+    return md.plsda(_by_brand(spark, sf), ["cohort"])
 
 
 @query(None)
 def multiblock_loadings(spark, sf):
-    d = labelled(spark, sf).where("feature_id < 80").withColumn("block", F.when(F.col("feature_id") % 2 == 0, "even").otherwise("odd")).withColumn("cohort", F.lit(0))
-    return md.multiblock(d, ["cohort"], keep=10)
+    return md.multiblock(_by_brand(spark, sf), ["cohort"], keep=10)
 
 
 @query(None)
@@ -139,5 +141,5 @@ def matched_null(spark, sf):
 
 @query(None)
 def loo_stability(spark, sf):
-    e = demo.read(spark, sf, "embeddings").where("label = 0").select(F.col("vec_id").alias("patient_id"), F.posexplode("embedding").alias("node", "value"))
+    e = demo.read(spark, sf, "embeddings").select(F.col("vec_id").alias("patient_id"), F.posexplode("embedding").alias("node", "value"))
     return md.loo_stability(e.withColumn("value", F.col("value").cast("double")))

@@ -29,7 +29,7 @@ def score_from_tables(spark, sf):
 
 
 @query("""
-, d AS (SELECT node_id AS start FROM nodes WHERE starts_with(node_id, 'dis:1')), h1 AS (SELECT DISTINCT b.other AS x FROM d JOIN both_ways b ON b.node_id = d.start), h2 AS (SELECT DISTINCT b.other AS x FROM h1 JOIN both_ways b ON b.node_id = h1.x),
+, d AS (SELECT node_id AS start FROM nodes WHERE node_type = 'disease'), h1 AS (SELECT DISTINCT b.other AS x FROM d JOIN both_ways b ON b.node_id = d.start), h2 AS (SELECT DISTINCT b.other AS x FROM h1 JOIN both_ways b ON b.node_id = h1.x),
 near AS (SELECT start AS x FROM d UNION SELECT x FROM h1 UNION SELECT x FROM h2),
 direct AS (SELECT node_id FROM nodes WHERE node_type = 'metabolite' AND node_id IN (SELECT x FROM near)),
 rx AS (SELECT node_id, unnest(pathways) AS p FROM nodes WHERE node_type = 'reaction'), pa AS (SELECT DISTINCT p FROM rx WHERE node_id IN (SELECT x FROM near)),
@@ -39,7 +39,7 @@ FROM direct FULL JOIN ex ON direct.node_id = ex.node_id
 """)
 def reach_from_disease(spark, sf):
     g = demo.graph(spark, sf)
-    return score.metabolites_for_diseases(g, g.of_type("disease").where("startswith(node_id, 'dis:1')"))
+    return score.metabolites_for_diseases(g, g.of_type("disease"))
 
 
 @query("""
@@ -108,6 +108,7 @@ def transition_matrix(spark, sf):
 
 @query(None)
 def sample_posteriors(spark, sf):
-    m = measure(spark, sf).join(cases(spark, sf).where("sample_id < 40"), "sample_id")
+    """A sample is a nation: the mean over all its customers."""
+    m = measure(spark, sf).join(cases(spark, sf), "sample_id").groupBy(F.col("cohort").alias("sample_id"), "feature_id").agg(F.avg("value").alias("value"))
     v = m.select("sample_id", "feature_id", (F.col("value") / 1e6).alias("value"), F.concat(F.lit("met:"), "feature_id").alias("node_id"), F.lit("metabolomics").alias("assay"))
     return score.score_samples(demo.graph(spark, sf), v, ["metabolite", "reaction", "gene"], hub_cap=200)
