@@ -1,7 +1,7 @@
 """A gated recurrent language model in numpy: class-factored softmax, truncated backpropagation.
 
-Words are of two kinds. *Frequent* words (the commonest of the fitting sample, and
-the end mark) have input rows of their own and lie in classes of about equal mass;
+Words are of two kinds. *Frequent* words (the commonest of the training documents,
+and the end mark) have input rows of their own and lie in classes of about equal mass;
 in such a class a softmax over the state chooses the word. All other words fall
 into classes by their last byte and length; in such a class words have the
 probabilities of the whole corpus's counts, (c + 0.5) / (N + 0.5 (V + 1)) over the
@@ -60,8 +60,12 @@ class Vocabulary(NamedTuple):
 
 
 def vocabulary(h: np.ndarray, documents: int, most: int = FREQUENT, classes: int = CLASSES) -> Vocabulary:
-    """From the hashes of all words of the fitting sample."""
-    value, count = np.unique(h, return_counts=True)
+    """From the hashes of all words of the documents."""
+    return vocabulary_of(*np.unique(h, return_counts=True), documents, most, classes)
+
+
+def vocabulary_of(value: np.ndarray, count: np.ndarray, documents: int, most: int = FREQUENT, classes: int = CLASSES) -> Vocabulary:
+    """From distinct words (hashes, ascending) and their counts, the ``most`` commonest at least."""
     top = np.sort(np.lexsort((value, -count))[:most])
     value, count = value[top], np.append(count[top], max(documents, 1))
     order = np.argsort(-count, kind="stable")
@@ -92,6 +96,7 @@ class Model:
     def by_class(self) -> None:
         self.members = [np.flatnonzero(self.v.classes == c) for c in range(CLASSES)]
         self.place = np.zeros(self.v.end + 1, np.int64)
+        self.rank = np.argsort(self.v.classes, kind="stable")  # words by class
         # classes without words take no probability
         self.closed = np.array([0 if len(m) else -1e9 for m in self.members] + [0] * RARE, np.float32)
         for m in self.members:
@@ -113,47 +118,67 @@ class Model:
 
     def output(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of ``ids`` (of others' classes: of the class alone); with ``grads``, gradients of their sum too."""
-        p = self.p
+        # rows by class; softmaxes lie in columns, which numpy reduces faster
+        p, n = self.p, len(ids)
         c = self.class_of(ids)
-        a = h @ p["cw"] + p["cb"] + self.closed
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        s = e.sum(1)
-        row = np.arange(len(ids))
-        out = a[row, c] - np.log(s)
+        order = np.argsort(c.astype(np.int8), kind="stable")
+        c, ids, h = c[order], ids[order], h[order]
+        row = np.arange(n)
+        e = p["cw"].T @ h.T
+        e += (p["cb"] + self.closed)[:, None]
+        e -= e.max(0)
+        got = e[c, row]
+        np.exp(e, out=e)
+        s = e.sum(0)
+        got -= np.log(s)
         dh = None
         if grads is not None:
-            d = -e / s[:, None]
-            d[row, c] += 1
-            grads["cw"] += h.T @ d
-            grads["cb"] += d.sum(0)
-            dh = d @ p["cw"].T
-        order = np.argsort(c, kind="stable")
-        at = np.searchsorted(c[order], np.arange(CLASSES + 1))
+            e /= -s
+            e[c, row] += 1
+            grads["cw"] += (e @ h).T
+            grads["cb"] += e.sum(1)
+            dh = (p["cw"] @ e).T
+            gw, gb = np.zeros_like(p["ww"]), np.zeros_like(p["wb"])
+        ww, wb, place = p["ww"][self.rank], p["wb"][self.rank], self.place[np.minimum(ids, self.v.end)]
+        at, end = np.searchsorted(c, np.arange(CLASSES + 1)).tolist(), 0
         for k in range(CLASSES):
-            part, m = order[at[k] : at[k + 1]], self.members[k]
-            if not len(part) or len(m) < 2:
+            lo, hi, size = at[k], at[k + 1], len(self.members[k])
+            first, end = end, end + size
+            if lo == hi or size < 2:
                 continue
-            hk = h[part]
-            a = hk @ p["ww"][m].T + p["wb"][m]
-            a -= a.max(1, keepdims=True)
-            e = np.exp(a)
-            s = e.sum(1)
-            row, col = np.arange(len(part)), self.place[ids[part]]
-            out[part] += a[row, col] - np.log(s)
+            hk, wk, col = h[lo:hi], ww[first:end], place[lo:hi]
+            e = wk @ hk.T
+            e += wb[first:end, None]
+            e -= e.max(0)
+            row = np.arange(hi - lo)
+            got[lo:hi] += e[col, row]
+            np.exp(e, out=e)
+            s = e.sum(0)
+            got[lo:hi] -= np.log(s)
             if grads is not None:
-                d = -e / s[:, None]
-                d[row, col] += 1
-                grads["ww"][m] += d.T @ hk
-                grads["wb"][m] += d.sum(0)
-                dh[part] += d @ p["ww"][m]
+                e /= -s
+                e[col, row] += 1
+                gw[first:end] = e @ hk
+                gb[first:end] = e.sum(1)
+                dh[lo:hi] += (wk.T @ e).T
+        out = np.empty_like(got)
+        out[order] = got
+        if grads is not None:
+            grads["ww"][self.rank] += gw
+            grads["wb"][self.rank] += gb
+            back = np.empty_like(dh)
+            back[order] = dh
+            dh = back
         return out, dh
 
-    def fit(self, docs: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.01, streams: int = STREAMS, window: int = WINDOW) -> list[float]:
-        """Truncated backpropagation over windows of streams of documents; the state passes from window to window and is cleared where a document begins. Mean log10 by epoch."""
+    def fit(self, docs: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.01, streams: int = STREAMS, window: int = WINDOW, moments: list | None = None) -> list[float]:
+        """Truncated backpropagation over windows of streams of documents; the state passes from window to window and is cleared where a document begins. Mean log10 by epoch.
+
+        The rate falls to the end, unless ``moments`` (empty at first, kept from call to call) are given: then it stays.
+        """
         k, p, said = self.units, self.p, []
-        m1, m2 = ({n: np.zeros_like(a) for n, a in p.items()} for _ in range(2))
-        count, total_steps = 0, None
+        m1, m2, count = moments or (*({n: np.zeros_like(a) for n, a in p.items()} for _ in range(2)), 0)
+        total_steps = None
         for epoch in range(epochs):
             order = np.random.default_rng(epoch).permutation(len(docs))
             if not len(order):
@@ -170,32 +195,38 @@ class Model:
             total_steps = total_steps or epochs * -(-steps // window)
             sums = 0.0
             for a in range(0, steps, window):
-                hs, kept = [], []
-                for t in range(a, min(a + window, steps)):
-                    h = h * ~first[t][:, None]
-                    nxt, z, r, n, c = self.step(p["x"][before[t]], h)
-                    kept.append((h, z, r, n, c))
-                    h = nxt
-                    hs.append(h)
-                size = len(hs)
+                size = min(window, steps - a)
+                x, fresh = p["x"][before[a : a + size]], ~first[a : a + size, :, None]
+                h0, z, r, n, c, hs = (np.empty((size, width, k), np.float32) for _ in range(6))
+                for t in range(size):
+                    h0[t] = h * fresh[t]
+                    h, z[t], r[t], n[t], c[t] = self.step(x[t], h0[t])
+                    hs[t] = h
                 g = {n: np.zeros_like(v) for n, v in p.items()}
-                out, dhs = self.output(np.concatenate(hs), ids[a : a + size].reshape(-1), g)
+                out, dhs = self.output(hs.reshape(-1, k), ids[a : a + size].reshape(-1), g)
                 sums += float(out.sum())
                 dhs = dhs.reshape(size, width, k)
-                back, dxs = np.zeros((width, k), np.float32), []
+                # what a state's gradient is multiplied with, for all steps at once
+                to_n, to_z, to_r = (1 - z) * (1 - n * n), (h0 - n) * z * (1 - z), c * r * (1 - r)
+                back, da, dx, ut = np.zeros((width, k), np.float32), np.empty_like(x), np.empty_like(x), np.ascontiguousarray(p["u"].T)
                 for t in range(size - 1, -1, -1):
-                    h0, z, r, n, c = kept[t]
-                    d = dhs[t] + back
-                    dn = d * (1 - z) * (1 - n * n)
-                    dz = d * (h0 - n) * z * (1 - z)
-                    dr = dn * c * r * (1 - r)
-                    da = np.concatenate([dz, dr, dn * r], 1)
-                    g["u"] += h0.T @ da
-                    back = (d * z + da @ p["u"].T) * ~first[a + t][:, None]
-                    dxs.append(np.concatenate([dz, dr, dn], 1))
-                np.add.at(g["x"], before[a : a + size][::-1].reshape(-1), np.concatenate(dxs))
+                    d, to = dhs[t] + back, da[t]
+                    dn = np.multiply(d, to_n[t], out=dx[t, :, 2 * k :])
+                    np.multiply(d, to_z[t], out=to[:, :k])
+                    np.multiply(dn, to_r[t], out=to[:, k : 2 * k])
+                    np.multiply(dn, r[t], out=to[:, 2 * k :])
+                    back = to @ ut
+                    back += d * z[t]
+                    back *= fresh[t]
+                dx[:, :, : 2 * k] = da[:, :, : 2 * k]
+                g["u"] += h0.reshape(-1, k).T @ da.reshape(-1, 3 * k)
+                where = before[a : a + size].reshape(-1)
+                order = np.argsort(where, kind="stable")
+                where = where[order]
+                lead = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+                g["x"][where[lead]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], lead)
                 count += 1
-                speed = rate * max(0.05, 1 - count / total_steps)
+                speed = rate if moments is not None else rate * max(0.05, 1 - count / total_steps)
                 scale = 1.0 / (size * width)
                 for name, v in g.items():
                     v *= scale
@@ -203,6 +234,8 @@ class Model:
                     m2[name] = 0.999 * m2[name] + 0.001 * v * v
                     p[name] += speed * (m1[name] / (1 - 0.9**count)) / (np.sqrt(m2[name] / (1 - 0.999**count)) + 1e-8)
             said.append(sums / (width * steps) / LN10)
+        if moments is not None:
+            moments[:] = m1, m2, count
         return said
 
     def score(self, ids: np.ndarray, first: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -228,8 +261,8 @@ class Model:
                 who.append(m)
             hs, wanted = np.concatenate(hs), np.concatenate(wanted)
             out = np.empty(len(wanted))
-            for c in range(0, len(wanted), 1 << 15):
-                out[c : c + (1 << 15)] = self.output(hs[c : c + (1 << 15)], wanted[c : c + (1 << 15)])[0]
+            for c in range(0, len(wanted), 1 << 13):
+                out[c : c + (1 << 13)] = self.output(hs[c : c + (1 << 13)], wanted[c : c + (1 << 13)])[0]
             at = 0
             for m in who:
                 total[:m] += out[at : at + m]

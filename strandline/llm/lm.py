@@ -1,9 +1,12 @@
 """Scoring documents with a recurrent language model and the whole corpus's word counts.
 
-What is counted covers all documents that aren't held out, and every document is
-scored to its end. The recurrent part (see ``gru``) is fitted on ``SAMPLE`` of
-those documents; that bound is a parameter, and what is broadcast (the model) has
-a fixed size.
+What is counted and learned covers all documents that aren't held out, and every
+document is scored to its end. The frequent words of the recurrent part (see
+``gru``) are chosen by their counts over those documents. Its weights are fitted on
+all of them in rounds: every document falls into one round by a hash, each
+partition goes on from the common weights over its documents of the round, and the
+partitions' weights are averaged by their tokens. What is broadcast (the model) has
+a fixed size, as has what the driver averages.
 
 Counts never leave the executors. Words are 64-bit hashes. A reader turns each
 block of texts into sorted words with the documents they stand in, and sends them
@@ -22,8 +25,9 @@ rows give no rows.
 
 from __future__ import annotations
 
+import copy
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,7 +41,14 @@ from . import gru
 from . import textops as tx
 from .common import cut, held_out, table
 
-SAMPLE = 1500
+ROUNDS = 4
+#: A partition fits about so many tokens at a time.
+FIT_TOKENS = 1 << 19
+#: Corpora of fewer documents are gone through several times, as far as this many are met (``gru.EPOCHS`` times at most).
+LEAST_DOCUMENTS = 6000
+RATE = 0.01
+#: Averages of partitions that the driver gets.
+AVERAGES = 16
 MOD, REST = 5, 1
 #: Bytes of text in a block and, about, behind a bucket.
 BLOCK_BYTES = 1 << 22
@@ -46,31 +57,58 @@ LEAST_BUCKETS = 32
 _COMMON = 255  # in place of a rare class
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> gru.Model:
-    """The recurrent model, from a sample of ``sample`` documents that aren't held out (by a hash of their id).
+_WEIGHTS = "place int, tokens long, weights binary"
 
-    One task fits it: workers have one BLAS thread, which suits small matrices, and
-    the driver only gets the parameters.
-    """
-    ids = docs.where(~held_out("doc_id", MOD, REST) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    ids = ids.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample)
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if parts:
-            rows = pa.Table.from_batches(parts).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fitted(rows["text"]))], pa.binary())], ["model"])
+def averaged(rows: Iterable) -> tuple[int, dict[str, np.ndarray]]:
+    """Tokens, and the mean by tokens of (place, tokens, weights) rows, in order of their places."""
+    total, p = 0, {}
+    for _, n, weights in sorted(rows, key=lambda r: r[0]):
+        total += n
+        for k, a in pickle.loads(weights).items():
+            p[k] = p.get(k, 0) + a.astype(np.float64) * n
+    return total, {k: (a / total).astype(np.float32) for k, a in p.items()}
 
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").repartition(1).mapInArrow(train, "model binary").collect()
-    return pickle.loads(got[0][0]) if got else _fitted(pa.chunked_array([[]], pa.string()))
 
+def one_round(docs: DataFrame, model: gru.Model, r: int, rounds: int, epochs: int) -> DataFrame:
+    """``AVERAGES`` rows at most of weights after round ``r``, averaged over partitions, with the tokens they were fitted on."""
+    rate = RATE * (1 - r / rounds)
 
-def _fitted(text: pa.ChunkedArray) -> gru.Model:
-    h = [gru.words_of(t)[1] for _, _, t in tx.chunks(text)]
-    v = gru.vocabulary(np.concatenate(h) if h else np.zeros(0, np.uint64), len(text))
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, moments, held, size, seen = copy.deepcopy(model), [], [], 0, 0
+        for batch in batches:
+            for i, j, _ in tx.chunks(batch.column("text")):
+                ids, first = token_ids(batch.column("text").slice(i, j - i), mine.v)
+                held += [ids[a:b] for a, b in zip(first[:-1], first[1:])]
+                size += len(ids)
+                if size >= FIT_TOKENS:
+                    mine.fit(held, epochs, rate, moments=moments)
+                    held, size, seen = [], 0, seen + size
+        if held:
+            mine.fit(held, epochs, rate, moments=moments)
+        if seen + size:
+            row = [TaskContext.get().partitionId()], [seen + size], [pickle.dumps(mine.p)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.int32(), pa.int64(), pa.binary()))], ["place", "tokens", "weights"])
+
+    def average(rows: pd.DataFrame) -> pd.DataFrame:
+        n, p = averaged(rows[["place", "tokens", "weights"]].itertuples(index=False))
+        return pd.DataFrame({"place": [int(rows["place"].min())], "tokens": [n], "weights": [pickle.dumps(p)]})
+
+    part = docs.where(F.col("train") & (F.pmod("key", F.lit(rounds)) == r)).select("text").mapInArrow(train, _WEIGHTS)
+    return part.groupBy(F.pmod("place", F.lit(AVERAGES)).alias("to")).applyInPandas(average, _WEIGHTS)
+
+
+def fit(docs: DataFrame, v: gru.Vocabulary, documents: int, rounds: int = ROUNDS) -> gru.Model:
+    """The recurrent model, from all rows with ``train``, of which there are ``documents``.
+
+    Workers have one BLAS thread, which suits small matrices.
+    """
     model = gru.Model(v)
-    ids, first = token_ids(text, v)
-    model.fit([ids[a:b] for a, b in zip(first[:-1], first[1:])])
+    epochs = min(gru.EPOCHS, max(1, -(-LEAST_DOCUMENTS // max(documents, 1))))
+    for r in range(rounds if documents else 0):
+        got = one_round(docs, model, r, rounds, epochs).collect()
+        if got:
+            model.p = averaged(got)[1]
     return model
 
 
@@ -96,14 +134,13 @@ def _wide(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(b) // n] if n else np.uint8).astype(np.int64)
 
 
-_SENT = "bucket int, block long, n_docs int, keys binary, train binary, words binary, rare binary, spread binary, place binary, times binary"
+_SENT = "bucket int, block long, n_docs int, keys binary, words binary, seen binary, rare binary, spread binary, place binary, times binary"
 _NAMES = [c.split()[0] for c in _SENT.split(", ")]
 _KINDS = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
 
 
-def sent(docs: DataFrame, v: gru.Vocabulary, bits: int) -> DataFrame:
-    """For each block and bucket: distinct words, and for each its documents and how often it stands there."""
-    frequent = v.hashes
+def sent(docs: DataFrame, bits: int) -> DataFrame:
+    """For each block and bucket: distinct words, how often training documents have each, its documents and how often it stands there."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -112,7 +149,7 @@ def sent(docs: DataFrame, v: gru.Vocabulary, bits: int) -> DataFrame:
             for i, j, _ in tx.chunks(batch.column("text"), BLOCK_BYTES):
                 n = j - i
                 keys = key.slice(i, n).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
-                flags = np.packbits(np.asarray(train.slice(i, n).to_pylist(), bool)).tobytes()
+                flags = np.asarray(train.slice(i, n).to_pylist(), bool)
                 # words of all chunks of the block, sorted by hash, documents ascending
                 h, owner, rare = [], [], []
                 for a, _, part in tx.chunks(batch.column("text").slice(i, n)):
@@ -134,9 +171,7 @@ def sent(docs: DataFrame, v: gru.Vocabulary, bits: int) -> DataFrame:
                 word_pair = np.searchsorted(pair, word)
                 spread = np.diff(np.append(word_pair, len(pair)))
                 words, kind = h[word], rare[word].astype(np.uint8)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
-                    kind[frequent[at] == words] = _COMMON
+                seen = np.add.reduceat(times * flags[place], word_pair) if len(word) else np.zeros(0, np.int64)
                 edge = np.searchsorted(words, (np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)))
                 edge = np.append(edge, len(words))
                 word_pair = np.append(word_pair, len(pair))
@@ -146,18 +181,38 @@ def sent(docs: DataFrame, v: gru.Vocabulary, bits: int) -> DataFrame:
                     if lo == hi and b:
                         continue
                     p, q = word_pair[lo], word_pair[hi]
-                    rows.append((b, block, n, keys if b == 0 else None, flags, words[lo:hi].tobytes(), kind[lo:hi].tobytes(), _small(spread[lo:hi]), _small(place[p:q]), _small(times[p:q])))
+                    rows.append((b, block, n, keys if b == 0 else None, words[lo:hi].tobytes(), _small(seen[lo:hi]), kind[lo:hi].tobytes(), _small(spread[lo:hi]), _small(place[p:q]), _small(times[p:q])))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
                 block += 1
 
     return docs.select("key", "train", "text").mapInArrow(read, _SENT)
 
 
+def common_words(rows: pd.DataFrame) -> pd.DataFrame:
+    """The commonest words of a bucket over all blocks, with their counts in training documents."""
+    words = [np.frombuffer(w, np.uint64) for w in rows["words"]]
+    value, back = np.unique(np.concatenate(words), return_inverse=True)
+    seen = np.concatenate([_wide(s, len(w)) for s, w in zip(rows["seen"], words)])
+    count = np.bincount(back, seen, len(value)).astype(np.int64)
+    top = np.lexsort((value, -count))[: gru.FREQUENT]
+    top = top[count[top] > 0]
+    return pd.DataFrame({"word": value[top].view(np.int64), "n": count[top]})
+
+
+def vocabulary(out: DataFrame, documents: int) -> gru.Vocabulary:
+    """The commonest words of all training documents, from what ``sent`` gives; a fixed number of them comes to the driver."""
+    top = out.select("bucket", "words", "seen").groupBy("bucket").applyInPandas(common_words, "word long, n long")
+    got = top.orderBy(F.desc("n"), "word").limit(gru.FREQUENT).collect()
+    word, n = np.array([r["word"] for r in got], np.int64).view(np.uint64), np.array([r["n"] for r in got], np.int64)
+    order = np.argsort(word)
+    return gru.vocabulary_of(word[order], n[order], documents)
+
+
 #: From a bucket: to each block (keys once), sums by document; and its own totals, block null.
 _BACK = "block long, n_docs int, keys binary, place binary, base binary, known binary, rare binary, stats binary"
 
 
-def count_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+def count_bucket(rows: pd.DataFrame, frequent: np.ndarray) -> pd.DataFrame:
     """Counts the bucket's words over all blocks; gives documents' sums, and totals by class."""
     rows = rows.sort_values("block", kind="stable")
     blocks = []
@@ -168,14 +223,11 @@ def count_bucket(rows: pd.DataFrame) -> pd.DataFrame:
         blocks.append((r, words, np.frombuffer(r.rare, np.uint8), spread, n))
     every = np.concatenate([b[1] for b in blocks])
     kinds = np.concatenate([b[2] for b in blocks])
-    seen = []
-    for r, words, _, spread, n in blocks:
-        train = np.unpackbits(np.frombuffer(r.train, np.uint8), count=r.n_docs)
-        c = _wide(r.times, n) * train[_wide(r.place, n)]
-        seen.append(np.add.reduceat(c, np.cumsum(spread) - spread) if n else np.zeros(0, np.int64))
+    seen = [_wide(b[0].seen, len(b[1])) for b in blocks]
     value, lead, back = np.unique(every, return_index=True, return_inverse=True)
     count = np.bincount(back, np.concatenate(seen), len(value)) if len(value) else np.zeros(0)
     kind = kinds[lead]
+    kind[np.isin(value, frequent)] = _COMMON
     met = count > 0
     # totals and distinct words of the bucket's training tokens, by rare class; all of them last
     stats = np.zeros((gru.RARE + 1, 2))
@@ -214,7 +266,7 @@ def gather_block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": keys, "base": base, "known": known, "rare": rare})
 
 
-def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     d = docs.select(
         "doc_id",
@@ -222,12 +274,14 @@ def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         held_out("doc_id", MOD, REST).alias("held_out"),
         F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"),
     )
-    model = fit(docs, sample)
     total = d.agg(F.sum(F.octet_length("text")), F.sum((~F.col("held_out")).cast("long"))).first()
     n_bytes, ends = total[0] or 0, total[1] or 0
     bits = max(LEAST_BUCKETS, n_bytes // BUCKET_BYTES).bit_length() - 1
-    out = sent(d.withColumn("train", ~F.col("held_out")), model.v, bits)
-    back = cut(out.groupBy("bucket").applyInPandas(count_bucket, _BACK))
+    d = d.withColumn("train", ~F.col("held_out"))
+    out = cut(sent(d, bits))
+    v = vocabulary(out, ends)
+    model = fit(d, v, ends, rounds)
+    back = cut(out.groupBy("bucket").applyInPandas(lambda rows: count_bucket(rows, v.hashes), _BACK))
 
     # one row per bucket, of fixed size
     stats = sum((np.frombuffer(r[0]).reshape(-1, 2) for r in back.where("stats IS NOT NULL").select("stats").toLocalIterator()), np.zeros((gru.RARE + 1, 2)))
