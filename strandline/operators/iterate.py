@@ -1,4 +1,4 @@
-"""Graph iteration: bounded reach, components, PageRank, projection onto kept types, paths.
+"""Graph iteration: reach, components, PageRank, projection onto kept types, paths.
 
 Every loop cuts its lineage with checkpoint() each round, so a lost executor costs
 one round; frontiers only hold what is new.
@@ -7,6 +7,7 @@ one round; frontiers only hold what is new.
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,11 +23,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def reach(pairs: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
-    """(start, node_id, hop): what is within ``hops`` steps of (start) along (node_id, other), at its least distance; start itself at 0."""
+def reach(pairs: DataFrame, starts: DataFrame, hops: int | None = None) -> DataFrame:
+    """(start, node_id, hop): what is within ``hops`` steps (of any number without it) of (start) along (node_id, other), at its least distance; start itself at 0."""
     seen = cut(starts.select("start", F.col("start").alias("node_id"), F.lit(0).alias("hop")).distinct())
     front = seen
-    for i in range(1, hops + 1):
+    for i in count(1) if hops is None else range(1, hops + 1):
         step = front.select("start", "node_id").join(pairs.select("node_id", "other"), "node_id").select("start", F.col("other").alias("node_id")).distinct()
         front = cut(step.join(seen.select("start", "node_id"), ["start", "node_id"], "left_anti").withColumn("hop", F.lit(i)))
         if front.isEmpty():

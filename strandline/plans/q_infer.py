@@ -42,7 +42,7 @@ def hierarchy_closure(spark, sf):
     """Ancestors of a hierarchy in which part k lies under k // 3."""
     p = demo.read(spark, sf, "part").select("p_partkey")
     pairs = p.select(F.col("p_partkey").alias("node_id"), F.floor(F.col("p_partkey") / 3).alias("other")).where("node_id > 0")
-    r = it.reach(pairs, p.select(F.col("p_partkey").alias("start")), 12)
+    r = it.reach(pairs, p.select(F.col("p_partkey").alias("start")))
     return r.groupBy(F.col("node_id").alias("root")).agg(F.count_distinct("start").alias("n_descendants"))
 
 

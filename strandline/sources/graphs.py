@@ -104,8 +104,8 @@ def read_obo(spark: SparkSession, path: str) -> DataFrame:
     ).where("term_id IS NOT NULL")
 
 
-def descendants(terms: DataFrame, roots: list[str], depth: int = 30) -> DataFrame:
-    """term_id of roots and all under them."""
+def descendants(terms: DataFrame, roots: list[str], depth: int | None = None) -> DataFrame:
+    """term_id of roots and all under them (``depth`` levels at most, if given)."""
     from ..operators.iterate import reach
 
     pairs = terms.select(F.col("term_id").alias("other"), F.explode("parents").alias("node_id"))
