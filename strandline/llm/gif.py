@@ -5,11 +5,11 @@ streams with growing codes, interlace, transparency, delays, and disposal (keep,
 clear to background, restore what was there). Frames come composed, as RGB.
 
 Writing lays bytes out as rows of ``WIDTH`` samples, ``ROWS`` rows to a frame, on
-a grey ramp, so that a sample's value is its colour. Code streams may be written
-compressed, or as single-sample codes with a clear code before codes would grow
-to 10 bits. The latter (the default) is as valid a stream for any reader, an eighth
-larger than the samples, and both ways of it work on whole frames in numpy; the
-reader tries that way first and takes a code at a time only where it must.
+a grey ramp, so that a sample's value is its colour. Code streams are written with
+strings as they occur (or, if asked, as single-sample codes with a clear code before
+codes would grow to 10 bits). How wide a code is depends only on its place after the
+last clear code, so both sides pack and unpack whole runs of codes in numpy and walk
+the string table a code at a time.
 
 Defined results: null and empty texts are stored as one row of spaces; equal
 texts have equal media; repeated rows are stored each; null ids stay; other
@@ -65,19 +65,6 @@ def _pack9(codes: np.ndarray) -> bytes:
     return out.tobytes()[:size]
 
 
-def _unpack9(data: bytes) -> np.ndarray:
-    n = len(data) * 8 // 9
-    raw = np.zeros(-(-len(data) // 9) * 9, np.uint8)
-    raw[: len(data)] = np.frombuffer(data, np.uint8)
-    raw = raw.reshape(-1, 9)
-    low = np.ascontiguousarray(raw[:, :8]).view(np.uint64)[:, 0]
-    out = np.empty((len(raw), 8), np.uint16)
-    for k in range(7):
-        out[:, k] = (low >> np.uint64(9 * k)) & np.uint64(511)
-    out[:, 7] = (low >> np.uint64(63)) | (raw[:, 8].astype(np.uint64) << np.uint64(1))
-    return out.reshape(-1)[:n]
-
-
 def lzw_literal(samples: np.ndarray) -> bytes:
     """A code stream of single samples (8 bits each), with clear codes in time."""
     n = len(samples)
@@ -89,53 +76,107 @@ def lzw_literal(samples: np.ndarray) -> bytes:
     return _pack9(np.append(codes.reshape(-1)[: n + runs], np.uint16(257)))
 
 
-def lzw_compressed(samples: bytes, bits: int = 8) -> bytes:
-    """A code stream with strings as they occur; the table starts anew when full."""
-    clear, end = 1 << bits, (1 << bits) + 1
-    out, acc, filled, width = bytearray(), 0, 0, bits + 1
-    strings: dict[tuple[int, int], int] = {}
-
-    def put(code: int) -> None:
-        nonlocal acc, filled
-        acc |= code << filled
-        filled += width
-        while filled >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            filled -= 8
-
-    put(clear)
-    at = None
-    for s in samples:
-        if at is None:
-            at = s
-        elif (known := strings.get((at, s))) is not None:
-            at = known
-        else:
+def widths(n: int, bits: int) -> np.ndarray:
+    """Bits of the first ``n`` codes from a clear code on: both sides know one string more with each code after the first."""
+    known = np.arange(n) + (1 << bits) + 1
+    return np.clip(np.frexp(known.astype(float))[1], bits + 1, 12)
+
+
+def lzw_codes(samples: bytes, bits: int = 8) -> list[list[int]]:
+    """Codes with strings as they occur, a run for each filling of the table; every run begins with a clear code."""
+    clear = 1 << bits
+    run, fresh, strings = [clear], clear + 2, {}
+    runs = [run]
+    if samples:
+        at, known, put = samples[0], strings.get, run.append
+        for s in samples[1:]:
+            pair = at << 8 | s
+            code = known(pair)
+            if code is not None:
+                at = code
+                continue
             put(at)
-            fresh = end + 1 + len(strings)
             if fresh < 4096:
-                strings[at, s] = fresh
-                if fresh == 1 << width and width < 12:
-                    width += 1
+                strings[pair] = fresh
+                fresh += 1
             else:
-                put(clear)
-                strings.clear()
-                width = bits + 1
+                run, fresh, strings = [clear], clear + 2, {}
+                known, put = strings.get, run.append
+                runs.append(run)
             at = s
-    if at is not None:
         put(at)
-        # the reader has one entry more once it has read this code
-        if end + 1 + len(strings) == 1 << width and width < 12:
-            width += 1
-    put(end)
-    if filled:
-        out.append(acc & 255)
-    return bytes(out)
+    run.append(clear + 1)
+    return runs
+
+
+def lzw_compressed(samples: bytes, bits: int = 8) -> bytes:
+    """A code stream with strings as they occur; the table starts anew when full."""
+    runs, codes, size, last = lzw_codes(samples, bits), [], [], bits + 1
+    for run in runs:
+        w = widths(len(run) - 1, bits)
+        codes.append(run)
+        # a clear code has the width that the table before it had
+        size.append(np.concatenate([[last], w]))
+        last = int(widths(len(run), bits)[-1])
+    code, size = np.concatenate(codes).astype(np.uint32), np.concatenate(size)
+    at = np.zeros(len(code) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    shifted = code << (at[:-1] & 7).astype(np.uint32)
+    out = np.zeros((int(at[-1]) + 7) // 8 + 3, np.uint32)
+    byte = at[:-1] >> 3
+    for k in range(3):  # codes don't overlap, so adding sets bits
+        out[: len(out)] += np.bincount(byte + k, (shifted >> np.uint32(8 * k)) & np.uint32(255), len(out)).astype(np.uint32)
+    return out[: (int(at[-1]) + 7) // 8].astype(np.uint8).tobytes()
+
+
+def _codes_from(raw: np.ndarray, at: int, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The next codes from bit ``at`` on (right after a clear code), ``n`` at most, and where each ends."""
+    ends = at + np.cumsum(widths(n, bits))
+    ends = ends[: np.searchsorted(ends, (len(raw) - 3) * 8, "right")]
+    begin = np.concatenate([[at], ends[:-1]])[: len(ends)]
+    byte = begin >> 3
+    value = raw[byte] | raw[byte + 1] << np.uint32(8) | raw[byte + 2] << np.uint32(16)
+    return (value >> (begin & 7).astype(np.uint32)) & ((np.uint32(1) << (ends - begin).astype(np.uint32)) - np.uint32(1)), ends
+
+
+def lzw_decode(data: bytes, bits: int, count: int) -> np.ndarray:
+    """The first ``count`` samples of a code stream."""
+    clear, end = 1 << bits, (1 << bits) + 1
+    raw = np.zeros(len(data) + 3, np.uint32)
+    raw[: len(data)] = np.frombuffer(data, np.uint8)
+    base = [bytes([i]) for i in range(clear)] + [b"", b""]
+    out: list[bytes] = []
+    at, size, room = 0, 0, count + 2
+    while size < count:
+        # a run is read whole: up to its next clear code, its end or the end of the data
+        codes, ends = _codes_from(raw, at, room, bits)
+        stop = np.flatnonzero((codes == clear) | (codes == end))
+        n = int(stop[0]) if len(stop) else len(codes)
+        strings, last = list(base), b""
+        add, put = strings.append, out.append
+        for code in codes[:n].tolist():
+            if code < len(strings):
+                said = strings[code]
+                if last and len(strings) < 4096:
+                    add(last + said[:1])
+            elif code == len(strings) and last:
+                said = last + last[:1]
+                add(said)
+            else:
+                raise ValueError("a code that isn't in the table")
+            last = said
+            put(said)
+            size += len(said)
+            if size >= count:
+                break
+        if n == len(codes) or codes[n] == end:
+            break
+        at = int(ends[n])
+    return np.frombuffer(b"".join(out), np.uint8)[:count]
 
 
 def _lzw_steps(data: bytes, bits: int, count: int) -> np.ndarray:
-    """Any code stream, a code at a time."""
+    """Any code stream, byte by byte: the plain form that tests hold ``lzw_decode`` to."""
     clear, end = 1 << bits, (1 << bits) + 1
     base = [bytes([i]) for i in range(clear)] + [b"", b""]
     strings, width, last = list(base), bits + 1, None
@@ -170,22 +211,6 @@ def _lzw_steps(data: bytes, bits: int, count: int) -> np.ndarray:
     return np.frombuffer(b"".join(out), np.uint8)
 
 
-def lzw_decode(data: bytes, bits: int, count: int) -> np.ndarray:
-    """The first ``count`` samples of a code stream."""
-    if bits == 8:
-        codes = _unpack9(data)
-        special = np.flatnonzero(codes > 255)
-        kinds = codes[special]
-        stop = np.flatnonzero(kinds != 256)
-        if len(stop) and kinds[stop[0]] == 257:
-            special = special[: stop[0] + 1]
-            # codes stay 9 bits while fewer than 255 samples stand between clear codes
-            if special[0] == 0 and (np.diff(special) <= 255).all():
-                codes = codes[: special[-1]]
-                return codes[codes < 256].astype(np.uint8)[:count]
-    return _lzw_steps(data, bits, count)[:count]
-
-
 def _blocks(data: bytes) -> bytes:
     """Sub-blocks of 255 bytes, and the empty one."""
     n = len(data) // 255
@@ -196,7 +221,7 @@ def _blocks(data: bytes) -> bytes:
     return body.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def encode(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DELAY, compress: bool = False) -> bytes:
+def encode(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DELAY, compress: bool = True) -> bytes:
     """A GIF of the payload, a positive multiple of ``width`` bytes."""
     lines = len(payload) // width
     if not lines or lines * width != len(payload):
