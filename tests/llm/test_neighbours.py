@@ -59,3 +59,49 @@ def test_chi_square():
         assert nb.chi_square_cdf(nb.chi_square_quantile(p, 8), 8) == pytest.approx(p)
     x = (np.random.default_rng(0).standard_normal((20_000, 8)) ** 2).sum(1)
     assert np.mean(x < nb.chi_square_quantile(0.9, 8)) == pytest.approx(0.9, abs=0.01)
+
+
+def test_repeated_queries_clashing_columns_and_hot_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).astype("float32").tolist(), 1) for i in range(1, 60)]
+    twice = rows + [rows[19]]
+    df = spark.createDataFrame(twice, "vec_id long, embedding array<float>, label int").selectExpr("*", "'x' AS v", "'x' AS cell", "'x' AS part", "'x' AS score", "'x' AS rank")
+    v = nb.usable(df)
+    got = nb.nearest(v, v.where("vec_id % 20 = 0"), 20, sure=0.9999, shard=8).collect()
+    want = brute([(i, x) for i, x, _ in rows], 20, 20)
+    near = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == 20)
+    assert [r for r, _ in near] == list(range(1, 21)) and [i for _, i in near] == [i for i, _ in want[20]]
+    # the repeated row is a candidate twice, for other queries
+    assert [r["vec_id"] for r in got if r["query_id"] == 40].count(20) in (0, 2)
+
+
+def test_clusters_leave_most_rows_unread(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(40, 16))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    rows = [(i, (centre[rng.integers(40)] + 0.02 * rng.normal(size=16)).astype("float32").tolist(), 1) for i in range(2000)]
+    df = nb.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    asks = df.where("vec_id % 20 = 0")
+    got = {}
+    for r in nb.nearest(df, asks, 20, shard=256).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute([(i, v) for i, v, _ in rows], 20, 20)
+    assert sum(len(got[q] & {j for j, _ in w}) for q, w in want.items()) >= 0.9 * 20 * len(want)
+    read = [r["verified"] for r in nb.effort(df, asks, 20, shard=256).collect()]
+    assert len(read) == 100 and np.mean(read) < 0.3 * len(rows)
+
+
+def test_the_stop_leaves_rows_unread(spark):
+    df = nb.usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    asks = df.where("vec_id % 20 = 0")
+    assert np.mean([r["verified"] for r in nb.effort(df, asks).collect()]) < 0.75 * df.count()
+
+
+def test_cells_hold_their_points():
+    rng = np.random.default_rng(6)
+    p = rng.normal(size=(3000, 3))
+    c = nb.Cells(p[:500], 16)
+    at = c.of(p)
+    assert len(c.low) == 16 and ((p >= c.low[at]) & (p < c.high[at])).all()
+    assert np.allclose([c.distances(x)[i] for x, i in zip(p[:50], at)], 0)
+    assert len(nb.Cells(np.zeros((100, 3)), 8).low) == 1
