@@ -3,23 +3,34 @@
 A line's features are numbers read off its bytes (shares of symbols, digits,
 capitals and bars, word lengths, repeats in the line, repeats of its neighbours
 and of other lines of the document, its length), together with those of the line
-before and the line after. Lines of a document labelled good or bad count as good
-or bad in fitting. The score of a document is the mean of its lines' marginal
+before and the line after. The score of a document is the mean of its lines' marginal
 probabilities of being good (forward-backward), weighted by line length, passed
 through a logistic curve that is fitted on the same documents.
 
-The field is fitted on a sample of at most ``SAMPLE`` labelled documents, none of
-them held out, cut into runs of at most ``RUN`` lines there. Scores cover every
-row and its whole text; lines of all documents of a batch step together.
+Only documents have labels, so those of lines are latent: a document's label says
+which kind of lines prevails, by ``PREVAIL`` of its length at least. Fitting goes in
+turns (posterior regularisation, Ganchev et al., 2010). First each chain's labels get
+the distribution nearest to the field's under which the document's label holds: the
+field with its good scores tilted by as much of a line's share of the length as that
+takes, so forward-backward gives it too. Then weights climb towards its expectations.
+The first turn starts from each line's own features, without neighbours and
+transitions, so good lines in bad documents (and the other way) come out as what they are.
+
+The field is fitted in one task on a sample of at most ``SAMPLE`` labelled documents,
+none of them held out, with whole chains. Scores cover every row and its whole text, of
+any length; lines of all documents of a batch step together.
 
 Defined results: a null text is empty, and an empty text one empty line; without
-labelled rows of both kinds every score is 0.5; repeated rows have equal scores;
-a null id isn't held out as its crc32 is that of empty text; other columns are
-ignored.
+labelled rows of both kinds every score is 0.5 and no line is labelled; repeated rows
+have equal scores; a null id isn't held out as its crc32 is that of empty text; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +42,12 @@ from .common import held_out, table
 from .labelled import training_rows
 
 SAMPLE = 6000
-RUN = 64
 ROUNDS = 200
+#: Turns after the first, and the rounds of each.
+TURNS = 6
+TURN_ROUNDS = 30
+#: The least share of a document's length that has its label.
+PREVAIL = 0.6
 CUT = 0.7
 
 _UPPER, _DIGIT, _SPACE, _MARK, _BAR, _BANG, _STOP, _WIDE = (np.zeros(256, np.uint8) for _ in range(8))
@@ -174,25 +189,83 @@ def marginals(e: np.ndarray, trans: np.ndarray, c: Chains) -> tuple[np.ndarray,
     return good, pair.sum(0), float(z[c.begin].sum())
 
 
+class Climb:
+    """Gradient ascent (Adam) on the expected log-likelihood of labels given their expectations. ``free``: parameters that may leave zero."""
+
+    def __init__(self, x: np.ndarray, first: np.ndarray, l2: float = 1.0):
+        self.x, self.c, self.l2 = x, Chains(first), l2
+        size = x.shape[1] + 4
+        self.theta, self.m, self.v, self.i = np.zeros(size), np.zeros(size), np.zeros(size), 0
+
+    @property
+    def field(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.theta[:-4], self.theta[-4:].reshape(2, 2)
+
+    def run(self, good: np.ndarray, pairs: np.ndarray, rounds: int, free: np.ndarray | None = None) -> None:
+        n, target = len(self.x), self.x.T @ good
+        for _ in range(rounds):
+            w, trans = self.field
+            now, now_pairs, _ = marginals(self.x @ w, trans, self.c)
+            g = np.concatenate([target - self.x.T @ now, (pairs - now_pairs).ravel()]) / n - self.l2 * self.theta / n
+            if free is not None:
+                g = g * free
+            self.i += 1
+            self.m, self.v = 0.9 * self.m + 0.1 * g, 0.999 * self.v + 0.001 * g * g
+            self.theta = self.theta + 0.1 * (self.m / (1 - 0.9**self.i)) / (np.sqrt(self.v / (1 - 0.999**self.i)) + 1e-8)
+
+
 def fit_field(x: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, l2: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of features and transitions: gradient ascent (Adam) on the conditional likelihood. ``y``: label of each line."""
-    c = Chains(first)
-    n, k = x.shape
-    w, trans = np.zeros(k), np.zeros((2, 2))
-    inner = np.ones(n, bool)
+    """Weights of features and transitions where the label ``y`` of each line is known."""
+    inner = np.ones(len(x), bool)
     inner[first[:-1]] = False
     to = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[to - 1], y[to]), 1)
-    theta, m, v = np.zeros(k + 4), np.zeros(k + 4), np.zeros(k + 4)
-    target = x.T @ y
-    for i in range(1, rounds + 1):
-        w, trans = theta[:k], theta[k:].reshape(2, 2)
-        good, pairs, _ = marginals(x @ w, trans, c)
-        g = np.concatenate([target - x.T @ good, (seen - pairs).ravel()]) / n - l2 * theta / n
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta + 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
-    return theta[:k], theta[k:].reshape(2, 2)
+    climb = Climb(x, first, l2)
+    climb.run(y, seen, rounds)
+    return climb.field
+
+
+def constrained(e: np.ndarray, trans: np.ndarray, first: np.ndarray, length: np.ndarray, y: np.ndarray, prevail: float = PREVAIL) -> np.ndarray:
+    """Scores of good over bad, tilted so that in each document lines with its label ``y`` hold ``prevail`` of the length."""
+    size = np.diff(first)
+    share = (length + 1) / np.repeat(np.add.reduceat(length + 1, first[:-1]), size)
+    sign = np.where(y == 1, 1.0, -1.0)
+    wrong = lambda good, f, sg: sg * (np.add.reduceat(good * share_, f[:-1]) - 0.5) < prevail - 0.5
+    share_ = share
+    good, _, _ = marginals(e, trans, Chains(first))
+    off = np.flatnonzero(wrong(good, first, sign))
+    out = e.copy()
+    if not len(off):
+        return out
+    # bisection, for those documents together
+    at = np.concatenate([np.arange(first[i], first[i + 1]) for i in off])
+    sub = np.concatenate([[0], np.cumsum(size[off])])
+    c, share_, sg, mine = Chains(sub), share[at], sign[off], e[at]
+    low, high = np.zeros(len(off)), np.full(len(off), np.nan)
+    step = np.ones(len(off))
+    for _ in range(40):
+        tilt = np.where(np.isnan(high), step, (low + high) / 2)
+        good, _, _ = marginals(mine + np.repeat(sg * tilt, size[off]) * share_, trans, c)
+        under = wrong(good, sub, sg)
+        low, high = np.where(under, tilt, low), np.where(under, high, tilt)
+        step = np.where(np.isnan(high), step * 2, step)
+    out[at] += np.repeat(sg * np.where(np.isnan(high), low, high), size[off]) * share_
+    return out
+
+
+def fit_latent(f: np.ndarray, length: np.ndarray, first: np.ndarray, y: np.ndarray, turns: int = TURNS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of features and transitions from documents' labels ``y``."""
+    x = with_neighbours(f, first)
+    climb = Climb(x, first)
+    own = np.zeros(x.shape[1] + 4)
+    own[: f.shape[1]] = own[-5] = 1.0  # a line's features and the constant
+    climb.run(np.repeat(y, np.diff(first)).astype(float), np.zeros((2, 2)), ROUNDS // 2, own)
+    for _ in range(turns):
+        w, trans = climb.field
+        good, pairs, _ = marginals(constrained(x @ w, trans, first, length, y), trans, climb.c)
+        climb.run(good, pairs, TURN_ROUNDS)
+    return climb.field
 
 
 def aggregate(good: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -231,39 +304,79 @@ def _line_table(text: pa.Array) -> pa.Array:
 Model = tuple[np.ndarray, np.ndarray, tuple[float, float]]
 
 
+def fit_documents(f: np.ndarray, length: np.ndarray, first: np.ndarray, y: np.ndarray) -> Model:
+    w, trans = fit_latent(f, length, first, y)
+    good, _, _ = marginals(with_neighbours(f, first) @ w, trans, Chains(first))
+    return w, trans, fit_curve(aggregate(good, length, first), y)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Feature weights, transitions and curve; None if the labelled rows aren't of both kinds."""
-    got = training_rows(docs, labels, "quality", sample).select("doc_id", "y", _line_table("text").alias("t"))
-    got = got.select("doc_id", "y", "t.f", "t.length").toPandas().sort_values("doc_id", kind="stable")
-    y = got["y"].to_numpy(np.int64)
-    if len(set(y.tolist())) < 2:
-        return None
-    length = [np.frombuffer(b, np.float32) for b in got["length"]]
-    size = np.array([len(x) for x in length])
-    f = np.frombuffer(b"".join(got["f"]), np.float32).reshape(int(size.sum()), -1).astype(float)
-    first = np.concatenate([[0], np.cumsum(size)])
-    x = with_neighbours(f, first)
-    runs = np.unique(np.concatenate([first, *(np.arange(a, b, RUN) for a, b in zip(first[:-1], first[1:]) if b - a > RUN)]))
-    w, trans = fit_field(x, runs, np.repeat(y, size))
-    good, _, _ = marginals(x @ w, trans, Chains(first))
-    return w, trans, fit_curve(aggregate(good, np.concatenate(length).astype(float), first), y)
+    """Feature weights, transitions and curve; None if the labelled rows aren't of both kinds.
+
+    Lines are read where the documents are; one task fits, and the driver gets the model alone.
+    """
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "y", "f", "length")))]
+        rows.sort(key=lambda r: r[0])
+        y = np.array([r[1] for r in rows], np.int64)
+        if len(set(y.tolist())) < 2:
+            return
+        length = [np.frombuffer(r[3], np.float32) for r in rows]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in length])])
+        f = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(int(first[-1]), -1).astype(float)
+        model = fit_documents(f, np.concatenate(length).astype(float), first, y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    rows = training_rows(docs, labels, "quality", sample).select("doc_id", "y", _line_table("text").alias("t")).select("doc_id", "y", "t.f", "t.length")
+    got = rows.repartition(1).mapInArrow(train, "model binary").collect()
+    return pickle.loads(got[0][0]) if got else None
+
+
+def read(model: Model, t: tx.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of texts; and of all their lines the marginals, the bytes, and each text's first line."""
+    w, trans, (a, b) = model
+    f, length, first = lines(t)
+    good, _, _ = marginals(with_neighbours(f, first) @ w, trans, Chains(first))
+    return 1 / (1 + np.exp(-np.clip(a * _logit(aggregate(good, length, first)) + b, -35, 35))), good, length, first
 
 
 def scorer(model: Model | None):
     @F.arrow_udf(T.DoubleType())
     def score(text: pa.Array) -> pa.Array:
-        out = []
+        out = [np.full(j - i, 0.5) if model is None else read(model, t)[0] for i, j, t in tx.chunks(text)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+
+    return score
+
+
+_READ = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("good", T.ArrayType(T.FloatType()))])
+
+
+def line_reader(model: Model | None):
+    """An Arrow function from texts to (score, good): good has each line's probability of being good; null without a model."""
+
+    @F.arrow_udf(_READ)
+    def lines_of(text: pa.Array) -> pa.Array:
+        score, good = [], []
         for i, j, t in tx.chunks(text):
             if model is None:
-                out.append(np.full(j - i, 0.5))
+                score.append(np.full(j - i, 0.5))
+                good += [None] * (j - i)
                 continue
-            w, trans, (a, b) = model
-            f, length, first = lines(t)
-            good, _, _ = marginals(with_neighbours(f, first) @ w, trans, Chains(first))
-            out.append(1 / (1 + np.exp(-np.clip(a * _logit(aggregate(good, length, first)) + b, -35, 35))))
-        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+            s, g, _, first = read(model, t)
+            score.append(s)
+            good += [g[a:b].astype(np.float32) for a, b in zip(first, first[1:])]
+        score = np.concatenate(score) if score else np.zeros(0)
+        return pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(good, pa.list_(pa.float32()))], ["score", "good"])
 
-    return score
+    return lines_of
+
+
+def labelled_lines(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, line (from 0), good (probability), label (1 if that is over a half) of every line."""
+    read_ = docs.select("doc_id", line_reader(fit(docs, labels))("text").alias("r"))
+    return read_.select("doc_id", F.posexplode("r.good").alias("line", "good")).withColumn("label", (F.col("good") > 0.5).cast("int"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, text: str = "text") -> Column:
@@ -279,5 +392,13 @@ def without_bad(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFra
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), quality(docs, labels).alias("score"))
-    return scored.select("*", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    read_ = line_reader(fit(docs, labels))
+    scored = docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), read_("text").alias("r"))
+    return scored.select(
+        "doc_id",
+        "held_out",
+        "r.score",
+        (F.col("r.score") >= CUT).cast("int").alias("predicted"),
+        F.size("r.good").alias("n_lines"),
+        F.array_join(F.transform("r.good", lambda p: F.when(p > 0.5, "1").otherwise("0")), "").alias("line_labels"),
+    )
