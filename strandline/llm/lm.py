@@ -8,14 +8,14 @@ partition goes on from the common weights over its documents of the round, and t
 partitions' weights are averaged by their tokens. What is broadcast (the model) has
 a fixed size, as has what the driver averages.
 
-Counts never leave the executors. Words are 64-bit hashes. A reader turns each
-block of texts into sorted words with the documents they stand in, and sends them
-to buckets by the hash's leading bits; a bucket counts its words over all blocks
-and sends back, by block and document, the sums of log10(c + 0.5). Both ways data
-travel as packed arrays, at most one entry per document and distinct word.
-The number of buckets follows the bytes of text, so a bucket's size stays put;
-a common word is one entry per document that has it, and words are spread by
-hash, so no bucket stands out.
+Counts never leave the executors but for the commonest words. Words are 64-bit hashes.
+A reader gives each block's distinct words with their counts, and Spark adds them up by
+word. The words over a count that at most ``COMMON`` reach are broadcast with their
+counts (a size fixed here, not by the corpus), so a document's sum of log10(c + 0.5) is
+computed where its text is, but for the rarer words in it. Those go to the totals as one
+row per document and distinct rarer word, and no key among them is hot: a word under that
+count stands for less than 1 / ``COMMON`` of the corpus. Rows are told apart by a number
+that is written with them, not by a hash.
 
 Defined results: a null text is empty; an empty text is its end mark alone; a
 null id's crc32 is that of empty text; without training documents N, V and c are
@@ -28,6 +28,7 @@ from __future__ import annotations
 import copy
 import pickle
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -47,14 +48,15 @@ FIT_TOKENS = 1 << 19
 #: Corpora of fewer documents are gone through several times, as far as this many are met (``gru.EPOCHS`` times at most).
 LEAST_DOCUMENTS = 6000
 RATE = 0.01
-#: Averages of partitions that the driver gets.
-AVERAGES = 16
+#: Weights averaged in one group; there are two levels of groups.
+FAN = 64
 MOD, REST = 5, 1
-#: Bytes of text in a block and, about, behind a bucket.
+#: Bytes of text whose words are counted together.
 BLOCK_BYTES = 1 << 22
-BUCKET_BYTES = 1 << 25
-LEAST_BUCKETS = 32
-_COMMON = 255  # in place of a rare class
+#: Words that are broadcast with their counts, at most: 16 bytes each.
+COMMON = 1 << 18
+#: Thresholds of counts that are tried, for each doubling.
+STEPS = 16
 
 
 _WEIGHTS = "place int, tokens long, weights binary"
@@ -71,7 +73,7 @@ def averaged(rows: Iterable) -> tuple[int, dict[str, np.ndarray]]:
 
 
 def one_round(docs: DataFrame, model: gru.Model, r: int, rounds: int, epochs: int) -> DataFrame:
-    """``AVERAGES`` rows at most of weights after round ``r``, averaged over partitions, with the tokens they were fitted on."""
+    """Weights after round ``r`` with the tokens they were fitted on, averaged over ``FAN`` times ``FAN`` neighbouring partitions a row."""
     rate = RATE * (1 - r / rounds)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +97,9 @@ def one_round(docs: DataFrame, model: gru.Model, r: int, rounds: int, epochs: in
         return pd.DataFrame({"place": [int(rows["place"].min())], "tokens": [n], "weights": [pickle.dumps(p)]})
 
     part = docs.where(F.col("train") & (F.pmod("key", F.lit(rounds)) == r)).select("text").mapInArrow(train, _WEIGHTS)
-    return part.groupBy(F.pmod("place", F.lit(AVERAGES)).alias("to")).applyInPandas(average, _WEIGHTS)
+    for size in (FAN, FAN * FAN):
+        part = part.groupBy(F.floor(F.col("place") / size).alias("to")).applyInPandas(average, _WEIGHTS)
+    return part
 
 
 def fit(docs: DataFrame, v: gru.Vocabulary, documents: int, rounds: int = ROUNDS) -> gru.Model:
@@ -124,193 +128,172 @@ def token_ids(texts: pa.Array | pa.ChunkedArray, v: gru.Vocabulary) -> tuple[np.
     return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.concatenate(first)
 
 
-def _small(a: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs; ``_wide`` reads them."""
-    most = int(a.max()) if len(a) else 0
-    return a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+_COUNTS = "word long, rare int, seen long, n long"
 
 
-def _wide(b: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(b, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(b) // n] if n else np.uint8).astype(np.int64)
-
-
-_SENT = "bucket int, block long, n_docs int, keys binary, words binary, seen binary, rare binary, spread binary, place binary, times binary"
-_NAMES = [c.split()[0] for c in _SENT.split(", ")]
-_KINDS = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
-
-
-def sent(docs: DataFrame, bits: int) -> DataFrame:
-    """For each block and bucket: distinct words, how often training documents have each, its documents and how often it stands there."""
+def block_counts(docs: DataFrame) -> DataFrame:
+    """For each block of texts its distinct words: class as a rare one, count in training documents, count in all."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            key, train = batch.column("key"), batch.column("train")
+            train = np.asarray(batch.column("train").to_pylist(), bool)
             for i, j, _ in tx.chunks(batch.column("text"), BLOCK_BYTES):
-                n = j - i
-                keys = key.slice(i, n).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
-                flags = np.asarray(train.slice(i, n).to_pylist(), bool)
-                # words of all chunks of the block, sorted by hash, documents ascending
-                h, owner, rare = [], [], []
-                for a, _, part in tx.chunks(batch.column("text").slice(i, n)):
-                    w, hh, rr = gru.words_of(part)
-                    h.append(hh)
-                    owner.append(w.text() + a)
-                    rare.append(rr)
-                h, owner, rare = map(np.concatenate, (h, owner, rare))
-                order = np.argsort(h, kind="stable")
-                h, owner, rare = h[order], owner[order], rare[order]
-                new_word = np.ones(len(h), bool)
-                new_word[1:] = h[1:] != h[:-1]
-                new_pair = new_word.copy()
-                new_pair[1:] |= owner[1:] != owner[:-1]
-                pair = np.flatnonzero(new_pair)
-                times = np.diff(np.append(pair, len(h)))
-                place = owner[pair]
-                word = np.flatnonzero(new_word)
-                word_pair = np.searchsorted(pair, word)
-                spread = np.diff(np.append(word_pair, len(pair)))
-                words, kind = h[word], rare[word].astype(np.uint8)
-                seen = np.add.reduceat(times * flags[place], word_pair) if len(word) else np.zeros(0, np.int64)
-                edge = np.searchsorted(words, (np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)))
-                edge = np.append(edge, len(words))
-                word_pair = np.append(word_pair, len(pair))
-                rows = []
-                for b in range(1 << bits):
-                    lo, hi = edge[b], edge[b + 1]
-                    if lo == hi and b:
-                        continue
-                    p, q = word_pair[lo], word_pair[hi]
-                    rows.append((b, block, n, keys if b == 0 else None, words[lo:hi].tobytes(), _small(seen[lo:hi]), kind[lo:hi].tobytes(), _small(spread[lo:hi]), _small(place[p:q]), _small(times[p:q])))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
-                block += 1
-
-    return docs.select("key", "train", "text").mapInArrow(read, _SENT)
-
-
-def common_words(rows: pd.DataFrame) -> pd.DataFrame:
-    """The commonest words of a bucket over all blocks, with their counts in training documents."""
-    words = [np.frombuffer(w, np.uint64) for w in rows["words"]]
-    value, back = np.unique(np.concatenate(words), return_inverse=True)
-    seen = np.concatenate([_wide(s, len(w)) for s, w in zip(rows["seen"], words)])
-    count = np.bincount(back, seen, len(value)).astype(np.int64)
-    top = np.lexsort((value, -count))[: gru.FREQUENT]
-    top = top[count[top] > 0]
-    return pd.DataFrame({"word": value[top].view(np.int64), "n": count[top]})
-
-
-def vocabulary(out: DataFrame, documents: int) -> gru.Vocabulary:
-    """The commonest words of all training documents, from what ``sent`` gives; a fixed number of them comes to the driver."""
-    top = out.select("bucket", "words", "seen").groupBy("bucket").applyInPandas(common_words, "word long, n long")
-    got = top.orderBy(F.desc("n"), "word").limit(gru.FREQUENT).collect()
-    word, n = np.array([r["word"] for r in got], np.int64).view(np.uint64), np.array([r["n"] for r in got], np.int64)
+                got = []
+                for a, _, t in tx.chunks(batch.column("text").slice(i, j - i)):
+                    w, h, rare = gru.words_of(t)
+                    got.append((h, rare, train[i + a + w.text()]))
+                h, rare, flag = map(np.concatenate, zip(*got))
+                order = np.argsort(h)
+                h, flag = h[order], flag[order]
+                lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+                seen = np.add.reduceat(flag, lead, dtype=np.int64) if len(h) else lead
+                columns = h[lead].view(np.int64), rare[order[lead]].astype(np.int32), seen, np.diff(np.append(lead, len(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "rare", "seen", "n"])
+
+    return docs.select("train", "text").mapInArrow(read, _COUNTS)
+
+
+def totals_of(docs: DataFrame) -> DataFrame:
+    """Every word's counts over all blocks, fixed in the checkpoint folder."""
+    return cut(block_counts(docs).groupBy("word").agg(F.max("rare").alias("rare"), F.sum("seen").alias("seen"), F.sum("n").alias("n")))
+
+
+class Common(NamedTuple):
+    """The commonest words by hash (ascending): classes as rare ones, and counts in training documents."""
+
+    words: np.ndarray
+    rare: np.ndarray
+    seen: np.ndarray
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words are, and whether they are there."""
+        if not len(self.words):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return at, self.words[at] == h
+
+
+def common_words(totals: DataFrame, most: int = COMMON) -> Common:
+    """All words from the lowest count on that at most ``most`` words reach (of ``STEPS`` counts to a doubling)."""
+    step = F.floor(F.log2(F.col("n")) * STEPS).cast("int")
+    sizes = sorted(totals.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True)  # some 64 * STEPS rows
+    least, total = None, 0
+    for at, words in sizes:
+        total += words
+        if total > most:
+            break
+        least = at
+    if least is None:
+        return Common(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64))
+    got = totals.where(step >= least).select("word", "rare", "seen").toArrow()
+    word = got["word"].to_numpy().view(np.uint64)
     order = np.argsort(word)
-    return gru.vocabulary_of(word[order], n[order], documents)
-
-
-#: From a bucket: to each block (keys once), sums by document; and its own totals, block null.
-_BACK = "block long, n_docs int, keys binary, place binary, base binary, known binary, rare binary, stats binary"
-
-
-def count_bucket(rows: pd.DataFrame, frequent: np.ndarray) -> pd.DataFrame:
-    """Counts the bucket's words over all blocks; gives documents' sums, and totals by class."""
-    rows = rows.sort_values("block", kind="stable")
-    blocks = []
-    for r in rows.itertuples(index=False):
-        words = np.frombuffer(r.words, np.uint64)
-        spread = _wide(r.spread, len(words))
-        n = int(spread.sum())
-        blocks.append((r, words, np.frombuffer(r.rare, np.uint8), spread, n))
-    every = np.concatenate([b[1] for b in blocks])
-    kinds = np.concatenate([b[2] for b in blocks])
-    seen = [_wide(b[0].seen, len(b[1])) for b in blocks]
-    value, lead, back = np.unique(every, return_index=True, return_inverse=True)
-    count = np.bincount(back, np.concatenate(seen), len(value)) if len(value) else np.zeros(0)
-    kind = kinds[lead]
-    kind[np.isin(value, frequent)] = _COMMON
-    met = count > 0
-    # totals and distinct words of the bucket's training tokens, by rare class; all of them last
-    stats = np.zeros((gru.RARE + 1, 2))
-    own = kind != _COMMON
-    stats[: gru.RARE, 0] = np.bincount(kind[own], count[own], gru.RARE)[: gru.RARE]
-    stats[: gru.RARE, 1] = np.bincount(kind[own & met], minlength=gru.RARE)[: gru.RARE]
-    stats[gru.RARE] = count.sum(), met.sum()
-    out = [(None, 0, None, None, None, None, None, stats.tobytes())]
-    log, at = np.log10(count + 0.5), 0
-    for r, words, kind_, spread, n in blocks:
-        mine = back[at : at + len(words)]
-        at += len(words)
-        pair = np.repeat(mine, spread)
-        place, times = _wide(r.place, n), _wide(r.times, n)
-        base = np.bincount(place, times * log[pair], r.n_docs)
-        known = np.bincount(place, times * met[pair], r.n_docs)
-        rare = np.bincount(place, times * np.where(own, log, 0.0)[pair], r.n_docs)
-        some = np.flatnonzero(np.bincount(place, minlength=r.n_docs))
-        out.append((r.block, r.n_docs, r.keys, _small(some), base[some].tobytes(), _small(known[some].astype(np.int64)), rare[some].tobytes(), None))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _BACK.split(", ")]).astype({"block": "Int64"})
-
-
-def gather_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """The sums of a block's documents over all buckets."""
-    n = int(rows["n_docs"].iloc[0])
-    base, rare, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-    keys = np.zeros(n, np.int64)
-    for r in rows.sort_values("base", kind="stable", key=lambda c: c.map(len)).itertuples(index=False):
-        m = len(r.base) // 8
-        at = _wide(r.place, m)
-        base[at] += np.frombuffer(r.base)
-        rare[at] += np.frombuffer(r.rare)
-        known[at] += _wide(r.known, m)
-        if r.keys is not None:
-            keys = np.frombuffer(r.keys, np.int64)
-    return pd.DataFrame({"key": keys, "base": base, "known": known, "rare": rare})
-
-
-def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    return Common(word[order], got["rare"].to_numpy()[order].astype(np.uint8), got["seen"].to_numpy()[order])
+
+
+def vocabulary(common: Common, documents: int) -> gru.Vocabulary:
+    """The ``FREQUENT`` commonest words of the training documents."""
+    top = np.lexsort((common.words, -common.seen))[: gru.FREQUENT]
+    top = np.sort(top[common.seen[top] > 0])
+    return gru.vocabulary_of(common.words[top], common.seen[top], documents)
+
+
+_READ = T.StructType(
+    [T.StructField(c, T.LongType()) for c in ("n", "known")]
+    + [T.StructField(c, T.DoubleType()) for c in ("base", "rare", "model")]
+    + [T.StructField("words", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType()))]
+)
+
+
+def reader(model: gru.Model, common: Common, rare_mass: np.ndarray):
+    """An Arrow function from texts to what can be said of them here, and the rarer words that are left with their counts.
+
+    ``base`` and ``rare`` are sums of log10(c + 0.5) over common words, all of them and those that aren't frequent; ``model``
+    has the network's part, with the masses of the classes of rare words taken off.
+    """
+    log = np.log10(common.seen + 0.5)
+    other_log = np.where(np.isin(common.words, model.v.hashes), 0.0, log)
+    met = common.seen > 0
+
+    @F.arrow_udf(_READ)
+    def read(text: pa.Array) -> pa.Array:
+        columns: list[list] = [[] for _ in range(5)]
+        words, times, sizes = [], [], []
+        for _, _, t in tx.chunks(text):
+            w, h, rare = gru.words_of(t)
+            ids, first = gru.with_ends(model.v.ids(h, rare), w.first, model.v.end)
+            n_text, owner = len(w.first) - 1, w.text()
+            mass = np.concatenate([[0.0], np.cumsum(np.append(rare_mass, 0.0)[np.maximum(ids - (model.v.end + 1), -1)])])
+            at, here = common.places(h)
+            o, a = owner[here], at[here]
+            columns[0].append(np.diff(first))
+            columns[1].append(np.bincount(o, met[a], n_text).astype(np.int64))
+            columns[2].append(np.bincount(o, log[a], n_text))
+            columns[3].append(np.bincount(o, other_log[a], n_text))
+            columns[4].append(model.score(ids, first) - (mass[first[1:]] - mass[first[:-1]]))
+            o, left = owner[~here], h[~here]
+            order = np.lexsort((left, o))
+            o, left = o[order], left[order]
+            lead = np.ones(len(o), bool)
+            lead[1:] = (o[1:] != o[:-1]) | (left[1:] != left[:-1])
+            lead = np.flatnonzero(lead)
+            words.append(left[lead].view(np.int64))
+            times.append(np.diff(np.append(lead, len(o))).astype(np.int32))
+            sizes.append(np.bincount(o[lead], minlength=n_text))
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(join(sizes, np.int64))]).astype(np.int32))
+        arrays = [pa.array(join(c, k)) for c, k in zip(columns, (np.int64, np.int64, float, float, float))]
+        arrays += [pa.ListArray.from_arrays(offsets, pa.array(join(c, k))) for c, k in ((words, np.int64), (times, np.int32))]
+        return pa.StructArray.from_arrays(arrays, _READ.names)
+
+    return read
+
+
+def scored(docs: DataFrame, rounds: int = ROUNDS, most: int = COMMON) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     d = docs.select(
         "doc_id",
         F.coalesce("text", F.lit("")).alias("text"),
         held_out("doc_id", MOD, REST).alias("held_out"),
-        F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"),
     )
-    total = d.agg(F.sum(F.octet_length("text")), F.sum((~F.col("held_out")).cast("long"))).first()
-    n_bytes, ends = total[0] or 0, total[1] or 0
-    bits = max(LEAST_BUCKETS, n_bytes // BUCKET_BYTES).bit_length() - 1
-    d = d.withColumn("train", ~F.col("held_out"))
-    out = cut(sent(d, bits))
-    v = vocabulary(out, ends)
-    model = fit(d, v, ends, rounds)
-    back = cut(out.groupBy("bucket").applyInPandas(lambda rows: count_bucket(rows, v.hashes), _BACK))
-
-    # one row per bucket, of fixed size
-    stats = sum((np.frombuffer(r[0]).reshape(-1, 2) for r in back.where("stats IS NOT NULL").select("stats").toLocalIterator()), np.zeros((gru.RARE + 1, 2)))
-    all_tokens, distinct = stats[gru.RARE, 0] + ends, stats[gru.RARE, 1] + (ends > 0)
+    d = d.withColumns({"train": ~F.col("held_out"), "key": F.xxhash64("doc_id", "text")})
+    totals = totals_of(d)
+    common = common_words(totals, most)
+    ends = d.where("train").count()
+    model = fit(d, vocabulary(common, ends), ends, rounds)
+
+    # tokens and distinct words of the training documents: all, and of those that aren't frequent by class
+    met = F.sum((F.col("seen") > 0).cast("long"))
+    stats = totals.groupBy("rare").agg(F.sum("seen").alias("n"), met.alias("v")).collect()  # a row for each class
+    often = dict.fromkeys(range(gru.RARE), (0, 0))
+    frequent = np.isin(common.words, model.v.hashes)
+    for kind, seen in zip(common.rare[frequent].tolist(), common.seen[frequent].tolist()):
+        often[kind] = often[kind][0] + seen, often[kind][1] + 1
+    rare_mass = np.full(gru.RARE, np.log10(0.5))
+    for kind, n, v in stats:
+        rare_mass[kind] = np.log10(n - often[kind][0] + 0.5 * (v - often[kind][1] + 1))
+    all_tokens, distinct = sum(r["n"] for r in stats) + ends, sum(r["v"] for r in stats) + (ends > 0)
     base_mass = float(np.log10(all_tokens + 0.5 * (distinct + 1)))
-    rare_mass = np.log10(stats[: gru.RARE, 0] + 0.5 * (stats[: gru.RARE, 1] + 1))
 
-    sums = back.where("block IS NOT NULL").drop("stats").groupBy("block").applyInPandas(gather_block, "key long, base double, known long, rare double")
-    sums = sums.groupBy("key").agg(*(F.max(c).alias(c) for c in ("base", "known", "rare")))  # repeated rows have equal sums
-
-    @F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("model", T.DoubleType())]))
-    def run(text: pa.Array) -> pa.Array:
-        ids, first = token_ids(text, model.v)
-        said = model.score(ids, first)
-        other = np.maximum(ids - (model.v.end + 1), -1)
-        mass = np.concatenate([[0.0], np.cumsum(np.append(rare_mass, 0.0)[other])])
-        said = said - (mass[first[1:]] - mass[first[:-1]])
-        return pa.StructArray.from_arrays([pa.array(np.diff(first)), pa.array(said)], ["n", "model"])
-
-    read = d.select("doc_id", "held_out", "key", run("text").alias("r")).select("doc_id", "held_out", "key", "r.n", "r.model")
+    rows = d.select("doc_id", "held_out", reader(model, common, rare_mass)("text").alias("r"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    left = rows.select("row", F.explode(F.arrays_zip(F.col("r.words").alias("word"), F.col("r.times").alias("times"))).alias("x")).select("row", "x.word", "x.times")
+    count = F.coalesce("seen", F.lit(0))
+    sums = (
+        left.join(totals.where("seen > 0").select("word", "seen"), "word", "left")
+        .groupBy("row")
+        .agg(F.sum(F.col("times") * F.log10(count + 0.5)).alias("more"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("more_known"))
+    )
     end = float(np.log10(ends + 0.5))
-    return read.join(sums, "key").select(
+    more, more_known = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
+    return rows.join(sums, "row", "left").select(
         "doc_id",
         "held_out",
-        F.col("n").alias("n_tokens"),
-        (F.col("known") + int(ends > 0)).alias("n_known"),
+        F.col("r.n").alias("n_tokens"),
+        (F.col("r.known") + more_known + int(ends > 0)).alias("n_known"),
         F.lit(int(all_tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + end - F.col("n") * base_mass).alias("base_score"),
-        (F.col("model") + F.col("rare")).alias("score"),
+        (F.col("r.base") + more + end - F.col("r.n") * base_mass).alias("base_score"),
+        (F.col("r.model") + F.col("r.rare") + more).alias("score"),
     )
 
 

@@ -119,3 +119,61 @@ def test_fitting_helps():
     before = m.score(ids, first).sum()
     said = m.fit(docs, epochs=30, streams=4, window=8)
     assert said[-1] > said[0] and m.score(ids, first).sum() > before / 2
+
+
+def test_counts_do_not_depend_on_what_is_broadcast(spark, edge):
+    rows = [(r["doc_id"], r["text"]) for r in edge.collect()]
+    for most in (0, 3, 20):
+        held_to(lm.scored(edge, 1, most).collect(), rows)
+
+
+def test_common_words_are_all_from_a_count_on(spark):
+    rows = [(i, i % 32, max(0, n - 1), n) for i, n in enumerate([1] * 50 + [2] * 20 + [9] * 10 + [100] * 3)]
+    totals = spark.createDataFrame(rows, lm._COUNTS)
+    for most, size in ((1000, 83), (82, 33), (33, 33), (32, 13), (5, 3), (2, 0)):
+        c = lm.common_words(totals, most)
+        assert len(c.words) == size and (np.diff(c.words.astype(np.int64)) > 0).all()
+    v = lm.vocabulary(lm.common_words(totals), 5)
+    assert set(v.hashes.tolist()) == {i for i, _, seen, _ in rows if seen}
+
+
+def test_score_against_a_plain_model(spark):
+    """Every word's probability by hand: the class from the network, the word in it from a softmax or from counts."""
+    docs = spark.createDataFrame([(i, f"The cat {i % 3} sat on mat{i % 5}, eé{i % 7} the end . " * (1 + i % 4)) for i in range(40)], "doc_id long, text string")
+    rows = [tuple(r) for r in docs.collect()]
+    seen = {}
+    fit = lm.fit
+
+    def kept(*a):
+        seen["model"] = fit(*a)
+        return seen["model"]
+
+    lm.fit = kept
+    frequent, gru.FREQUENT = gru.FREQUENT, 6
+    try:
+        got = {r["doc_id"]: r["score"] for r in lm.scored(docs, 2, 9).collect()}
+    finally:
+        lm.fit, gru.FREQUENT = fit, frequent
+    m = seen["model"]
+    c = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in words(t))
+
+    def place(w):
+        (_, _, t), = tx.chunks(pa.array([w]))
+        _, h, rare = gru.words_of(t)
+        return int(m.v.ids(h, rare)[0])
+
+    ids = {w: place(w) for w in {w for _, t in rows for w in words(t)}}
+    classes = {}
+    for w, n in c.items():
+        if ids[w] > m.v.end:
+            classes.setdefault(ids[w], []).append(n)
+    for i, t in rows:
+        h, last, total = np.zeros((1, m.units), np.float32), m.start, 0.0
+        for w in [*words(t), None]:
+            h = m.step(m.p["x"][[last]], h)[0]
+            last = m.v.end if w is None else ids[w]
+            total += float(m.output(h, np.array([last]))[0][0]) / math.log(10)
+            if last > m.v.end:
+                of = classes.get(last, [])
+                total += math.log10((c[w] + 0.5) / (sum(of) + 0.5 * (len(of) + 1)))
+        assert got[i] == pytest.approx(total, rel=1e-4)

@@ -17,7 +17,7 @@ def test_all_training_documents_are_learned_from(spark):
     d = docs.select("doc_id", "text", (~lm.held_out("doc_id", lm.MOD, lm.REST)).alias("train"), F.xxhash64("doc_id").alias("key"))
     texts = [r["text"] for r in d.where("train").collect()]
     counts = Counter(w for t in texts for w in t.split())
-    v = lm.vocabulary(lm.sent(d, 3), len(texts))
+    v = lm.vocabulary(lm.common_words(lm.totals_of(d)), len(texts))
     of = {w: int(h) for w in counts for _, _, t in tx.chunks(pa.array([w])) for h in gru.words_of(t)[1]}
     least = sorted(counts.values(), reverse=True)[gru.FREQUENT - 1]
     chosen = set(v.hashes.tolist())
