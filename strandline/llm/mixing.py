@@ -1,151 +1,188 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source is cut into blocks of ``block`` documents. With target weight w
-(shares of one), block i of a source is released at slot floor(i / w) and due by
-slot ceil((i + 1) / w); each slot goes to the released block that is due first.
-As the weights sum to one, every block keeps its window, so at every slot each
-source has received its share to within less than one block (Baruah et al., 1996).
-
-Weights are rounded to multiples of 1/``period``, so the schedule repeats after
-``period`` slots: one period is scheduled on the driver, and the slot of any
-block follows by arithmetic where the block is. When a source ends, a new phase
-begins in which the others keep their proportions; there are as many phases as
-sources at most. What the driver holds is one count per source and the periods.
-Every document is placed once: none is dropped or repeated.
+Every source is cut into blocks of ``block`` documents. Ideally all sources that
+last are read at once, each at the rate of its weight over the sum of theirs, one
+block a slot in all. In this ideal, block i of a source begins and ends at certain
+times; rounded down and up they are the block's release and deadline. Each slot
+goes to the released block that is due first. As the ideal reads one block a slot,
+every block keeps its window, so at every slot each source has received what the
+ideal gives it to within less than one block, also where others end (Baruah et
+al., 1996).
+
+Weights are rounded to whole ``share`` s of a round of some ``period`` blocks, one
+at least. The ideal then gives every source whole blocks by the end of each round,
+so rounds are scheduled apart, a task each, and nothing is held on the driver: the
+work is in proportion to the blocks. A round has as many rows as sources that
+last, ``period`` or the number of sources at most.
 
 Numbering the documents of a source takes no task with all of a source: they
-fall into buckets of some ``BUCKET`` rows by a hash, are numbered there, and the
-sizes of the buckets before are added.
+fall into buckets of some ``BUCKET`` rows by a hash (copies of one row by the part of
+the input that they're in), are numbered there, and the sizes of the buckets before
+are added. Slots come to the documents by bucket too, so rows are dealt once.
 
 Defined results: a null source is a source of its own; sources of no or zero
-weight follow in a last phase of equal weights; repeated rows are placed each;
-null ids and texts don't matter; no rows give no rows; other columns stay,
-also such as have the names used here.
+weight follow when the others have ended, with equal weights; repeated rows are
+placed each; null ids, empty and very long texts don't matter; no rows give no rows;
+other columns stay, also such as have the names used here.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
-from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import table
+from .common import cut, table
 
 BLOCK = 16
 PERIOD = 4096
-BUCKET = 4096
+BUCKET = 1024
+#: Rows of the first level of running sums.
+RUN = 4096
 #: Default target weights are sizes to this power: large sources are held back, small ones come sooner.
 TEMPER = 0.5
 
 
-def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole shares of the period, one at least, in proportion to the weights (largest remainders)."""
-    period = max(period, len(weights))
-    total = sum(map(Fraction, weights.values()))
-    exact = {k: Fraction(w) / total * period for k, w in weights.items()}
-    got = {k: max(1, int(x)) for k, x in exact.items()}
-    spare = period - sum(got.values())
-    for k in sorted(exact, key=lambda k: (got[k] - exact[k], k)):
-        if spare <= 0:
-            break
-        got[k] += 1
-        spare -= 1
-    while spare < 0:
-        k = max(got, key=lambda k: (got[k] - exact[k] if got[k] > 1 else -1, k))
-        got[k] -= 1
-        spare += 1
-    return got
-
-
-def one_period(share: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period: earliest deadline first among released blocks."""
-    period = sum(share.values())
-    coming = [[] for _ in range(period)]
-    for k in sorted(share):
-        for i in range(share[k]):
-            coming[i * period // share[k]].append((-(-(i + 1) * period // share[k]), k, i))
-    slots: dict[str, list[int]] = {k: [0] * n for k, n in share.items()}
-    ready: list[tuple[int, str, int]] = []
-    for t in range(period):
-        for x in coming[t]:
-            heapq.heappush(ready, x)
-        due, k, i = heapq.heappop(ready)
-        assert t < due, "a block is late"
-        slots[k][i] = t
+def windows(share: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all blocks of a round, source by source: their source, release and deadline. ``blocks``: of each source, ``share`` at most."""
+    source = np.repeat(np.arange(len(share)), blocks)
+    i = np.arange(len(source)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    order = np.argsort(blocks / share, kind="stable")
+    last = (blocks / share)[order]
+    gone, rate = np.append(0, np.cumsum(blocks[order])), share.sum() - np.append(0, np.cumsum(share[order]))
+
+    def reached(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """When the ideal has read ``n`` blocks of the source: whole slots, and the rest times the share."""
+        ended = np.searchsorted(last, n / share[source], "left")
+        part = n * rate[ended]
+        return gone[ended] + part // share[source], part % share[source]
+
+    begin, _ = reached(i)
+    end, more = reached(i + 1)
+    return source, begin, end + (more > 0)
+
+
+def first_due(release: np.ndarray, deadline: np.ndarray) -> np.ndarray:
+    """The slot of each block: earliest deadline first among released blocks."""
+    n = len(release)
+    order, slots = np.argsort(release, kind="stable").tolist(), np.empty(n, np.int64)
+    begin, due = release.tolist(), deadline.tolist()
+    ready: list[tuple[int, int]] = []
+    at = 0
+    for t in range(n):
+        while at < n and begin[order[at]] <= t:
+            heapq.heappush(ready, (due[order[at]], order[at]))
+            at += 1
+        end, b = heapq.heappop(ready)
+        assert t < end, "a block is late"
+        slots[b] = t
     return slots
 
 
-def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[dict]:
-    """Phases: for each source that takes part its first block, its share, the period, slots in it, and the phase's first slot."""
-    left = {k: n for k, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    rows, base, phase = [], 0, 0
-    while left:
-        live = {k: weights[k] for k in left if weights.get(k, 0) > 0} or dict.fromkeys(left, 1.0)
-        share = shares(live, period)
-        slots, span = one_period(share), sum(share.values())
-        ends = min((left[k] - 1) // share[k] * span + slots[k][(left[k] - 1) % share[k]] for k in live) + 1
-        for k in sorted(live):
-            rows.append({"source_key": k, "phase": phase, "first": done[k], "share": share[k], "span": span, "slots": slots[k], "base": base})
-            used = ends // span * share[k] + sum(s < ends % span for s in slots[k])
-            done[k] += used
-            left[k] -= used
-            if left[k] <= 0:
-                del left[k]
-        base, phase = base + ends, phase + 1
-    return rows
-
-
 _KEY = "__mix_key"
-_PLAN = T.StructType(
-    [T.StructField("source_key", T.StringType())]
-    + [T.StructField("__mix_plan", T.ArrayType(T.StructType([T.StructField("slots", T.ArrayType(T.IntegerType()))] + [T.StructField(c, T.LongType()) for c in ("phase", "first", "share", "span", "base")])))]
-)
+_ROUND = "late boolean, round long"
+_PLAN = f"source_key string, {_ROUND}, phase long, slots array<int>, releases array<int>, deadlines array<int>"
+
+
+def one_round(rows: pd.DataFrame) -> pd.DataFrame:
+    """Slots, releases and deadlines of a round's blocks, counted from its first slot; phase: sources that have ended in earlier rounds."""
+    rows = rows.sort_values("source_key", kind="stable")
+    blocks = rows["blocks"].to_numpy(np.int64)
+    _, release, deadline = windows(rows["share"].to_numpy(np.int64), blocks)
+    slot, at = first_due(release, deadline), np.cumsum(blocks)[:-1]
+    out = rows[["source_key", "late", "round"]].assign(phase=rows["sources"] - len(rows))
+    for name, x in (("slots", slot), ("releases", release), ("deadlines", deadline)):
+        out[name] = [a.astype(np.int32) for a in np.split(x, at)]
+    return out
+
+
+def _running(d: DataFrame, value: str, by: list[str], at: str, name: str) -> DataFrame:
+    """With the sum of ``value`` over the rows before (by ``at``) in two levels, so no task has all of a key."""
+    run = F.floor(F.col(at) / RUN)
+    sums = d.groupBy(*by, run.alias("__run")).agg(F.sum(value).alias("__sum"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*by, "__run", before("__sum", Window.partitionBy(*by).orderBy("__run")).alias("__base"))
+    inside = d.withColumn("__run", run).withColumn(name, before(value, Window.partitionBy(*by, "__run").orderBy(at)))
+    return inside.join(sums, [*by, "__run"]).withColumn(name, F.col(name) + F.col("__base")).drop("__run", "__base")
+
+
+def rounds(sources: DataFrame, period: int = PERIOD) -> DataFrame:
+    """source_key, late, share, blocks of (source_key, late, weight, blocks) rows by round, with the number of sources."""
+    # two rows at most
+    total = {r["late"]: r for r in sources.groupBy("late").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()}
+    weight = F.when(F.col("late"), float(total[True]["w"]) if True in total else 1.0).otherwise(float(total[False]["w"]) if False in total else 1.0)
+    number = F.when(F.col("late"), total[True]["n"] if True in total else 0).otherwise(total[False]["n"] if False in total else 0)
+    d = sources.withColumn("share", F.greatest(F.lit(1), F.round(F.col("weight") / weight * period)).cast("long")).withColumn("sources", number.cast("long"))
+    last = F.expr("(blocks - 1) div share")
+    d = d.withColumn("__far", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / RUN))))
+    d = d.withColumn("round", F.explode(F.sequence(F.col("__far") * RUN, F.least(last, F.col("__far") * RUN + (RUN - 1)))))
+    return d.withColumn("blocks", F.least("share", F.col("blocks") - F.col("round") * F.col("share"))).drop("__far", "weight")
+
+
+def schedule(sources: DataFrame, period: int = PERIOD) -> DataFrame:
+    """``_PLAN`` rows with share and base (the round's first slot), a row for each source and round."""
+    parts = cut(rounds(sources, period))
+    length = parts.groupBy("late", "round").agg(F.sum("blocks").alias("length"))
+    base = _running(length, "length", ["late"], "round", "base").drop("length")
+    # one row
+    first = parts.where("NOT late").agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    base = base.withColumn("base", F.col("base") + F.when(F.col("late"), first).otherwise(0))
+    plan = parts.groupBy("late", "round").applyInPandas(one_round, _PLAN)
+    return plan.join(base, ["late", "round"])
+
+
+def _key(c: Column) -> Column:
+    return F.concat(F.when(c.isNull(), "0").otherwise("1"), F.coalesce(c.cast("string"), F.lit("")))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """The rows with a struct column ``__mix``: block, phase, slot, release, deadline (slots of the whole mixture) and position."""
+    """The rows with a struct column ``__mix``: block, phase (sources that ended before its round), slot, release, deadline (slots of the whole mixture) and position."""
     spark = docs.sparkSession
-    key = F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce(F.col("source").cast("string"), F.lit("")))
-    # the row number's order must not depend on the run: id, then text
+    # a row's hash orders the rows of its source; which of several equal rows comes first doesn't matter
     salt = F.xxhash64("doc_id", "text") if "text" in docs.columns else F.xxhash64("doc_id")
-    d = docs.withColumn(_KEY, key).withColumn("__mix_salt", salt)
-    sizes = {r[0]: r[1] for r in d.groupBy(_KEY).agg(F.count("*")).collect()}
+    d = docs.withColumn(_KEY, _key(F.col("source"))).withColumn("__mix_salt", salt)
+    largest = d.groupBy(_KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n_buckets = max(1, -(-largest // BUCKET))
+    d = d.withColumn("__mix_bucket", F.pmod(F.xxhash64("__mix_salt", F.spark_partition_id()), F.lit(n_buckets)))
+    buckets = cut(d.groupBy(_KEY, "__mix_bucket").agg(F.count("*").alias("n")))
+
+    sizes = buckets.groupBy(_KEY).agg(F.sum("n").alias("n"))
     if weights is None:
-        target = {k: n**TEMPER for k, n in sizes.items()}
+        sizes = sizes.withColumn("weight", F.pow("n", F.lit(TEMPER)))
     else:
-        target = {("0" if k is None else "1" + k): w for k, w in weights.items()}
-    plan: dict[str, list] = {}
-    for r in schedule({k: -(-n // block) for k, n in sizes.items()}, target, period):
-        plan.setdefault(r["source_key"], []).append((r["slots"], *(r[c] for c in ("phase", "first", "share", "span", "base"))))
-    plans = spark.createDataFrame(list(plan.items()), _PLAN)
-
-    n_buckets = max(1, -(-max(sizes.values(), default=1) // BUCKET))
-    d = d.withColumn("__mix_bucket", F.pmod(F.col("__mix_salt"), F.lit(n_buckets)))
-    before = Window.partitionBy(_KEY).orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        d.groupBy(_KEY, "__mix_bucket")
-        .agg(F.count("*").alias("n"))
-        .select(_KEY, "__mix_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__mix_before"))
-    )
+        given = [("0" if k is None else "1" + str(k), float(w)) for k, w in weights.items()]
+        sizes = sizes.join(spark.createDataFrame(given, f"{_KEY} string, weight double"), _KEY, "left")
+    late = F.coalesce("weight", F.lit(0.0)) <= 0
+    sources = sizes.select(F.col(_KEY).alias("source_key"), late.alias("late"), F.when(late, 1.0).otherwise(F.col("weight")).alias("weight"), F.ceil(F.col("n") / block).alias("blocks"))
+    if sources.isEmpty():
+        return docs.withColumn("__mix", F.lit(None).cast("struct<block:bigint,phase:bigint,slot:bigint,release:bigint,deadline:bigint,position:bigint>"))
+    sources = cut(sources)
+    plan = schedule(sources, period).withColumnRenamed("source_key", _KEY)
+
+    # the places of each bucket's blocks: some BUCKET / block of them
+    share = rounds(sources, period).where("round = 0").select(F.col("source_key").alias(_KEY), "share")
+    before = _running(buckets, "n", [_KEY], "__mix_bucket", "before")
+    mine = before.join(share, _KEY).withColumn("block", F.explode(F.sequence(F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("n") - 1) / block))))
+    mine = mine.withColumn("round", F.expr("block div share")).join(plan, [_KEY, "round"])
+    i = F.pmod("block", "share").cast("int")
+    place = F.struct("block", "phase", *(F.get(c, i) + F.col("base") for c in ("slots", "releases", "deadlines")))
+    places = mine.groupBy(_KEY, "__mix_bucket").agg(F.first("before").alias("__mix_before"), F.sort_array(F.collect_list(place)).alias("__mix_places"))
+
     inside = Window.partitionBy(_KEY, "__mix_bucket").orderBy("__mix_salt", "doc_id")
-    d = d.withColumn("__mix_n", F.row_number().over(inside) - 1).join(offsets, [_KEY, "__mix_bucket"])
-    d = d.withColumn("__mix_n", F.col("__mix_n") + F.col("__mix_before")).join(plans.withColumnRenamed("source_key", _KEY), _KEY)
-    d = d.withColumn("__mix_block", F.floor(F.col("__mix_n") / block))
-    d = d.withColumn("__mix_p", F.element_at(F.filter("__mix_plan", lambda p: p["first"] <= F.col("__mix_block")), -1)).drop("__mix_plan")
-    i, p = F.col("__mix_block") - F.col("__mix_p.first"), F.col("__mix_p")
-    slot = p["base"] + F.floor(i / p["share"]) * p["span"] + F.get(p["slots"], F.pmod(i, p["share"]).cast("int"))
+    d = d.withColumn("__mix_n", F.row_number().over(inside) - 1).join(places, [_KEY, "__mix_bucket"])
+    n = F.col("__mix_n") + F.col("__mix_before")
+    p = F.get("__mix_places", (F.floor(n / block) - F.floor(F.col("__mix_before") / block)).cast("int"))
     mix = F.struct(
-        F.col("__mix_block").alias("block"),
+        p["block"].alias("block"),
         p["phase"].alias("phase"),
-        slot.alias("slot"),
-        (p["base"] + F.expr("((__mix_block - __mix_p.first) * __mix_p.span) div __mix_p.share")).alias("release"),
-        (p["base"] + F.expr("((__mix_block - __mix_p.first + 1) * __mix_p.span + __mix_p.share - 1) div __mix_p.share")).alias("deadline"),
-        (slot * block + F.pmod(F.col("__mix_n"), F.lit(block))).alias("position"),
+        p["col3"].alias("slot"),
+        p["col4"].alias("release"),
+        p["col5"].alias("deadline"),
+        (p["col3"] * block + F.pmod(n, F.lit(block))).alias("position"),
     )
     return d.select(*(F.col(f"`{c}`") for c in docs.columns), mix.alias("__mix"))
 
