@@ -30,6 +30,8 @@ no rows give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,6 +48,24 @@ SPREAD = 16
 CROWD = 64
 
 
+def majority(h: np.ndarray, n: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text the bits that over half of its ``n`` hashes ``h[first[i]:first[i + 1]]`` have; zero without any."""
+    fp = np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n)
+    for a in range(0, len(full), 256):  # bounds the unpacked bits
+        part = full[a : a + 256]
+        lo, hi = first[part[0]], first[part[-1] + 1]
+        votes = np.zeros((len(part), 64), np.int64)
+        for b in range(lo, hi, 1 << 17):
+            e = min(hi, b + (1 << 17))
+            bits = np.unpackbits(h[b:e].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            inside = part[(first[part] < e) & (first[part + 1] > b)]
+            votes[np.searchsorted(part, inside)] += np.add.reduceat(bits, np.maximum(first[inside], b) - b, axis=0, dtype=np.int32)
+        on = 2 * votes > n[part][:, None]
+        fp[part] = np.packbits(on, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return fp
+
+
 def fingerprints(texts: pa.Array, k: int = SHINGLE, seed: int = 42) -> np.ndarray:
     """Signed 64-bit SimHash of each text over its k-word shingles, repeats included."""
     digest, out = xxhash.xxh64_intdigest, []
@@ -77,20 +97,7 @@ def fingerprints(texts: pa.Array, k: int = SHINGLE, seed: int = 42) -> np.ndarra
         lead = np.arange(total) - first[owner] + w.first[owner]
         last = np.minimum(lead + k, w.first[owner + 1])
         h = np.fromiter((digest(body[s:e], seed) for s, e in zip(at[lead].tolist(), (at[last] - 1).tolist())), np.uint64, total)
-        fp = np.zeros(len(n), np.uint64)
-        full = np.flatnonzero(n)
-        for a in range(0, len(full), 256):  # bounds the unpacked bits
-            part = full[a : a + 256]
-            lo, hi = first[part[0]], first[part[-1] + 1]
-            votes = np.zeros((len(part), 64), np.int64)
-            for b in range(lo, hi, 1 << 17):
-                e = min(hi, b + (1 << 17))
-                bits = np.unpackbits(h[b:e].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                inside = part[(first[part] < e) & (first[part + 1] > b)]
-                votes[np.searchsorted(part, inside)] += np.add.reduceat(bits, np.maximum(first[inside], b) - b, axis=0, dtype=np.int32)
-            on = 2 * votes > n[part][:, None]
-            fp[part] = np.packbits(on, axis=1, bitorder="little").view(np.uint64)[:, 0]
-        out.append(fp)
+        out.append(majority(h, n, first))
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)).view(np.int64)
 
 
@@ -121,12 +128,12 @@ def pivot_table(fps: DataFrame, n: int = SPREAD) -> DataFrame:
     return fps.select("fp", *packed)
 
 
-def _within(a: str, b: str, n: int, most: int) -> Column:
-    """No coordinate of the pivot tables differs by more than ``most``."""
+def within_pivots(x: Mapping[str, Column], y: Mapping[str, Column], n: int, most: int) -> Column:
+    """No coordinate of the pivot tables (columns p0, p1, ...) differs by more than ``most``."""
     diffs = []
     for j in range(n):
-        x, y = (F.shiftrightunsigned(F.col(f"{s}.p{j // 8}"), 8 * (j % 8)).bitwiseAND(F.lit(255)) for s in (a, b))
-        diffs.append(F.abs(x - y))
+        a, b = (F.shiftrightunsigned(s[f"p{j // 8}"], 8 * (j % 8)).bitwiseAND(F.lit(255)) for s in (x, y))
+        diffs.append(F.abs(a - b))
     return F.greatest(*diffs) <= most
 
 
@@ -144,7 +151,7 @@ def links(fps: DataFrame, crowd: int = CROWD, spread: int = SPREAD) -> DataFrame
         few.alias("x")
         .join(few.alias("y"), "cell")
         .where(F.col("x.fp") < F.col("y.fp"))
-        .where(_within("x", "y", spread, BITS))
+        .where(within_pivots(*({f"p{j}": F.col(f"{side}.p{j}") for j in range(spread // 8)} for side in ("x", "y")), spread, BITS))
         .where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= BITS)
         .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     )
@@ -174,19 +181,5 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD, spread: int = SPREAD) -
     )
 
 
-def deduplicated(docs: DataFrame, crowd: int = CROWD, spread: int = SPREAD) -> DataFrame:
-    """The documents without all but one of each component: the one of the smallest id (null last, then by text hash)."""
-    t = fingerprint_table(docs)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
-    by_fp = t.groupBy("fp").agg(best).join(classes(t, crowd, spread).withColumnRenamed("component_id", "component"), "fp")
-    # a component without ids has a null one; it then stands for itself
-    key = F.struct(F.col("component").isNull().alias("none"), F.coalesce("component", "fp").alias("id"))
-    kept = by_fp.groupBy(key.alias("key")).agg(F.min("best").alias("best")).select("best.doc_id", "best.text_hash")
-    d, k = docs.alias("d"), kept.alias("k")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("k.text_hash"))
-    out = d.join(k, same, "left_semi")
-    return out.dropDuplicates(["doc_id", "text"])
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

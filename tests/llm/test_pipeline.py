@@ -1,7 +1,8 @@
 import numpy as np
 import corpus_pipeline
 import __spark_entry__ as entry
-from strandline.llm import quality, simhash, toxicity
+from strandline.llm import quality, toxicity
+from test_similar import brute_roots
 from tests_llm_help import brute_pieces
 
 
@@ -24,7 +25,7 @@ def test_stages(spark, tmp_path):
     a, b = outs[1]
     assert ids(b) == ids(a.where(quality.quality(a, labels) >= quality.CUT))
     a, b = outs[2]
-    assert ids(b) == sorted({r["component_id"] for r in simhash.near_duplicates(a).collect()})
+    assert ids(b) == sorted(set(brute_roots([tuple(r) for r in a.select("doc_id", "text").collect()]).values()))
     a, b = outs[3]
     assert ids(a) == ids(b)
     a, b = outs[4]
@@ -42,6 +43,15 @@ def test_edges(spark, edge, none, tmp_path, labels):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     for start in (edge, none):
         docs = start
-        for _, f in corpus_pipeline.STAGES:
-            docs = f(spark, docs, str(tmp_path))
-        docs.collect()
+        for name, f in corpus_pipeline.STAGES:
+            before, docs = docs, f(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert docs.columns == before.columns
+                # rows stay as they were, clashing columns too
+                was = {repr(tuple(r)) for r in before.collect()}
+                assert {repr(tuple(r)) for r in docs.collect()} <= was
+                docs = spark.createDataFrame(docs.collect(), docs.schema)
+                if name == "mixing":
+                    assert docs.count() == before.count()
+        rows = docs.collect()
+        assert len(rows) == (0 if start is none else len(rows)) and all(r["length"] >= 1 for r in rows)

@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from strandline.llm import simhash
+from strandline.llm import simhash, similar
 
 
 def brute(text):
@@ -76,7 +76,7 @@ def test_links_of_crowds(spark, crowd):
 
 
 def test_one_of_each_group_stays(spark, edge):
-    kept = simhash.deduplicated(edge)
+    kept = similar.deduplicated(edge)
     assert kept.columns == edge.columns
     ids = [r["doc_id"] for r in kept.collect()]
     # 1 and 2 are copies, 3 4 and 5 have no words; no id is smallest only where there is no other
@@ -85,4 +85,4 @@ def test_one_of_each_group_stays(spark, edge):
 
 def test_no_rows(none):
     assert simhash.near_duplicates(none).collect() == []
-    assert simhash.deduplicated(none).collect() == []
+    assert similar.deduplicated(none).collect() == []
