@@ -75,6 +75,11 @@ def vocabulary_of(value: np.ndarray, count: np.ndarray, documents: int, most: in
     return Vocabulary(value, of)
 
 
+def _high(w: np.ndarray, b: np.ndarray, most: float) -> bool:
+    """Whether w h + b may be too large or small for exp in single precision, where no component of h is over ``most``."""
+    return float((np.abs(w).sum(1) * most + np.abs(b)).max(initial=0.0)) > 60
+
+
 class Model:
     """Parameters by name; ids are the vocabulary's, the start mark last."""
 
@@ -124,9 +129,12 @@ class Model:
         order = np.argsort(c.astype(np.int8), kind="stable")
         c, ids, h = c[order], ids[order], h[order]
         row = np.arange(n)
+        # no logit is over this, so most often none needs to be taken off before exp
+        most = float(np.abs(h).max(initial=0.0))
         e = p["cw"].T @ h.T
         e += (p["cb"] + self.closed)[:, None]
-        e -= e.max(0)
+        if _high(p["cw"].T, p["cb"], most):
+            e -= e.max(0)
         got = e[c, row]
         np.exp(e, out=e)
         s = e.sum(0)
@@ -140,7 +148,7 @@ class Model:
             dh = (p["cw"] @ e).T
             gw, gb = np.zeros_like(p["ww"]), np.zeros_like(p["wb"])
         ww, wb, place = p["ww"][self.rank], p["wb"][self.rank], self.place[np.minimum(ids, self.v.end)]
-        at, end = np.searchsorted(c, np.arange(CLASSES + 1)).tolist(), 0
+        at, end, high = np.searchsorted(c, np.arange(CLASSES + 1)).tolist(), 0, _high(ww, wb, most)
         for k in range(CLASSES):
             lo, hi, size = at[k], at[k + 1], len(self.members[k])
             first, end = end, end + size
@@ -149,7 +157,8 @@ class Model:
             hk, wk, col = h[lo:hi], ww[first:end], place[lo:hi]
             e = wk @ hk.T
             e += wb[first:end, None]
-            e -= e.max(0)
+            if high:
+                e -= e.max(0)
             row = np.arange(hi - lo)
             got[lo:hi] += e[col, row]
             np.exp(e, out=e)
@@ -228,11 +237,22 @@ class Model:
                 count += 1
                 speed = rate if moments is not None else rate * max(0.05, 1 - count / total_steps)
                 scale = 1.0 / (size * width)
+                up, down = speed / (1 - 0.9**count), 1 / np.sqrt(1 - 0.999**count)
                 for name, v in g.items():
+                    a1, a2 = m1[name], m2[name]
                     v *= scale
-                    m1[name] = 0.9 * m1[name] + 0.1 * v
-                    m2[name] = 0.999 * m2[name] + 0.001 * v * v
-                    p[name] += speed * (m1[name] / (1 - 0.9**count)) / (np.sqrt(m2[name] / (1 - 0.999**count)) + 1e-8)
+                    a1 *= 0.9
+                    a1 += 0.1 * v
+                    v *= v
+                    v *= 0.001
+                    a2 *= 0.999
+                    a2 += v
+                    np.sqrt(a2, out=v)
+                    v *= down
+                    v += 1e-8
+                    np.divide(a1, v, out=v)
+                    v *= up
+                    p[name] += v
             said.append(sums / (width * steps) / LN10)
         if moments is not None:
             moments[:] = m1, m2, count

@@ -214,23 +214,28 @@ def reader(model: gru.Model, common: Common, rare_mass: np.ndarray):
     log = np.log10(common.seen + 0.5)
     other_log = np.where(np.isin(common.words, model.v.hashes), 0.0, log)
     met = common.seen > 0
+    frequent = common.places(model.v.hashes)[0]
 
     @F.arrow_udf(_READ)
     def read(text: pa.Array) -> pa.Array:
-        columns: list[list] = [[] for _ in range(5)]
-        words, times, sizes = [], [], []
+        columns: list[list] = [[] for _ in range(4)]
+        tokens, words, times, sizes = [], [], [], []
         for _, _, t in tx.chunks(text):
             w, h, rare = gru.words_of(t)
-            ids, first = gru.with_ends(model.v.ids(h, rare), w.first, model.v.end)
+            word_ids = model.v.ids(h, rare)
+            ids, first = gru.with_ends(word_ids, w.first, model.v.end)
             n_text, owner = len(w.first) - 1, w.text()
-            mass = np.concatenate([[0.0], np.cumsum(np.append(rare_mass, 0.0)[np.maximum(ids - (model.v.end + 1), -1)])])
-            at, here = common.places(h)
+            tokens.append(ids)
+            # frequent words are common ones, so only others are looked up
+            here = word_ids < model.v.end
+            at = np.append(frequent, 0)[np.minimum(word_ids, model.v.end)]
+            rest = np.flatnonzero(~here)
+            at[rest], here[rest] = common.places(h[rest])
             o, a = owner[here], at[here]
             columns[0].append(np.diff(first))
             columns[1].append(np.bincount(o, met[a], n_text).astype(np.int64))
             columns[2].append(np.bincount(o, log[a], n_text))
             columns[3].append(np.bincount(o, other_log[a], n_text))
-            columns[4].append(model.score(ids, first) - (mass[first[1:]] - mass[first[:-1]]))
             o, left = owner[~here], h[~here]
             order = np.lexsort((left, o))
             o, left = o[order], left[order]
@@ -241,6 +246,10 @@ def reader(model: gru.Model, common: Common, rare_mass: np.ndarray):
             times.append(np.diff(np.append(lead, len(o))).astype(np.int32))
             sizes.append(np.bincount(o[lead], minlength=n_text))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        # all texts step together, so few steps have few of them
+        ids, first = join(tokens, np.int64), np.concatenate([[0], np.cumsum(join(columns[0], np.int64))])
+        mass = np.concatenate([[0.0], np.cumsum(np.append(rare_mass, 0.0)[np.maximum(ids - (model.v.end + 1), -1)])])
+        columns.append([model.score(ids, first) - (mass[first[1:]] - mass[first[:-1]])])
         offsets = pa.array(np.concatenate([[0], np.cumsum(join(sizes, np.int64))]).astype(np.int32))
         arrays = [pa.array(join(c, k)) for c, k in zip(columns, (np.int64, np.int64, float, float, float))]
         arrays += [pa.ListArray.from_arrays(offsets, pa.array(join(c, k))) for c, k in ((words, np.int64), (times, np.int32))]
