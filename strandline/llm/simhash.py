@@ -30,7 +30,7 @@ no rows give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -116,8 +116,8 @@ def references(n: int = SPREAD) -> list[int]:
     return [int(x) for x in tx.mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)]
 
 
-def pivot_table(fps: DataFrame, n: int = SPREAD) -> DataFrame:
-    """fp with its distances to the spread references, eight to a long (p0, p1, ...)."""
+def pivot_table(fps: DataFrame, n: int = SPREAD, more: Sequence[str] = ()) -> DataFrame:
+    """fp with its distances to the spread references, eight to a long (p0, p1, ...), and columns of ``fps`` that are to stay."""
     refs = references(n)
     packed = []
     for a in range(0, n, 8):
@@ -125,15 +125,15 @@ def pivot_table(fps: DataFrame, n: int = SPREAD) -> DataFrame:
         for j, r in enumerate(refs[a : a + 8]):
             c = c.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(r))).cast("long"), 8 * j))
         packed.append(c.alias(f"p{a // 8}"))
-    return fps.select("fp", *packed)
+    return fps.select("fp", *more, *packed)
 
 
-def within_pivots(x: Mapping[str, Column], y: Mapping[str, Column], n: int, most: int) -> Column:
-    """No coordinate of the pivot tables (columns p0, p1, ...) differs by more than ``most``."""
+def _within(a: str, b: str, n: int, most: int) -> Column:
+    """No coordinate of the pivot tables differs by more than ``most``."""
     diffs = []
     for j in range(n):
-        a, b = (F.shiftrightunsigned(s[f"p{j // 8}"], 8 * (j % 8)).bitwiseAND(F.lit(255)) for s in (x, y))
-        diffs.append(F.abs(a - b))
+        x, y = (F.shiftrightunsigned(F.col(f"{s}.p{j // 8}"), 8 * (j % 8)).bitwiseAND(F.lit(255)) for s in (a, b))
+        diffs.append(F.abs(x - y))
     return F.greatest(*diffs) <= most
 
 
@@ -151,7 +151,7 @@ def links(fps: DataFrame, crowd: int = CROWD, spread: int = SPREAD) -> DataFrame
         few.alias("x")
         .join(few.alias("y"), "cell")
         .where(F.col("x.fp") < F.col("y.fp"))
-        .where(within_pivots(*({f"p{j}": F.col(f"{side}.p{j}") for j in range(spread // 8)} for side in ("x", "y")), spread, BITS))
+        .where(_within("x", "y", spread, BITS))
         .where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= BITS)
         .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     )
