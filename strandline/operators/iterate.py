@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -137,14 +137,20 @@ def substrate(g: Graph, kinds: list[str], hub_cap: int = 500) -> Graph:
     return Graph(n, e)
 
 
-def node_index(nodes: DataFrame) -> DataFrame:
-    """(node_id, idx): places in order of id, from 0. Ranges of ids are numbered apart, then shifted."""
-    d = nodes.select("node_id").distinct().repartitionByRange("node_id").sortWithinPartitions("node_id")
+def numbered(d: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows with their places in an order, from 0. Ranges are numbered apart, then shifted."""
+    d = d.repartitionByRange(*order).sortWithinPartitions(*order)
     d = cut(d.withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id()))
     w = Window.partitionBy("__p").orderBy("__k")
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = d.groupBy("__p").agg(F.count("*").alias("c")).select("__p", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("b"))  # one row a partition
-    return d.withColumn("r", F.row_number().over(w) - 1).join(F.broadcast(sizes), "__p").select("node_id", (F.col("r") + F.col("b")).alias("idx"))
+    sizes = d.groupBy("__p").agg(F.count("*").alias("c")).select("__p", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__b"))  # one row a partition
+    d = d.withColumn(name, F.row_number().over(w) - 1).join(F.broadcast(sizes), "__p")
+    return d.withColumn(name, F.col(name) + F.col("__b")).drop("__p", "__k", "__b")
+
+
+def node_index(nodes: DataFrame) -> DataFrame:
+    """(node_id, idx): places in order of id, from 0."""
+    return numbered(nodes.select("node_id").distinct(), [F.col("node_id")], "idx")
 
 
 def bypass(g: Graph) -> DataFrame:

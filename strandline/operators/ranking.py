@@ -2,46 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph, top_per
+from ..graph import Graph, flag, top_per
 from .iterate import components, cut, largest_component
 
 
-def rank_chains(g: Graph, scores: DataFrame, evidence: DataFrame, decay: float = 0.7, least: float = 0.0, most: int = 1000, genes: int = 6, mets: int = 6, diseases: int = 3, spread: bool = True) -> DataFrame:
-    """path, kind, score, rank: gene-reaction-metabolite, disease-gene-reaction-metabolite and metabolite-reaction-metabolite chains.
+def rank_chains(g: Graph, scores: DataFrame, evidence: DataFrame | None = None, decay: float = 0.8, least: float = 0.0, most: int = 1000, mets: int = 6, short: int = 3, spread: bool = False) -> DataFrame:
+    """path, kind, score, rank: gene-reaction-metabolite, disease-gene-reaction-metabolite and (``spread``) metabolite-reaction-metabolite chains.
 
-    A chain's score is |reaction score| x decay^hops over the root of its metabolites'
-    and genes' degrees, plus 0.05 for each node with evidence. Fan-out is capped per
-    reaction (in order of relation and id, as the capped neighbour lists of the
-    method are), chains of equal nodes count once, the best ``most`` are given.
+    |reaction score| is multiplied by ``decay`` for each hop and by 1 / root of the degree of
+    each node but the reaction; 0.05 x the end's evidence (sum of |effect x confidence|) is
+    added. Chains from a disease are multiplied by their edge's score (0.4 if it has none);
+    chains from a substrate begin only where it has evidence, and 1 + a tenth of that
+    multiplies them. Ends are products that aren't currency, ``mets`` of a reaction at most
+    (``short`` for diseases), the first by id; genes and diseases aren't capped. The best
+    ``most`` are given.
     """
-    s = cut(scores.where(F.abs("score") >= least).select("reaction_id", F.abs("score").alias("base")))  # used five times
-    e = g.edges.select("src", "dst", "rel")
-    # what a node adds to any chain: half its degree's logarithm off, and whether it has evidence
-    seen = evidence.select("node_id", F.lit(1).alias("seen")).distinct()
-    info = g.total_degree().join(seen, "node_id", "left").select("node_id", (-0.5 * F.log("degree")).alias("damp"), F.coalesce("seen", F.lit(0)).alias("seen"))
+    s = cut(scores.where(F.abs("score") >= least).select("reaction_id", F.abs("score").alias("base")))  # used four times
+    told = (F.col("score") if "score" in g.edges.columns else F.lit(None)).cast("double").alias("conf")
+    e = g.edges.select("src", "dst", "rel", told)
+    kept = lambda kind: g.of_type(kind).where(~flag("is_currency")) if kind == "metabolite" else g.of_type(kind)
+    hub = g.total_degree().select("node_id", (1 / F.sqrt(F.greatest("degree", F.lit(1)))).alias("w"))
+    ev = None if evidence is None else evidence.groupBy("node_id").agg(F.sum(F.abs(F.col("effect_size") * F.col("confidence"))).alias("ev"))
+    info = hub.withColumn("ev", F.lit(0.0)) if ev is None else hub.join(ev, "node_id", "left").withColumn("ev", F.coalesce("ev", F.lit(0.0)))
     info = cut(info.join(g.of_type("reaction").select("node_id"), "node_id", "left_anti"))
-    told = lambda d, c: d.join(info.select(F.col("node_id").alias(c), F.col("damp").alias(f"{c}_d"), F.col("seen").alias(f"{c}_s")), c)
-    cap = lambda d, k, name: told(top_per(d.join(s, "reaction_id", "left_semi"), ["reaction_id"], [F.asc(name)], k).drop("rank"), name)
-    side = lambda rel, rxn, node, name: e.where(F.col("rel") == rel).select(F.col(rxn).alias("reaction_id"), F.col(node).alias(name))
-    enzymes = cap(side("catalysis", "dst", "src", "gene"), genes, "gene")
-    right = cap(side("product", "src", "dst", "met"), mets, "met")
-    left = cap(side("substrate", "dst", "src", "sub"), mets, "sub")
-    dis = e.where("rel = 'disease_gene'").select(F.col("src").alias("dis"), F.col("dst").alias("gene"))
-    dis = told(top_per(dis, ["gene"], [F.asc("dis")], diseases).drop("rank"), "dis")
-
-    def chain(d: DataFrame, kind: str, ends: list[str], nodes: list[str]) -> DataFrame:
-        damp, marks = (sum((F.col(f"{c}_{x}") for c in ends[1:]), F.col(f"{ends[0]}_{x}")) for x in ("d", "s"))
-        score = F.col("base") * F.pow(F.lit(decay), len(nodes) - 1) * F.exp(damp) + 0.05 * marks
+
+    def side(name: str, kind: str, rxn: str, node: str, *rel: str) -> DataFrame:
+        """(reaction_id, name, its weight and evidence) along edges between scored reactions and nodes of a kind."""
+        d = e.where(F.col("rel").isin(*rel)) if rel else e
+        d = d.select(F.col(rxn).alias("reaction_id"), F.col(node).alias(name)).join(s.select("reaction_id"), "reaction_id", "left_semi")
+        return d.join(kept(kind).select(F.col("node_id").alias(name)), name, "left_semi").distinct()
+
+    known = lambda d, c: d.join(info.select(F.col("node_id").alias(c), F.col("w").alias(f"{c}_w"), F.col("ev").alias(f"{c}_ev")), c)
+    right = known(top_per(side("met", "metabolite", "src", "dst", "product"), ["reaction_id"], [F.asc("met")], mets).withColumnRenamed("rank", "place"), "met")
+    enzymes = known(side("gene", "gene", "dst", "src"), "gene")
+    dis = e.select(F.col("src").alias("dis"), F.col("dst").alias("gene"), "conf").join(g.of_type("disease").select(F.col("node_id").alias("dis")), "dis", "left_semi")
+    dis = known(dis.withColumn("conf", F.when(F.col("conf") != 0, F.col("conf")).otherwise(0.4)), "dis")
+
+    def chain(d: DataFrame, kind: str, times: Column, nodes: list[str]) -> DataFrame:
+        score = F.col("base") * F.pow(F.lit(decay), len(nodes) - 1) * times * F.col("met_w") + 0.05 * F.col("met_ev")
         return d.select(F.array(*nodes).alias("path"), F.lit(kind).alias("kind"), score.alias("score"))
 
-    # edges are unique, so no two chains have the same nodes
-    gr = s.join(enzymes, "reaction_id").join(right, "reaction_id")
-    p = chain(gr, "gene", ["gene", "met"], ["gene", "reaction_id", "met"]).unionByName(chain(gr.join(dis, "gene"), "disease", ["dis", "gene", "met"], ["dis", "gene", "reaction_id", "met"]))
+    gr = s.join(enzymes, "reaction_id")
+    p = chain(gr.join(right, "reaction_id"), "gene", F.col("gene_w"), ["gene", "reaction_id", "met"])
+    few = right.where(F.col("place") <= short)
+    p = p.unionByName(chain(gr.join(dis, "gene").join(few, "reaction_id"), "disease", F.col("conf") * F.col("gene_w") * F.col("dis_w"), ["dis", "gene", "reaction_id", "met"]))
     if spread:
-        p = p.unionByName(chain(s.join(left, "reaction_id").join(right, "reaction_id").where("sub <> met"), "metabolite", ["sub", "met"], ["sub", "reaction_id", "met"]))
+        left = known(top_per(side("sub", "metabolite", "dst", "src", "substrate"), ["reaction_id"], [F.asc("sub")], mets).drop("rank"), "sub").where("sub_ev <> 0")
+        p = p.unionByName(chain(s.join(left, "reaction_id").join(right, "reaction_id"), "metabolite", F.col("sub_w") * (1 + 0.1 * F.col("sub_ev")), ["sub", "reaction_id", "met"]))
     # sums in different orders differ in their last bits: ties are taken at nine digits
     best = p.orderBy(F.desc(F.round("score", 9)), "path").limit(most)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "path")))
@@ -62,13 +72,13 @@ def coadjacency(g: Graph, reactions: DataFrame, hub: int = 30) -> DataFrame:
 def perturbation_modules(g: Graph, posterior: DataFrame, k: int = 200, least: int = 3, hub: int = 30, same: float = 0.7) -> DataFrame:
     """module, size, mean_change, direction, members: components of the k most changed reactions that share neighbours.
 
-    posterior: (reaction_id, p_up, p_down); direction is up or down where over ``same`` of the members agree.
+    posterior: (reaction_id, p_up, p_down); direction is up or down where over ``same`` of the members change by more than 0.01 that way.
     """
     d = posterior.select(F.col("reaction_id").alias("node_id"), (F.col("p_up") - F.col("p_down")).alias("change"))
     top = cut(d.orderBy(F.desc(F.abs("change")), "node_id").limit(k))
     comp = components(top.select("node_id"), coadjacency(g, top, hub).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     m = top.join(comp, "node_id").groupBy(F.col("component").alias("module")).agg(
-        F.count("*").alias("size"), F.avg(F.abs("change")).alias("mean_change"), F.avg((F.col("change") > 0).cast("double")).alias("up"), F.avg((F.col("change") < 0).cast("double")).alias("down"),
+        F.count("*").alias("size"), F.avg(F.abs("change")).alias("mean_change"), F.avg((F.col("change") > 0.01).cast("double")).alias("up"), F.avg((F.col("change") < -0.01).cast("double")).alias("down"),
         F.array_join(F.array_sort(F.collect_list("node_id")), ",").alias("members"),
     )
     direction = F.when(F.col("up") > same, "up").when(F.col("down") > same, "down").otherwise("mixed")
@@ -117,14 +127,17 @@ def bootstrap(scores_of, evidence: DataFrame, n_boot: int = 50, seed: int = 0) -
     """(boot, ...) rows of ``scores_of(evidence)`` for resamples with replacement.
 
     Every record is drawn by a Poisson(1) count from a hash of seed, resample and
-    record, the distributed form of resampling: no positions, no gathering.
+    record, the distributed form of resampling: no positions, no gathering. Equal
+    records are told apart by their place among their equals.
     """
-    d = evidence.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "boot", *evidence.columns), F.lit(1 << 30)) / float(1 << 30)
+    names = evidence.columns
+    equals = evidence.groupBy(*names).agg(F.count("*").alias("__equal")).withColumn("__equal", F.explode(F.sequence(F.lit(1), F.col("__equal"))))
+    d = equals.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    u = F.pmod(F.xxhash64(F.lit(seed), "boot", "__equal", *names), F.lit(1 << 30)) / float(1 << 30)
     cuts, p, total = [], 0.36787944117144233, 0.0
     for k in range(8):
         total += p
         cuts.append(total)
         p /= k + 1
     times = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    return scores_of(d.withColumn("times", times).where("times > 0"))
+    return scores_of(d.withColumn("times", times).where("times > 0").drop("__equal"))

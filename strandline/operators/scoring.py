@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph, flag, top_per
-from .iterate import cut
+from .iterate import cut, pagerank
 
 
 def evidence_table(df: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def score_reactions(g: Graph, evidence: DataFrame, min_evidence: int = 1, detail
 
 
 def summarise_pathways(g: Graph, scores: DataFrame, top: int = 5) -> DataFrame:
-    """Per pathway: reactions, mean, median, sample deviation (0 of one), mean direction, share of the mean's sign, evidence, the top reactions."""
+    """Per pathway: reactions, mean, median, sample deviation (0 of one), mean direction, share of the mean's sign (zero is positive), evidence, the top reactions."""
     member = g.of_type("reaction").select(F.col("node_id").alias("reaction_id"), F.explode("pathways").alias("pathway_id"))
     s = cut(scores.join(member, "reaction_id"))  # for the figures, and for the top reactions
     stats = s.groupBy("pathway_id").agg(
@@ -99,7 +99,7 @@ def summarise_pathways(g: Graph, scores: DataFrame, top: int = 5) -> DataFrame:
         F.median("score").alias("median_score"),
         F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("sd_score"),
         F.avg("direction").alias("mean_direction"),
-        F.count_if(F.col("score") > 0).alias("n_up"),
+        F.count_if(F.col("score") >= 0).alias("n_up"),
         F.count_if(F.col("score") < 0).alias("n_down"),
         F.sum("evidence_count").alias("total_evidence"),
     )
@@ -109,12 +109,16 @@ def summarise_pathways(g: Graph, scores: DataFrame, top: int = 5) -> DataFrame:
     return stats.withColumn("sign_consistency", same).join(best, "pathway_id").drop("n_up", "n_down")
 
 
+#: Relations from a gene to a reaction that it makes possible.
+ENZYME_RELATIONS = ("catalysis", "gene_reaction", "gene_associated")
+
+
 def enzyme_gate(g: Graph, evidence: DataFrame, down: float = -0.5, floor: float = 0.3, combine: str = "min") -> DataFrame:
-    """reaction_id, gate: for each enzyme 1 at no change, falling linearly to ``floor`` at ``down``; combined by min, max or geometric mean."""
+    """reaction_id, gate: for each enzyme 1 at no change, falling linearly to ``floor`` at ``down``; combined by min, max or (geometric) mean."""
     e = F.col("effect_size")
     gate = F.when(e >= 0, 1.0).when(e <= down, floor).otherwise(floor + (1 - floor) * (1 - e / down))
-    per = g.edges.where("rel = 'catalysis'").select(F.col("src").alias("node_id"), F.col("dst").alias("reaction_id")).join(evidence.select("node_id", gate.alias("gate")), "node_id")
-    how = {"min": F.min("gate"), "max": F.max("gate"), "geometric": F.exp(F.avg(F.log("gate")))}[combine]
+    per = g.edges.where(F.col("rel").isin(*ENZYME_RELATIONS)).select(F.col("src").alias("node_id"), F.col("dst").alias("reaction_id")).join(evidence.select("node_id", gate.alias("gate")), "node_id")
+    how = {"min": F.min("gate"), "max": F.max("gate"), "mean": F.exp(F.avg(F.log("gate")))}[combine]
     return per.groupBy("reaction_id").agg(how.alias("gate"))
 
 
@@ -141,15 +145,27 @@ def druggability(drug_edges: DataFrame) -> DataFrame:
     )
 
 
-def perturbability(g: Graph, drug_scores: DataFrame, redundancy: float = 0.15) -> DataFrame:
-    """reaction_id, perturbability: the best enzyme's druggability, less what other routes to the products make good, within 0..1."""
-    enzyme = g.edges.where("rel = 'catalysis'").select(F.col("src").alias("gene_id"), F.col("dst").alias("reaction_id")).join(drug_scores, "gene_id", "left")
-    best = enzyme.groupBy("reaction_id").agg(F.max(F.coalesce("druggability", F.lit(0.0))).alias("best"), F.count("*").alias("n_enzymes"))
-    prod = g.edges.where("rel = 'product'").select(F.col("src").alias("reaction_id"), F.col("dst").alias("met"))
-    makers = prod.groupBy("met").agg((F.count("*") - 1).alias("others"))
-    routes = prod.join(makers, "met").groupBy("reaction_id").agg(F.avg("others").alias("routes"))
-    p = F.col("best") - F.least(redundancy * F.coalesce("routes", F.lit(0.0)), F.lit(0.5))
-    return best.join(routes, "reaction_id", "left").select("reaction_id", "n_enzymes", F.coalesce("routes", F.lit(0.0)).alias("alternative_routes"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("perturbability"))
+def perturbability(g: Graph, drug_scores: DataFrame, redundancy: float = 0.15, cofactor: float = 0.05) -> DataFrame:
+    """reaction_id, n_enzymes, alternative_routes, cofactor_dependent, perturbability of reactions with an enzyme among ``drug_scores``.
+
+    The best enzyme's druggability, less what other reactions make good (the mean number of
+    others that consume its substrates, currency aside, x ``redundancy``, a half at most),
+    and ``cofactor`` more where a metabolite modifies it; within 0..1.
+    """
+    rxn = g.of_type("reaction").select(F.col("node_id").alias("reaction_id"))
+    mets = g.of_type("metabolite").select(F.col("node_id").alias("met"), flag("is_currency").alias("currency"))
+    into = g.edges.select(F.col("src").alias("met"), F.col("dst").alias("reaction_id"), "rel").join(rxn, "reaction_id", "left_semi")
+    enzyme = into.withColumnRenamed("met", "gene_id").join(g.of_type("gene").select(F.col("node_id").alias("gene_id")), "gene_id", "left_semi")
+    best = enzyme.select("gene_id", "reaction_id").distinct().join(drug_scores.select("gene_id", "druggability"), "gene_id")
+    best = best.groupBy("reaction_id").agg(F.max("druggability").alias("best"), F.count("*").alias("n_enzymes"))
+    used = into.where("rel = 'substrate'").join(mets, "met")
+    users = used.groupBy("met").agg((F.count("*") - 1).alias("others"))
+    routes = used.where("NOT currency").join(users, "met").groupBy("reaction_id").agg(F.avg("others").alias("routes"))
+    modified = into.where("rel = 'modifier'").join(mets, "met").select("reaction_id", F.lit(True).alias("modified")).distinct()
+    d = best.join(routes, "reaction_id", "left").join(modified, "reaction_id", "left")
+    mean, has = F.coalesce("routes", F.lit(0.0)), F.coalesce("modified", F.lit(False))
+    p = F.col("best") - F.least(redundancy * mean, F.lit(0.5)) + F.when(has, cofactor).otherwise(0.0)
+    return d.select("reaction_id", "n_enzymes", mean.alias("alternative_routes"), has.alias("cofactor_dependent"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("perturbability"))
 
 
 def actionability(perturb: DataFrame, scores: DataFrame) -> DataFrame:
@@ -158,16 +174,33 @@ def actionability(perturb: DataFrame, scores: DataFrame) -> DataFrame:
     return s.withColumn("priority", F.col("perturbability") * (1 + F.abs("score")))
 
 
-def branch_points(g: Graph, rank: DataFrame | None = None) -> DataFrame:
-    """node_id, n_reactions, n_pathways, degree (and with PageRank ``rank``, branch_score = ln(1 + n_pathways) x rank) of metabolites."""
-    rxn = g.of_type("reaction").select(F.col("node_id").alias("other"), "pathways")
-    b = g.both_ways().join(g.of_type("metabolite").select("node_id"), "node_id", "left_semi").join(rxn, "other")
-    out = b.groupBy("node_id").agg(F.count_distinct("other").alias("n_reactions"), F.count("*").alias("degree"))
-    paths = b.select("node_id", F.explode("pathways").alias("p")).groupBy("node_id").agg(F.count_distinct("p").alias("n_pathways"))
-    out = out.join(paths, "node_id", "left").withColumn("n_pathways", F.coalesce("n_pathways", F.lit(0)))
-    if rank is None:
-        return out
-    return out.join(rank, "node_id").withColumn("branch_score", F.log1p("n_pathways") * F.col("rank"))
+def met_reaction_pairs(g: Graph) -> DataFrame:
+    """(node_id, other): metabolites and the reactions that they are substrates, products or modifiers of, each pair once."""
+    e = g.edges.where(F.col("rel").isin("substrate", "product", "modifier"))
+    both = e.select(F.col("src").alias("node_id"), F.col("dst").alias("other")).unionByName(e.select(F.col("dst").alias("node_id"), F.col("src").alias("other")))
+    both = both.join(g.of_type("metabolite").select("node_id"), "node_id", "left_semi")
+    return both.join(g.of_type("reaction").select(F.col("node_id").alias("other")), "other", "left_semi").select("node_id", "other").distinct()
+
+
+def branch_points(g: Graph, rounds: int = 100, fixed: int | None = None) -> DataFrame:
+    """node_id, n_reactions, n_pathways, degree, pagerank, branch_score = ln(1 + n_pathways) x pagerank of every metabolite.
+
+    PageRank runs over the undirected graph of metabolites and their reactions; without edges it is zero.
+    """
+    b = cut(met_reaction_pairs(g))
+    mets = g.of_type("metabolite").select("node_id")
+    count = b.groupBy("node_id").agg(F.count("*").alias("n_reactions"))
+    rxn = g.of_type("reaction").select(F.col("node_id").alias("other"), F.explode("pathways").alias("p"))
+    paths = b.join(rxn, "other").groupBy("node_id").agg(F.count_distinct("p").alias("n_pathways"))
+    pairs = b.select(F.col("node_id").alias("src"), F.col("other").alias("dst"))
+    pairs = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    if b.isEmpty():
+        rank = mets.select("node_id", F.lit(0.0).alias("rank"))
+    else:
+        rank = pagerank(mets.unionByName(b.select(F.col("other").alias("node_id")).distinct()), pairs, rounds=rounds, fixed=fixed)
+    out = mets.join(count, "node_id", "left").join(paths, "node_id", "left").join(rank, "node_id", "left")
+    n, p, r = (F.coalesce(c, F.lit(0)) for c in ("n_reactions", "n_pathways", "rank"))
+    return out.select("node_id", n.alias("n_reactions"), p.alias("n_pathways"), n.alias("degree"), r.alias("pagerank"), (F.log1p(p) * r).alias("branch_score"))
 
 
 def targeted_sigma(real: DataFrame, permuted: DataFrame, target: DataFrame) -> DataFrame:

@@ -130,11 +130,15 @@ def feature_roi(df: DataFrame, loadings: DataFrame, cost: DataFrame) -> DataFram
     return sd.join(loadings, "feature_id").join(cost, "feature_id").select("feature_id", (F.abs("loading") * F.col("sd") / F.col("cost")).alias("roi"))
 
 
+#: Fixed value: the prior's degrees of freedom where variances differ no more than by chance.
+MOST_FREEDOM = 1e6
+
+
 def moderated_t(df: DataFrame, least: int = 2) -> DataFrame:
     """(feature_id, value, is_case) to effect, t, df, p_value with an empirical Bayes prior of variances (Smyth, 2004).
 
     One shuffle gives counts, means and variances; the prior needs three sums over
-    features. Under three features of positive variance the plain t is given.
+    features. Under three features of positive variance the plain t is given, of those alone.
     """
     case = F.col("is_case")
     fine = df.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
@@ -144,20 +148,17 @@ def moderated_t(df: DataFrame, least: int = 2) -> DataFrame:
         F.coalesce(F.var_samp(v(case)), F.lit(0.0)).alias("v1"), F.coalesce(F.var_samp(v(~case)), F.lit(0.0)).alias("v0"),
     ).where((F.col("n1") >= least) & (F.col("n0") >= least))
     s = s.withColumn("d", (F.col("n1") + F.col("n0") - 2).cast("double")).withColumn("s2", ((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / F.col("d"))
-    pos = s.where("s2 > 0").select((F.log("s2") - sp.digamma_col(F.col("d") / 2) + F.log(F.col("d") / 2)).alias("e"), sp.trigamma_col(F.col("d") / 2).alias("tri"))
-    row = pos.agg(F.count("*").alias("n"), F.avg("e").alias("m"), F.var_samp("e").alias("v"), F.avg("tri").alias("tri")).first()
+    pos = s.where("s2 > 0").select((F.log("s2") - sp.digamma_col(F.col("d") / 2) + F.log(F.col("d") / 2)).alias("e"), F.log("s2").alias("l"), sp.trigamma_col(F.col("d") / 2).alias("tri"))
+    row = pos.agg(F.count("*").alias("n"), F.avg("e").alias("m"), F.var_samp("l").alias("v"), F.avg("tri").alias("tri")).first()
     if row["n"] < 3:
-        d0, s0 = 0.0, 0.0
+        d0, s0, s = 0.0, 0.0, s.where("s2 > 0")
     else:
+        # the prior variance is exp(mean of ln s2 less its correction for the features' own freedom), and none for the prior's
         extra = row["v"] - row["tri"]
-        d0 = 2 * sp.inverse_trigamma(extra) if extra > 0 else math.inf
-        s0 = math.exp(row["m"] + (sp.digamma(d0 / 2) - math.log(d0 / 2) if d0 < math.inf else 0.0))
-    if d0 == math.inf:
-        s2, dof = F.lit(s0), F.lit(math.inf)
-    else:
-        s2, dof = (d0 * s0 + F.col("d") * F.col("s2")) / (d0 + F.col("d")), F.col("d") + d0
+        d0, s0 = (2 * sp.inverse_trigamma(extra) if extra > 0 else MOST_FREEDOM), math.exp(row["m"])
+    s2, dof = (d0 * s0 + F.col("d") * F.col("s2")) / (d0 + F.col("d")), F.col("d") + d0
     t = (F.col("m1") - F.col("m0")) / F.sqrt(s2 * (1 / F.col("n1") + 1 / F.col("n0")))
-    out = s.where("s2 > 0").withColumns({"effect": F.col("m1") - F.col("m0"), "t": t, "df": dof})
+    out = s.withColumns({"effect": F.col("m1") - F.col("m0"), "t": t, "df": dof})
     return out.withColumn("p_value", sp.t_sf2_col(F.col("t"), F.col("df"))).select("feature_id", "n1", "n0", "effect", "t", "df", "p_value")
 
 

@@ -18,13 +18,13 @@ def reaction_scores(spark, sf):
 
 
 @query("""
-SELECT c.reaction_id, round(sum(c.c) / sqrt(count(*)), 6) AS score, count(*) AS evidence_count
+SELECT c.reaction_id, round(sum(CASE WHEN n.reversible THEN abs(c.c) ELSE c.c END) / sqrt(count(*)), 6) AS score, count(*) AS evidence_count
 FROM (SELECT reaction_id, c * 0.5 AS c FROM contributions WHERE role = 'gene' UNION ALL SELECT reaction_id, c FROM contributions WHERE role <> 'gene') c
-JOIN nodes n ON n.node_id = c.reaction_id WHERE NOT n.reversible GROUP BY c.reaction_id HAVING count(*) >= 4
+JOIN nodes n ON n.node_id = c.reaction_id GROUP BY c.reaction_id HAVING count(*) >= 4
 """)
 def reaction_scores_weighted(spark, sf):
     s = sc.score_reactions(demo.graph(spark, sf), demo.evidence(spark, sf), min_evidence=4, gene_weight=0.5)
-    return sc.rounded(s.where("NOT reversible").select("reaction_id", "score", "evidence_count"))
+    return sc.rounded(s.select("reaction_id", "score", "evidence_count"))
 
 
 @query("""
@@ -43,7 +43,7 @@ def reaction_evidence_detail(spark, sf):
 s AS (SELECT m.pathway_id, s.* FROM scores s JOIN member m USING (reaction_id)),
 stats AS (
   SELECT pathway_id, count(*) AS n_reactions, avg(score) AS mean_score, median(score) AS median_score, coalesce(stddev_samp(score), 0.0) AS sd_score, avg(direction) AS mean_direction,
-    CAST(sum(evidence_count) AS BIGINT) AS total_evidence, (CASE WHEN avg(score) >= 0 THEN count(*) FILTER (WHERE score > 0) ELSE count(*) FILTER (WHERE score < 0) END) / count(*) AS sign_consistency
+    CAST(sum(evidence_count) AS BIGINT) AS total_evidence, (CASE WHEN avg(score) >= 0 THEN count(*) FILTER (WHERE score >= 0) ELSE count(*) FILTER (WHERE score < 0) END) / count(*) AS sign_consistency
   FROM s GROUP BY pathway_id
 ), best AS (
   SELECT pathway_id, string_agg(reaction_id, ',' ORDER BY rn) AS top_reactions FROM (
@@ -100,11 +100,12 @@ def filter_by_prefix(spark, sf):
 
 
 @query("""
-, m AS (SELECT node_id FROM nodes WHERE node_type = 'metabolite' AND NOT is_currency),
-r AS (SELECT node_id FROM nodes WHERE node_type = 'reaction' AND node_id IN (SELECT dst FROM edges WHERE rel = 'substrate' AND src IN (SELECT node_id FROM m))
-  AND node_id IN (SELECT src FROM edges WHERE rel = 'product' AND dst IN (SELECT node_id FROM m))),
-k AS (SELECT * FROM m UNION ALL SELECT * FROM r)
-SELECT src, dst, rel FROM edges WHERE src IN (SELECT node_id FROM k) AND dst IN (SELECT node_id FROM k)
+, m AS MATERIALIZED (SELECT node_id FROM nodes WHERE node_type = 'metabolite' AND NOT is_currency),
+e AS MATERIALIZED (SELECT src, dst, rel FROM edges),
+lhs AS MATERIALIZED (SELECT DISTINCT e.dst AS node_id FROM e JOIN m ON m.node_id = e.src WHERE e.rel = 'substrate'),
+rhs AS MATERIALIZED (SELECT DISTINCT e.src AS node_id FROM e JOIN m ON m.node_id = e.dst WHERE e.rel = 'product'),
+k AS MATERIALIZED (SELECT node_id FROM m UNION ALL SELECT n.node_id FROM nodes n JOIN lhs USING (node_id) JOIN rhs USING (node_id) WHERE n.node_type = 'reaction')
+SELECT e.src, e.dst, e.rel FROM e JOIN k a ON a.node_id = e.src JOIN k b ON b.node_id = e.dst
 """)
 def noncurrency_subgraph(spark, sf):
     return demo.graph(spark, sf).noncurrency().edges.select("src", "dst", "rel")
@@ -206,7 +207,7 @@ FROM scores s LEFT JOIN (SELECT reaction_id, min(gate) AS lo, exp(avg(ln(gate)))
 def enzyme_gate(spark, sf):
     g, e = demo.graph(spark, sf), demo.evidence(spark, sf)
     gated = sc.apply_gate(sc.score_reactions(g, e), sc.enzyme_gate(g, e))
-    both = gated.join(sc.enzyme_gate(g, e, combine="geometric").withColumnRenamed("gate", "geometric"), "reaction_id", "left")
+    both = gated.join(sc.enzyme_gate(g, e, combine="mean").withColumnRenamed("gate", "geometric"), "reaction_id", "left")
     return sc.rounded(both.select("reaction_id", "gate", "gated_score", "geometric"))
 
 
@@ -228,10 +229,14 @@ def druggability(spark, sf):
 
 
 @query(_DRUGS + """
-, best AS (SELECT e.dst AS reaction_id, max(coalesce(d.druggability, 0.0)) AS best FROM edges e LEFT JOIN dscore d ON d.gene_id = e.src WHERE e.rel = 'catalysis' GROUP BY 1),
-makers AS (SELECT dst AS met, count(*) - 1 AS others FROM edges WHERE rel = 'product' GROUP BY 1),
-routes AS (SELECT e.src AS reaction_id, avg(m.others) AS routes FROM edges e JOIN makers m ON m.met = e.dst WHERE e.rel = 'product' GROUP BY 1),
-p AS (SELECT reaction_id, greatest(0.0, least(1.0, best - least(0.15 * coalesce(routes, 0.0), 0.5))) AS perturbability FROM best LEFT JOIN routes USING (reaction_id))
+, best AS (SELECT e.dst AS reaction_id, max(d.druggability) AS best FROM edges e JOIN nodes g ON g.node_id = e.src AND g.node_type = 'gene' JOIN nodes r ON r.node_id = e.dst AND r.node_type = 'reaction'
+  JOIN dscore d ON d.gene_id = e.src GROUP BY 1),
+used AS (SELECT e.src AS met, e.dst AS reaction_id, m.is_currency FROM edges e JOIN nodes m ON m.node_id = e.src AND m.node_type = 'metabolite' WHERE e.rel = 'substrate'),
+users AS (SELECT met, count(*) AS n FROM used GROUP BY 1),
+routes AS (SELECT reaction_id, avg(n - 1) AS routes FROM used JOIN users USING (met) WHERE NOT is_currency GROUP BY 1),
+modified AS (SELECT DISTINCT e.dst AS reaction_id FROM edges e JOIN nodes m ON m.node_id = e.src AND m.node_type = 'metabolite' WHERE e.rel = 'modifier'),
+p AS (SELECT reaction_id, greatest(0.0, least(1.0, best - least(0.15 * coalesce(routes, 0.0), 0.5) + CASE WHEN f.reaction_id IS NULL THEN 0.0 ELSE 0.05 END)) AS perturbability
+  FROM best LEFT JOIN routes USING (reaction_id) LEFT JOIN modified f USING (reaction_id))
 SELECT reaction_id, round(perturbability, 6) AS perturbability, round(perturbability * (1 + abs(coalesce(s.score, 0.0))), 6) AS priority FROM p LEFT JOIN scores s USING (reaction_id)
 """)
 def perturbability(spark, sf):
@@ -240,12 +245,29 @@ def perturbability(spark, sf):
     return sc.rounded(sc.actionability(p, sc.score_reactions(g, demo.evidence(spark, sf))).select("reaction_id", "perturbability", "priority"))
 
 
-@query("""
-, b AS (SELECT b.node_id, b.other, r.pathways FROM both_ways b JOIN nodes m ON m.node_id = b.node_id AND m.node_type = 'metabolite' JOIN nodes r ON r.node_id = b.other AND r.node_type = 'reaction')
-SELECT node_id, count(DISTINCT other) AS n_reactions, count(*) AS degree, (SELECT count(DISTINCT p) FROM (SELECT unnest(c.pathways) AS p FROM b c WHERE c.node_id = b.node_id)) AS n_pathways FROM b GROUP BY node_id
-""")
+def _ranked(n: int) -> str:
+    """PageRank of metabolites and their reactions, unrolled, and what stands on it."""
+    sql = """
+, pair AS MATERIALIZED (SELECT DISTINCT b.node_id AS met, b.other AS rxn, r.pathways FROM both_ways b JOIN nodes m ON m.node_id = b.node_id AND m.node_type = 'metabolite'
+  JOIN nodes r ON r.node_id = b.other AND r.node_type = 'reaction' WHERE b.rel IN ('substrate', 'product', 'modifier')),
+b AS MATERIALIZED (SELECT met AS src, rxn AS dst FROM pair UNION ALL SELECT rxn, met FROM pair), dg AS MATERIALIZED (SELECT src, count(*) AS deg FROM b GROUP BY 1),
+v AS MATERIALIZED (SELECT node_id FROM nodes WHERE node_type = 'metabolite' UNION SELECT rxn FROM pair), c AS (SELECT count(*) AS n FROM v),
+r0 AS MATERIALIZED (SELECT node_id, 1.0::DOUBLE / n AS rank FROM v, c)"""
+    for i in range(n):
+        sql += f""",
+l{i} AS MATERIALIZED (SELECT coalesce(sum(r.rank), 0.0) AS loose FROM r{i} r LEFT JOIN dg ON dg.src = r.node_id WHERE dg.src IS NULL),
+x{i} AS MATERIALIZED (SELECT b.dst, sum(r.rank / dg.deg) AS s FROM b JOIN r{i} r ON r.node_id = b.src JOIN dg ON dg.src = b.src GROUP BY 1),
+r{i + 1} AS MATERIALIZED (SELECT v.node_id, 0.15::DOUBLE / c.n + 0.85::DOUBLE * (coalesce(x.s, 0.0) + l.loose / c.n) AS rank FROM v CROSS JOIN c CROSS JOIN l{i} l LEFT JOIN x{i} x ON x.dst = v.node_id)"""
+    return sql + f""",
+paths AS (SELECT met, count(DISTINCT p) AS n_pathways FROM (SELECT met, unnest(pathways) AS p FROM pair) GROUP BY 1),
+many AS (SELECT met, count(*) AS n FROM pair GROUP BY 1)
+SELECT m.node_id, coalesce(k.n, 0) AS n_reactions, coalesce(k.n, 0) AS degree, coalesce(p.n_pathways, 0) AS n_pathways, round(r.rank, 9) AS pagerank, round(ln(1 + coalesce(p.n_pathways, 0)) * r.rank, 9) AS branch_score
+FROM nodes m JOIN r{n} r USING (node_id) LEFT JOIN paths p ON p.met = m.node_id LEFT JOIN many k ON k.met = m.node_id WHERE m.node_type = 'metabolite'"""
+
+
+@query(_ranked(4))
 def branch_points(spark, sf):
-    return sc.branch_points(demo.graph(spark, sf))
+    return sc.rounded(sc.branch_points(demo.graph(spark, sf), fixed=4), 9)
 
 
 @query("""

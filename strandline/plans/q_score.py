@@ -83,14 +83,14 @@ def l2_normalise_per_omic(spark, sf):
 
 
 @query("""
-WITH f AS (SELECT vec_id AS patient_id, label, unnest(range(0, 8)) AS axis, CAST(unnest(embedding[1:8]) AS DOUBLE) AS v FROM embeddings),
+WITH f AS (SELECT vec_id AS patient_id, label, unnest(range(0, len(embedding))) AS axis, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
 r AS (SELECT label % 3 AS meta, axis, label >= 5 AS y, rank() OVER (PARTITION BY label % 3, axis ORDER BY v) + (count(*) OVER (PARTITION BY label % 3, axis, v) - 1) / 2.0 AS r FROM f),
 a AS (SELECT meta, axis, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT y) AS n, sum(r) FILTER (WHERE y) AS rs FROM r GROUP BY 1, 2),
 s AS (SELECT meta, axis, 2 * abs((rs - p * (p + 1) / 2.0) / (p * n) - 0.5) AS strength FROM a WHERE p > 0 AND n > 0)
 SELECT meta, CAST(arg_min(axis, (-round(strength, 9), axis)) AS INTEGER) AS axis, round(max(strength), 6) AS strength FROM s GROUP BY meta
 """, demo=False)
 def best_axis(spark, sf):
-    e = demo.read(spark, sf, "embeddings").select((F.col("label") % 3).alias("meta"), (F.col("label") >= 5).alias("y"), F.posexplode(F.slice("embedding", 1, 8)).alias("axis", "v")).withColumn("v", F.col("v").cast("double"))
+    e = demo.read(spark, sf, "embeddings").select((F.col("label") % 3).alias("meta"), (F.col("label") >= 5).alias("y"), F.posexplode("embedding").alias("axis", "v")).withColumn("v", F.col("v").cast("double"))
     return sc.rounded(score.best_axes(st.strength(e, ["meta", "axis"], "v", "y", True), ["meta"]))
 
 

@@ -85,16 +85,21 @@ def clean_values(spark, sf):
 
 
 @query("""
-, sub AS (SELECT DISTINCT src AS m FROM edges WHERE rel = 'substrate'), pro AS (SELECT DISTINCT dst AS m FROM edges WHERE rel = 'product'),
-d AS (SELECT n.node_id, n.node_type, n.is_currency, n.name, count(b.other) AS degree, count(*) FILTER (WHERE b.rel IN ('substrate', 'product')) AS mets FROM nodes n LEFT JOIN both_ways b USING (node_id) GROUP BY 1, 2, 3, 4),
-r AS (SELECT degree, row_number() OVER (ORDER BY degree) AS r, count(*) OVER () AS n FROM d)
-SELECT metric, CAST(value AS DOUBLE) AS value FROM (
-  SELECT 'nodes' AS metric, count(*) AS value FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges
-  UNION ALL SELECT 'currency_edges', count(*) FROM edges WHERE src IN (SELECT node_id FROM nodes WHERE is_currency) OR dst IN (SELECT node_id FROM nodes WHERE is_currency)
-  UNION ALL SELECT 'dead_ends', count(*) FROM nodes WHERE node_type = 'metabolite' AND (node_id IN (SELECT m FROM sub) OR node_id IN (SELECT m FROM pro)) AND NOT (node_id IN (SELECT m FROM sub) AND node_id IN (SELECT m FROM pro))
-  UNION ALL SELECT 'orphan_reactions', count(*) FROM d WHERE node_type = 'reaction' AND mets = 0
-  UNION ALL SELECT 'max_degree', max(degree) FROM d UNION ALL SELECT 'p95_degree', degree FROM r WHERE r = n * 95 // 100 + 1
-  UNION ALL SELECT 'named', count(*) FILTER (WHERE name IS NOT NULL) FROM d)
+, k AS MATERIALIZED (SELECT node_id, node_type, is_currency, pathways, compartment FROM nodes),
+e AS MATERIALIZED (SELECT s.node_type AS st, d.node_type AS dt, s.node_id AS src, d.node_id AS dst, (s.node_type = 'metabolite' AND s.is_currency) OR (d.node_type = 'metabolite' AND d.is_currency) AS cur
+  FROM edges x JOIN k s ON s.node_id = x.src JOIN k d ON d.node_id = x.dst),
+pair AS MATERIALIZED (SELECT src AS met, dst AS rxn, 1 AS side FROM e WHERE st = 'metabolite' AND dt = 'reaction' UNION ALL SELECT dst, src, 2 FROM e WHERE st = 'reaction' AND dt = 'metabolite'),
+m AS MATERIALIZED (SELECT node_id, is_currency, coalesce(sides, 0) AS sides, coalesce(degree, 0) AS degree FROM k LEFT JOIN (SELECT met, count(DISTINCT side) AS sides, count(DISTINCT rxn) AS degree FROM pair GROUP BY 1) ON met = node_id WHERE node_type = 'metabolite'),
+r AS (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS place, count(*) OVER () AS n FROM m)
+SELECT metric, round(CAST(value AS DOUBLE), 9) AS value FROM (
+  SELECT 'n_' || t || 's' AS metric, (SELECT count(*) FROM k WHERE node_type = t) AS value FROM (VALUES ('metabolite'), ('reaction'), ('disease'), ('gene')) x(t)
+  UNION ALL SELECT 'n_edges', count(*) FROM e UNION ALL SELECT 'currency_edge_fraction', avg(CASE WHEN cur THEN 1.0 ELSE 0.0 END) FROM e
+  UNION ALL SELECT 'disease_' || t || '_edges', (SELECT count(*) FROM e WHERE st = 'disease' AND dt = t) FROM (VALUES ('metabolite'), ('reaction'), ('gene')) x(t)
+  UNION ALL SELECT 'n_currency', count(*) FILTER (WHERE is_currency) FROM m UNION ALL SELECT 'dead_ends', count(*) FILTER (WHERE NOT is_currency AND sides < 2) FROM m
+  UNION ALL SELECT 'orphan_reactions', (SELECT count(*) FROM k WHERE node_type = 'reaction') - (SELECT count(*) FROM (SELECT rxn FROM pair GROUP BY 1 HAVING count(DISTINCT side) = 2))
+  UNION ALL SELECT 'degree_mean', avg(degree) FROM m UNION ALL SELECT 'degree_max', max(degree) FROM m UNION ALL SELECT 'degree_p95', degree FROM r WHERE place = floor(0.95::DOUBLE * n)
+  UNION ALL SELECT 'reactions_with_pathways', avg(CASE WHEN len(pathways) > 0 THEN 1.0 ELSE 0.0 END) FROM k WHERE node_type = 'reaction'
+  UNION ALL SELECT 'n_compartments', count(DISTINCT compartment) FROM k WHERE node_type = 'metabolite' AND compartment <> '')
 """)
 def graph_qc_readiness(spark, sf):
-    return qc.readiness(demo.graph(spark, sf))
+    return sc.rounded(qc.readiness(demo.graph(spark, sf)), 9)

@@ -327,3 +327,107 @@ def test_more_statistics(spark):
     assert t[0]["p_value"] < 1e-3 and min(t[f]["df"] for f in t) > 14 and all(0 <= r["p_value"] <= 1 for r in t.values())
     e = spark.createDataFrame([("a", 1.0, -0.5), ("b", None, 0.5)], "node_id string, effect_size double, confidence double")
     assert [r["confidence"] for r in scoring.evidence_table(e).orderBy("node_id").collect()] == [0.0, 0.5]
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """R makes seven metabolites and a currency one, has seven genes, a modifier, and a substrate that R3 takes too."""
+    kind = lambda t, *ids: [(i, t, i.lower(), False, i == "CUR", None, ["p"] if t == "reaction" else None) for i in ids]
+    mets, genes = [f"M{i}" for i in range(7)], [f"G{i}" for i in range(7)]
+    nodes = kind("metabolite", *mets, "S", "X", "CUR", "LONE") + kind("reaction", "R", "R3", "R4") + kind("gene", *genes) + kind("disease", "D1", "D2")
+    edges = [("R", m, "product", None) for m in [*mets, "CUR"]] + [(g, "R", "catalysis", None) for g in genes]
+    edges += [("S", "R", "substrate", None), ("S", "R3", "substrate", None), ("CUR", "R", "substrate", None), ("X", "R", "modifier", None), ("G0", "R4", "gene_reaction", None)]
+    edges += [("D1", "G0", "disease_gene", 0.5), ("D2", "G0", "disease_gene", None)]
+    return Graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, "src string, dst string, rel string, score double"))
+
+
+def test_chains_by_hand(spark, crowd):
+    s = spark.createDataFrame([("R", -2.0)], "reaction_id string, score double")
+    e = spark.createDataFrame([("M0", -3.0, 0.5), ("M0", 1.0, 1.0), ("S", 2.0, 0.5), ("G0", 9.0, 1.0)], "node_id string, effect_size double, confidence double")
+    got = {tuple(r["path"]): r["score"] for r in ranking.rank_chains(crowd, s, e).collect()}
+    # no currency product, six products at most, all seven genes, three products from each disease; no chain from a substrate
+    assert len(got) == 7 * 6 + 2 * 3 and not any("CUR" in p or "M6" in p for p in got) and ("D2", "G0", "R", "M2") in got and ("D2", "G0", "R", "M3") not in got
+    w = {"M": 1.0, "G0": 4**-0.5, "G1": 1.0, "D": 1.0}
+    assert got["G1", "R", "M0"] == pytest.approx(2 * 0.8 * w["G1"] * 0.8 + 0.05 * 2.5)
+    assert got["D1", "G0", "R", "M1"] == pytest.approx(2 * 0.8**3 * 0.5 * w["G0"]) and got["D2", "G0", "R", "M1"] == pytest.approx(2 * 0.8**3 * 0.4 * w["G0"])
+    more = {tuple(r["path"]): r["score"] for r in ranking.rank_chains(crowd, s, e, spread=True).collect()}
+    assert set(more) - set(got) == {("S", "R", f"M{i}") for i in range(6)}
+    assert more["S", "R", "M1"] == pytest.approx(2 * 0.64 * 2**-0.5 * 1.1)
+
+
+def test_perturbability_by_hand(spark, crowd):
+    d = spark.createDataFrame([("G0", 0.55), ("G1", 0.3), ("G9", 1.0)], "gene_id string, druggability double")
+    got = {r["reaction_id"]: r for r in scoring.perturbability(crowd, d).collect()}
+    # S has one other consumer, currency doesn't count; X modifies; R3 has no enzyme
+    assert set(got) == {"R", "R4"} and got["R"]["perturbability"] == pytest.approx(0.55 - 0.15 + 0.05) and got["R4"]["perturbability"] == pytest.approx(0.55)
+    assert (got["R"]["n_enzymes"], got["R"]["alternative_routes"], got["R"]["cofactor_dependent"]) == (2, 1.0, True)
+
+
+def test_branch_points_by_hand(crowd):
+    got = {r["node_id"]: r for r in scoring.branch_points(crowd).collect()}
+    assert (got["LONE"]["degree"], got["LONE"]["n_pathways"]) == (0, 0) and (got["S"]["n_reactions"], got["S"]["n_pathways"]) == (2, 1) and got["X"]["degree"] == 1
+    assert got["CUR"]["degree"] == 1 and got["S"]["branch_score"] == pytest.approx(np.log(2) * got["S"]["pagerank"]) and got["S"]["pagerank"] > got["M0"]["pagerank"]
+
+
+def test_over_representation_outside_background(spark):
+    pairs = lambda p, ids: [(p, i) for i in ids]
+    m = spark.createDataFrame(pairs("a", "1234xy") + pairs("big", "123456xyz"), "pathway_id string, node_id string")
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "node_id string")
+    got = enrichment.over_representation(m, ids("1x9"), ids("1234567890"), 3, 8).collect()
+    # x is a hit outside the background and counts; nine members are over the limit though six are inside
+    (r,) = got
+    assert (r["pathway_id"], r["n_pathway"], r["n_hits"]) == ("a", 4, 2) and r["expected"] == pytest.approx(1.2) and r["p_value"] == pytest.approx(1 / 3)
+
+
+def test_preranked_of_falling_sets(spark):
+    m = spark.createDataFrame([("low", "n3"), ("low", "n5"), ("zero", "z1"), ("zero", "z2")], "pathway_id string, node_id string")
+    r = spark.createDataFrame([("n1", 3.0), ("n2", 1.0), ("z1", 0.0), ("z2", 0.0), ("n3", -0.5), ("n4", -0.7), ("n5", -1.5)], "node_id string, score double")
+    got = {x["pathway_id"]: x for x in enrichment.preranked(m, r, 2).collect()}
+    # before n3 four of five others have fallen; the leading edge has members up to there: none
+    assert got["low"]["es"] == pytest.approx(-0.8) and got["low"]["leading_edge"] == ""
+    # a set of zeros never rises: it is farthest from zero at the end
+    assert got["zero"]["es"] == pytest.approx(-1.0) and got["zero"]["leading_edge"] == "z1,z2"
+    assert got["low"]["nes"] == pytest.approx(-0.8 / 0.9)
+
+
+def test_readiness_by_hand(crowd):
+    from strandline.operators import qc
+
+    got = {r["metric"]: r["value"] for r in qc.readiness(crowd, True).collect()}
+    # all metabolites but CUR lack a side; R3 and R4 lack products, and R4 substrates
+    assert got["dead_ends"] == 10 and got["orphan_reactions"] == 2 and got["n_currency"] == 1 and got["disease_gene_edges"] == 2
+    assert got["degree_max"] == 2 and got["degree_mean"] == pytest.approx(11 / 11) and got["components"] == 3 and got["isolated_nodes"] == 2
+    assert not qc.is_ready(qc.readiness(crowd))
+
+
+def test_consistency_counts_zero_as_positive(spark, chain):
+    s = spark.createDataFrame([("R1", 0.0, 1.0, 1), ("R2", 2.0, 1.0, 1)], "reaction_id string, score double, direction double, evidence_count long")
+    got = {r["pathway_id"]: r["sign_consistency"] for r in scoring.summarise_pathways(chain, s).collect()}
+    assert got == {"p": 1.0, "q": 1.0}
+
+
+def test_moderated_t_against_formulas(spark):
+    from strandline.functions import special as sp
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 9)) * rng.gamma(1.0, 1.0, 12)[:, None]
+    x[11] = 4.0
+    data = [(f"f{i}", float(v), j < 4) for i, row in enumerate(x) for j, v in enumerate(row)]
+    got = {r["feature_id"]: r for r in stats.moderated_t(spark.createDataFrame(data, "feature_id string, value double, is_case boolean")).collect()}
+    s2 = (3 * x[:, :4].var(1, ddof=1) + 4 * x[:, 4:].var(1, ddof=1)) / 7
+    ok = s2[:11]
+    s0 = np.exp(np.log(ok).mean() - (sp.digamma(3.5) - np.log(3.5)))
+    tri = lambda y: (sp.digamma(y + 1e-5) - sp.digamma(y - 1e-5)) / 2e-5
+    extra = np.log(ok).var(ddof=1) - tri(3.5)
+    assert extra > 0
+    d0 = 2 * sp.inverse_trigamma(extra)
+    t = (x[:, :4].mean(1) - x[:, 4:].mean(1)) / np.sqrt((7 * s2 + d0 * s0) / (7 + d0) * (1 / 4 + 1 / 5))
+    assert len(got) == 12 and all(got[f"f{i}"]["t"] == pytest.approx(t[i], rel=1e-4, abs=1e-9) for i in range(12)) and got["f0"]["df"] == pytest.approx(7 + d0, rel=1e-4)
+
+
+def test_modules_need_a_change(spark):
+    nodes = [(f"r{i}", "reaction", None, False, False, None, None) for i in range(4)] + [("m", "metabolite", None, False, False, None, None)]
+    g = Graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame([(f"r{i}", "m", "product") for i in range(4)], "src string, dst string, rel string"))
+    p = spark.createDataFrame([(f"r{i}", 0.5 + c, 0.5 - c) for i, c in enumerate((0.2, 0.2, 0.001, 0.001))], "reaction_id string, p_up double, p_down double")
+    (r,) = ranking.perturbation_modules(g, p).collect()
+    assert r["size"] == 4 and r["direction"] == "mixed" and r["members"] == "r0,r1,r2,r3"
