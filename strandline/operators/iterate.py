@@ -128,13 +128,18 @@ def shortest_to(g: Graph, starts: DataFrame, anchors: DataFrame, hops: int = 6)
     return done
 
 
-def substrate(g: Graph, kinds: list[str], hub_cap: int = 500) -> Graph:
-    """Nodes of the kinds, no currency, of at most ``hub_cap`` edges in the whole graph; undirected edges once (src < dst)."""
+def restricted(g: Graph, kinds: list[str], hub_cap: int = 500) -> Graph:
+    """Nodes of the kinds, no currency, of at most ``hub_cap`` edges in the whole graph; edges as they are among them."""
     n = g.nodes.where(F.col("node_type").isin(kinds) & ~F.coalesce("is_currency", F.lit(False)))
     n = n.join(g.total_degree().where(F.col("degree") > hub_cap).select("node_id"), "node_id", "left_anti")
-    i = Graph(n, g.edges).induced(n)
-    e = i.edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
-    return Graph(n, e)
+    return Graph(n, Graph(n, g.edges).induced(n).edges)
+
+
+def substrate(g: Graph, kinds: list[str], hub_cap: int = 500) -> Graph:
+    """``restricted``, with undirected edges once (src < dst)."""
+    r = restricted(g, kinds, hub_cap)
+    e = r.edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+    return Graph(r.nodes, e)
 
 
 def numbered(d: DataFrame, order: list[Column], name: str) -> DataFrame:

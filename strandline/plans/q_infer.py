@@ -216,15 +216,18 @@ def map_projection(spark, sf):
     return inf.solve_map(g, x, {"m": 1.0})
 
 
+def _engines(spark, sf):
+    """The graph with its relations, and the evidence on it."""
+    g = it.restricted(demo.graph(spark, sf), ["metabolite", "gene", "disease", "reaction"], 200)
+    assay = F.when(F.col("node_id").startswith("met:"), "metabolomics").otherwise("transcriptomics")
+    return g, demo.evidence(spark, sf).select(F.lit("s0").alias("sample_id"), assay.alias("assay"), "node_id", "effect_size", "confidence")
+
+
 @query(None)
 def laplacian_posteriors(spark, sf):
-    g = _substrate(spark, sf)
-    e = demo.evidence(spark, sf).select(F.lit("s0").alias("sample_id"), F.substring_index("node_id", ":", 1).alias("assay"), "node_id", "effect_size", "confidence")
-    return inf.laplacian(g, e)
+    return inf.laplacian(*_engines(spark, sf))
 
 
 @query(None)
 def belief_propagation(spark, sf):
-    g = _substrate(spark, sf)
-    e = demo.evidence(spark, sf).select(F.lit("s0").alias("sample_id"), "node_id", "effect_size", "confidence")
-    return inf.belief_propagation(g, e)
+    return inf.belief_propagation(*_engines(spark, sf))

@@ -128,29 +128,113 @@ def test_inference_against_dense(spark):
     g = Graph(spark.createDataFrame([(i,) for i in ids], "node_id string"), spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string"))
     lap = np.array([[1, -1, 0, 0], [-1, 2, -1, 0], [0, -1, 2, -1], [0, 0, -1, 1]], float)
     x = spark.createDataFrame([("p", "m", "b", 2.0), ("q", "m", "a", -1.0), ("q", "m", "d", 3.0)], "patient_id string, modality string, node_id string, value double")
-    got = {(r["patient_id"], r["node_id"]): r["f"] for r in inference.solve_map(g, x, {"m": 0.5}, smooth=0.7).collect()}
-    for p, seen_ in (("p", {"b": 2.0}), ("q", {"a": -1.0, "d": 3.0})):
-        d = np.diag([4.0 * (i in seen_) + 1e-6 for i in ids]) + 0.7 * lap
-        assert [got[p, i] for i in ids] == pytest.approx(np.linalg.solve(d, [4.0 * seen_.get(i, 0.0) for i in ids]), abs=1e-6)
-    a, _, order = inference.rows(g)
-    assert order == ids
+    # two features of p lie on b
+    x = x.unionByName(spark.createDataFrame([("p", "m", "b", 0.5), ("p", "k", "b", 1.0)], x.schema))
+    got = {(r["patient_id"], r["node_id"]): r for r in inference.solve_map(g, x, {"m": 0.5, "k": 2.0}, smooth=0.7).collect()}
+    for p, rhs, anchor in (("p", {"b": 2.5 * 4 + 0.25}, {"b": 8.25}), ("q", {"a": -4.0, "d": 12.0}, {"a": 4.0, "d": 4.0})):
+        want = np.linalg.solve(np.diag([anchor.get(i, 0.0) + 1e-6 for i in ids]) + 0.7 * lap, [rhs.get(i, 0.0) for i in ids])
+        assert [got[p, i]["f"] for i in ids] == pytest.approx(want, abs=1e-6) and got[p, "a"]["smoothness"] == pytest.approx(want @ lap @ want, abs=1e-6)
+    a, _ = inference.rows(g)
     v, w = np.linalg.eigh(lap)
     b = np.array([[1.0], [0.0], [2.0], [0.0]])
     assert inference.heat(a, a.degree, b, 1.3) == pytest.approx(w @ np.diag(np.exp(-1.3 * v)) @ w.T @ b)
-    e = spark.createDataFrame([("s", "k", "b", 1.0, 1.0)], "sample_id string, assay string, node_id string, effect_size double, confidence double")
-    post = {r["node_id"]: r for r in inference.laplacian(g, e).collect()}
-    assert all(abs(r["p_up"] + r["p_normal"] + r["p_down"] - 1) < 1e-9 for r in post.values()) and post["b"]["p_up"] > post["c"]["p_up"] > post["d"]["p_up"] > post["d"]["p_down"]
+
+
+@pytest.fixture(scope="module")
+def mixed_graph(spark):
+    """Substrates, products, enzymes, a currency metabolite, a disease and a far node, with stoichiometry."""
+    nodes = [(n, "metabolite", n, False, n == "w", None, None) for n in ("a", "b", "c", "w", "far", "end")] + [(n, "reaction", n, False, False, None, None) for n in ("r", "s", "t")]
+    nodes += [("g", "gene", "g", False, False, None, None), ("d", "disease", "d", False, False, None, None), ("o", "phenotype", "o", False, False, None, None)]
+    edges = [("a", "r", "substrate", 2.0), ("w", "r", "substrate", 1.0), ("r", "b", "product", 0.0), ("b", "s", "substrate", 1.0), ("s", "c", "product", 3.0), ("g", "r", "catalysis", None)]
+    edges += [("d", "g", "disease_gene", None), ("o", "d", "phenotype_disease", None), ("c", "t", "substrate", 1.0), ("t", "far", "product", 1.0), ("c", "s", "modifier", None), ("o", "end", "unknown", None)]
+    g = Graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, "src string, dst string, rel string, stoichiometry double"))
+    rec = [("x", "metabolomics", "a", -1.5, 0.8), ("x", "metabolomics", "a", 0.5, 1.0), ("x", "metabolomics", "b", 2.0, 0.5), ("x", "transcriptomics", "g", 3.0, 1.0), ("x", "metabolomics", "w", 5.0, 1.0)]
+    return g, [n[:2] for n in nodes], edges, rec, spark.createDataFrame(rec, "sample_id string, assay string, node_id string, effect_size double, confidence double")
+
+
+def test_laplacian_against_dense(spark, mixed_graph):
+    g, nodes, edges, rec, e = mixed_graph
+    at = {n: i for i, (n, _) in enumerate(nodes)}
+    for cap in ({}, {"g": 0.3}):
+        adj = np.zeros((len(at), len(at)))
+        for u, v, rel, amount in edges:
+            if "w" in (u, v) or rel in ("unknown", "phenotype_disease"):
+                continue
+            w = (amount or 1.0) if rel in ("substrate", "product") else cap.get(u, cap.get(v, 1.0))
+            adj[at[u], at[v]] += w / 2
+            adj[at[v], at[u]] += w / 2
+        root = 1 / np.sqrt(np.where(adj.sum(1) > 0, adj.sum(1), 1))
+        y = np.zeros(len(at))
+        for kind in ("metabolite", "gene"):
+            part = np.zeros(len(at))
+            for _, _, n, x, c in rec:
+                part[at[n]] += x * c if dict(nodes)[n] == kind else 0
+            y += part / np.linalg.norm(part)
+        x = np.linalg.solve(2 * np.eye(len(at)) - root[:, None] * adj * root, y)
+        capacity = spark.createDataFrame(list(cap.items()), "node_id string, capacity double") if cap else None
+        got = {r["node_id"]: r for r in inference.laplacian(g, e, tol=1e-12, capacity=capacity).collect()}
+        up = 0.95 / (1 + np.exp(-2 * x))
+        assert all((got[n]["score"], got[n]["p_up"], got[n]["p_normal"], got[n]["p_down"]) == pytest.approx((x[i], up[i], 0.05, 0.95 - up[i]), abs=1e-8) for n, i in at.items())
+
+
+def plain_propagation(nodes, edges, rec, hops, rounds):
+    """Message by message, with products and no logarithms."""
+    theta = {"substrate": (1.0, -1.0), "product": (1.0, 1.0), "modifier": (0.3, 1.0), "disease_gene": (1.2, 1.0), "phenotype_disease": (1.5, 1.0)}
+    kind, sign = dict(nodes), np.array([-1.0, 0.0, 1.0])
+    live = {r[2] for r in rec}
+    for _ in range(hops):
+        live |= {v for u, v, *_ in edges if u in live} | {u for u, v, *_ in edges if v in live}
+    live -= {"w"}
+    unary = {}
+    for n in live:
+        b = 4.0 if kind[n] in ("disease", "phenotype") else 1.5
+        unary[n] = np.array([1, b, 1]) / (2 + b)
+    for _, assay, n, x, c in rec:
+        if n in live:
+            if kind[n] in ("disease", "phenotype"):
+                like = np.array([0.025, 0.025, 0.95])
+            else:
+                z = (x * c - sign) / max({"transcriptomics": 2.0}.get(assay, 1.0) / c, 0.1)
+                like = np.maximum(np.exp(-0.5 * z * z + 0.5 * (z * z).min()), 1e-30)
+            unary[n] = unary[n] * like / (unary[n] * like).sum()
+    both = [(u, v, t * s) for u, v, rel, _ in edges if u in live and v in live for t, s in [theta.get(rel, (0, 1))] if t]
+    both += [(v, u, x) for u, v, x in both]
+    half = len(both) // 2
+    msg = [np.ones(3) / 3 for _ in both]
+    for _ in range(rounds):
+        new = []
+        for k, (u, v, x) in enumerate(both):
+            back = (k + half) % len(both)
+            f = unary[u] * np.prod([msg[j] for j, (_, w, _) in enumerate(both) if w == u and j != back], axis=0)
+            m = np.exp(x * np.outer(sign, sign)).T @ f
+            new.append(m / m.sum())
+        msg = [0.5 * a + 0.5 * b for a, b in zip(msg, new)]
+    out = {n: unary[n] * np.prod([msg[j] for j, (_, w, _) in enumerate(both) if w == n], axis=0) for n in live}
+    return {n: x / x.sum() for n, x in out.items()}
+
+
+@pytest.mark.parametrize("hops,more", [(3, []), (1, []), (2, [("x", "clinical", "d", 1.0, 1.0)])])
+def test_belief_propagation_against_messages(spark, mixed_graph, hops, more):
+    g, nodes, edges, rec, e = mixed_graph
+    e = e.unionByName(spark.createDataFrame(more, e.schema)) if more else e
+    rows_ = inference.belief_propagation(g, e, hops=hops, rounds=7, tol=0).collect()
+    got = {r["node_id"]: (r["p_down"], r["p_normal"], r["p_up"]) for r in rows_}
+    want = plain_propagation(nodes, edges, rec + more, hops, 7)
+    assert set(got) == set(want) and all(got[n] == pytest.approx(want[n], abs=1e-9) for n in want)
+    assert {(r["rounds"], r["converged"]) for r in rows_} == {(7, False)}
 
 
 def test_belief_propagation_on_a_tree_is_exact(spark):
-    g = Graph(spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string"), spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"))
-    e = spark.createDataFrame([("s", "a", 1.0, 1.0)], "sample_id string, node_id string, effect_size double, confidence double")
-    got = {r["node_id"]: (r["p_down"], r["p_normal"], r["p_up"]) for r in inference.belief_propagation(g, e, rounds=200, tol=1e-10).collect()}
-    s, prior = np.array([-1, 0, 1]), np.array([0.25, 0.5, 0.25])
-    like = np.exp(-0.5 * ((1 - s) / 0.5) ** 2)
-    joint = np.einsum("i,j,k,ij,jk->ijk", prior * like, prior, prior, np.exp(0.5 * np.outer(s, s)), np.exp(0.5 * np.outer(s, s)))
+    kinds = [("a", "metabolite"), ("b", "reaction"), ("c", "metabolite"), ("n", "metabolite")]
+    g = Graph(spark.createDataFrame(kinds, "node_id string, node_type string"), spark.createDataFrame([("a", "b", "substrate"), ("b", "c", "product"), ("n", "b", "product")], "src string, dst string, rel string"))
+    e = spark.createDataFrame([("s", "a", 1.0, 1.0), ("s", "n", 1.0, 1.0)], "sample_id string, node_id string, effect_size double, confidence double")
+    anchor = spark.createDataFrame([("n",)], "node_id string")
+    got = {r["node_id"]: (r["p_down"], r["p_normal"], r["p_up"]) for r in inference.belief_propagation(g, e, rounds=200, tol=1e-10, anchors=anchor).collect()}
+    s, prior = np.array([-1, 0, 1]), np.array([1, 1.5, 1]) / 3.5
+    like, sure, agree = np.exp(-0.5 * (1 - s) ** 2), np.array([0.025, 0.95, 0.025]), np.exp(np.outer(s, s))
+    joint = np.einsum("i,j,k,l,ij,jk,jl->ijkl", prior * like, prior, prior, prior * sure, 1 / agree, agree, agree)
     joint /= joint.sum()
-    for n, axis in (("a", (1, 2)), ("b", (0, 2)), ("c", (0, 1))):
+    for n, axis in (("a", (1, 2, 3)), ("b", (0, 2, 3)), ("c", (0, 1, 3)), ("n", (0, 1, 2))):
         assert got[n] == pytest.approx(joint.sum(axis), abs=1e-6)
 
 
