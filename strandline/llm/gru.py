@@ -114,24 +114,42 @@ class Model:
         return out
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next states from rows of inputs and states, and what gradients need: gates z and r, candidates, and their part from the state."""
+        return tuple(a.T for a in self._step(x.T, h.T))
+
+    def _step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        # units in rows: all that is taken apart or passed over is contiguous
         k = self.units
-        a = h @ self.p["u"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * k] + a[:, : 2 * k])))
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * a[:, 2 * k :])
-        return n + z * (h - n), z, r, n, a[:, 2 * k :]
+        a = self.p["u"].T @ h
+        zr = x[: 2 * k] + a[: 2 * k]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r, c = zr[:k], zr[k:], a[2 * k :]
+        n = r * c
+        n += x[2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, c
 
     def output(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of ``ids`` (of others' classes: of the class alone); with ``grads``, gradients of their sum too."""
-        # rows by class; softmaxes lie in columns, which numpy reduces faster
+        """Natural log-probabilities of ``ids`` (of others' classes: of the class alone) from rows of states; with ``grads``, gradients of their sum too."""
+        out, dh = self._output(h.T, ids, grads)
+        return out, None if dh is None else dh.T
+
+    def _output(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        # columns by class; softmaxes lie in columns, which numpy reduces faster
         p, n = self.p, len(ids)
         c = self.class_of(ids)
         order = np.argsort(c.astype(np.int8), kind="stable")
-        c, ids, h = c[order], ids[order], h[order]
+        c, ids, h = c[order], ids[order], np.take(h, order, 1)
         row = np.arange(n)
         # no logit is over this, so most often none needs to be taken off before exp
         most = float(np.abs(h).max(initial=0.0))
-        e = p["cw"].T @ h.T
+        e = p["cw"].T @ h
         e += (p["cb"] + self.closed)[:, None]
         if _high(p["cw"].T, p["cb"], most):
             e -= e.max(0)
@@ -143,9 +161,9 @@ class Model:
         if grads is not None:
             e /= -s
             e[c, row] += 1
-            grads["cw"] += (e @ h).T
+            grads["cw"] += h @ e.T
             grads["cb"] += e.sum(1)
-            dh = (p["cw"] @ e).T
+            dh = p["cw"] @ e
             gw, gb = np.zeros_like(p["ww"]), np.zeros_like(p["wb"])
         ww, wb, place = p["ww"][self.rank], p["wb"][self.rank], self.place[np.minimum(ids, self.v.end)]
         at, end, high = np.searchsorted(c, np.arange(CLASSES + 1)).tolist(), 0, _high(ww, wb, most)
@@ -154,8 +172,8 @@ class Model:
             first, end = end, end + size
             if lo == hi or size < 2:
                 continue
-            hk, wk, col = h[lo:hi], ww[first:end], place[lo:hi]
-            e = wk @ hk.T
+            hk, wk, col = h[:, lo:hi], ww[first:end], place[lo:hi]
+            e = wk @ hk
             e += wb[first:end, None]
             if high:
                 e -= e.max(0)
@@ -167,17 +185,17 @@ class Model:
             if grads is not None:
                 e /= -s
                 e[col, row] += 1
-                gw[first:end] = e @ hk
+                gw[first:end] = e @ hk.T
                 gb[first:end] = e.sum(1)
-                dh[lo:hi] += (wk.T @ e).T
+                dh[:, lo:hi] += wk.T @ e
         out = np.empty_like(got)
         out[order] = got
         if grads is not None:
             grads["ww"][self.rank] += gw
             grads["wb"][self.rank] += gb
-            back = np.empty_like(dh)
-            back[order] = dh
-            dh = back
+            place = np.empty(n, np.int64)
+            place[order] = np.arange(n)
+            dh = np.take(dh, place, 1)
         return out, dh
 
     def fit(self, docs: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.01, streams: int = STREAMS, window: int = WINDOW, moments: list | None = None) -> list[float]:
@@ -200,40 +218,45 @@ class Model:
             width = min(streams, len(ids))
             steps = len(ids) // width
             ids, before, first = (a[: width * steps].reshape(width, steps).T for a in (ids, before, first))
-            h = np.zeros((width, k), np.float32)
+            h = np.zeros((k, width), np.float32)
             total_steps = total_steps or epochs * -(-steps // window)
             sums = 0.0
             for a in range(0, steps, window):
                 size = min(window, steps - a)
-                x, fresh = p["x"][before[a : a + size]], ~first[a : a + size, :, None]
-                h0, z, r, n, c, hs = (np.empty((size, width, k), np.float32) for _ in range(6))
+                x = np.ascontiguousarray(p["x"][before[a : a + size]].transpose(0, 2, 1))
+                fresh = (~first[a : a + size]).astype(np.float32)
+                h0, z, r, n, c, hs = (np.empty((size, k, width), np.float32) for _ in range(6))
                 for t in range(size):
-                    h0[t] = h * fresh[t]
-                    h, z[t], r[t], n[t], c[t] = self.step(x[t], h0[t])
+                    np.multiply(h, fresh[t], out=h0[t])
+                    h, z[t], r[t], n[t], c[t] = self._step(x[t], h0[t])
                     hs[t] = h
                 g = {n: np.zeros_like(v) for n, v in p.items()}
-                out, dhs = self.output(hs.reshape(-1, k), ids[a : a + size].reshape(-1), g)
+                flat = lambda s: s.transpose(1, 0, 2).reshape(s.shape[1], -1)
+                out, dhs = self._output(flat(hs), ids[a : a + size].reshape(-1), g)
                 sums += float(out.sum())
-                dhs = dhs.reshape(size, width, k)
+                dhs = np.ascontiguousarray(dhs.reshape(k, size, width).transpose(1, 0, 2))
                 # what a state's gradient is multiplied with, for all steps at once
                 to_n, to_z, to_r = (1 - z) * (1 - n * n), (h0 - n) * z * (1 - z), c * r * (1 - r)
-                back, da, dx, ut = np.zeros((width, k), np.float32), np.empty_like(x), np.empty_like(x), np.ascontiguousarray(p["u"].T)
+                back, da, dn = np.zeros((k, width), np.float32), np.empty_like(x), np.empty_like(n)
                 for t in range(size - 1, -1, -1):
-                    d, to = dhs[t] + back, da[t]
-                    dn = np.multiply(d, to_n[t], out=dx[t, :, 2 * k :])
-                    np.multiply(d, to_z[t], out=to[:, :k])
-                    np.multiply(dn, to_r[t], out=to[:, k : 2 * k])
-                    np.multiply(dn, r[t], out=to[:, 2 * k :])
-                    back = to @ ut
-                    back += d * z[t]
+                    d, to = dhs[t], da[t]
+                    d += back
+                    np.multiply(d, to_n[t], out=dn[t])
+                    np.multiply(d, to_z[t], out=to[:k])
+                    np.multiply(dn[t], to_r[t], out=to[k : 2 * k])
+                    np.multiply(dn[t], r[t], out=to[2 * k :])
+                    back = p["u"] @ to
+                    d *= z[t]
+                    back += d
                     back *= fresh[t]
-                dx[:, :, : 2 * k] = da[:, :, : 2 * k]
-                g["u"] += h0.reshape(-1, k).T @ da.reshape(-1, 3 * k)
+                g["u"] += flat(h0) @ flat(da).T
+                da[:, 2 * k :] = dn
+                dx = da.transpose(0, 2, 1).reshape(-1, 3 * k)
                 where = before[a : a + size].reshape(-1)
                 order = np.argsort(where, kind="stable")
                 where = where[order]
                 lead = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-                g["x"][where[lead]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], lead)
+                g["x"][where[lead]] = np.add.reduceat(dx[order], lead)
                 count += 1
                 speed = rate if moments is not None else rate * max(0.05, 1 - count / total_steps)
                 scale = 1.0 / (size * width)
@@ -264,7 +287,7 @@ class Model:
         order = np.argsort(-size, kind="stable")
         begin, size = first[:-1][order], size[order]
         total = np.zeros(len(size))
-        h = np.zeros((len(size), self.units), np.float32)
+        h = np.zeros((self.units, len(size)), np.float32)
         longest = int(size[0]) if len(size) else 0
         table = self.p["x"]
         last = np.full(len(size), self.start, np.int64)
@@ -274,15 +297,16 @@ class Model:
             hs, wanted, who = [], [], []
             for t, m in zip(range(a, b), run.tolist()):
                 now = ids[begin[:m] + t]
-                h[:m] = self.step(table[last[:m]], h[:m])[0]
+                new = self._step(np.ascontiguousarray(table[last[:m]].T), h[:, :m])[0]
+                h[:, :m] = new
                 last[:m] = now
-                hs.append(h[:m].copy())
+                hs.append(new)
                 wanted.append(now)
                 who.append(m)
-            hs, wanted = np.concatenate(hs), np.concatenate(wanted)
+            hs, wanted = np.concatenate(hs, 1), np.concatenate(wanted)
             out = np.empty(len(wanted))
             for c in range(0, len(wanted), 1 << 13):
-                out[c : c + (1 << 13)] = self.output(hs[c : c + (1 << 13)], wanted[c : c + (1 << 13)])[0]
+                out[c : c + (1 << 13)] = self._output(hs[:, c : c + (1 << 13)], wanted[c : c + (1 << 13)])[0]
             at = 0
             for m in who:
                 total[:m] += out[at : at + m]
