@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -44,6 +45,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Drop the shuffle files of rounds whose rows are in a checkpoint: Spark does when the driver's JVM finds their frames unused, which may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def held_out(doc_id: Column | str, mod: int, rest: int) -> Column:
     """crc32(doc_id as text) mod ``mod`` is ``rest``; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -85,6 +92,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         e = cut(small)
+        del both, low, large, small
+        sweep(e.sparkSession)
         now = _signature(e)
         if now == last:
             return e
