@@ -8,6 +8,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -51,6 +52,22 @@ def sweep(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def ordered(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """The rows with their number in ``order``, from 1; fixed in the checkpoint folder.
+
+    Rows are dealt by ranges and sorted there; the ranges' sizes (a row each) give where
+    each begins. Ties are numbered as they happen to lie.
+    """
+    at = "__ordered"
+    # the id has the partition in its upper 31 bits, the row's place there in the lower 33
+    d = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    d = d.withColumns({f"{at}_part": F.shiftright(at, 33), name: F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop(at)
+    sizes = d.groupBy(f"{at}_part").agg(F.count("*").alias(f"{at}_n"))
+    before = Window.orderBy(f"{at}_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(f"{at}_part", F.coalesce(F.sum(f"{at}_n").over(before), F.lit(0)).alias(f"{at}_base"))
+    return d.join(F.broadcast(base), f"{at}_part").withColumn(name, F.col(name) + F.col(f"{at}_base")).drop(f"{at}_part", f"{at}_base")
+
+
 def held_out(doc_id: Column | str, mod: int, rest: int) -> Column:
     """crc32(doc_id as text) mod ``mod`` is ``rest``; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

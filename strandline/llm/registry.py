@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, lengths, licenses, lm, mixing, neighbours, packing, quality, simhash, toxicity
+from . import gif, lengths, licenses, lm, mixing, neighbours, order_minhash, packing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": lm.op8_language_model,
     "op9_quality": quality.op9_quality,
     "op10_token_counts": lengths.op10_token_counts,
+    "op13_order_minhash": order_minhash.op13_order_minhash,
 }
 
 #: None: what these ten give is learned, scheduled or approximate, or takes a tokenizer. ``neighbours.EXACT`` is what op6 is measured by.
