@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, lengths, lexical, licenses, lm, mixing, neighbours, order_minhash, packing, quality, simhash, toxicity
+from . import gif, importance, lengths, lexical, licenses, lm, mixing, neighbours, order_minhash, packing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -20,8 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": quality.op9_quality,
     "op10_token_counts": lengths.op10_token_counts,
     "op11_ranked_search": lexical.op11_ranked_search,
+    "op12_importance": importance.op12_importance,
     "op13_order_minhash": order_minhash.op13_order_minhash,
 }
 
 #: What the others give is learned, scheduled or approximate, or takes a tokenizer or another engine's hash. ``neighbours.EXACT`` is what op6 is measured by.
-ORACLES: dict[str, str] = {"op11_ranked_search": lexical.SQL}
+ORACLES: dict[str, str] = {"op11_ranked_search": lexical.SQL, "op12_importance": importance.SQL}
