@@ -53,7 +53,7 @@ def counting_sql(ngram: int, buckets: int) -> str:
         WITH split AS (SELECT row, regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{WORD}') AS word FROM batch),
         words AS (SELECT row, unnest(word) AS word, unnest(range(len(word))) AS place FROM split),
         features AS ({runs}),
-        counted AS (SELECT row, crc(feature) % {buckets} AS bucket, count(*) AS n FROM features WHERE feature IS NOT NULL GROUP BY row, bucket)
+        counted AS (SELECT row, crc(feature) % {buckets} AS bucket, count(*) AS n FROM features WHERE feature IS NOT NULL GROUP BY row, bucket),
         lists AS (SELECT row, list(CAST(bucket AS INTEGER) ORDER BY bucket) AS buckets, list(CAST(n AS INTEGER) ORDER BY bucket) AS counts FROM counted GROUP BY row)
         SELECT row, n_words, buckets, counts FROM lists JOIN (SELECT row, len(word) AS n_words FROM split) USING (row)
     """
