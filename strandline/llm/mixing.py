@@ -5,15 +5,19 @@ last are read at once, each at the rate of its weight over the sum of theirs, on
 block a slot in all. In this ideal, block i of a source begins and ends at certain
 times; rounded down and up they are the block's release and deadline. Each slot
 goes to the released block that is due first. As the ideal reads one block a slot,
-every block keeps its window, so at every slot each source has received what the
-ideal gives it to within less than one block, also where others end (Baruah et
-al., 1996).
+every block keeps its window, so at every slot each source has received what its
+target weight gives it to within less than one block, also where others end (Baruah
+et al., 1996).
 
-Weights are rounded to whole ``share`` s of a round of some ``period`` blocks, one
-at least. The ideal then gives every source whole blocks by the end of each round,
-so rounds are scheduled apart, a task each, and nothing is held on the driver: the
-work is in proportion to the blocks. A round has as many rows as sources that
-last, ``period`` or the number of sources at most.
+Rounds of ``period`` slots (or of the widest window, if that is more) are scheduled
+apart, in tasks. For that, ``done_by`` tells which blocks the one schedule over all
+has placed before a slot, without running it up to there: those that are due by then, and of those
+whose windows reach past it the first due ones for which slots were left after
+their release. Weights are never rounded. Times are doubles, and windows are taken wider by
+a millionth of a slot and 1e-14 of the time, so that no rounding of these can close one.
+
+Driver and tasks hold two numbers and the name of each source, of ``MOST_SOURCES``
+at most (more are refused); blocks and documents only occur as rows.
 
 Numbering the documents of a source takes no task with all of a source: they
 fall into buckets of some ``BUCKET`` rows by a hash (copies of one row by the part of
@@ -29,10 +33,10 @@ other columns stay, also such as have the names used here.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +44,11 @@ from .common import cut, table
 
 BLOCK = 16
 PERIOD = 4096
+#: Slots of a round at most: what a task schedules at once. Narrower than the widest window, it only costs a longer look back.
+LONGEST = 1 << 20
+#: Rounds that a task runs one after another.
+ROUNDS = 64
+MOST_SOURCES = 1 << 20
 BUCKET = 1024
 #: Rows of the first level of running sums.
 RUN = 4096
@@ -47,57 +56,135 @@ RUN = 4096
 TEMPER = 0.5
 
 
-def windows(share: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all blocks of a round, source by source: their source, release and deadline. ``blocks``: of each source, ``share`` at most."""
-    source = np.repeat(np.arange(len(share)), blocks)
-    i = np.arange(len(source)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    order = np.argsort(blocks / share, kind="stable")
-    last = (blocks / share)[order]
-    gone, rate = np.append(0, np.cumsum(blocks[order])), share.sum() - np.append(0, np.cumsum(share[order]))
-
-    def reached(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """When the ideal has read ``n`` blocks of the source: whole slots, and the rest times the share."""
-        ended = np.searchsorted(last, n / share[source], "left")
-        part = n * rate[ended]
-        return gone[ended] + part // share[source], part % share[source]
-
-    begin, _ = reached(i)
-    end, more = reached(i + 1)
-    return source, begin, end + (more > 0)
+class Ideal:
+    """The ideal: all sources that last are read at once, by weight. Times are in slots."""
+
+    def __init__(self, weight: np.ndarray, blocks: np.ndarray):
+        self.weight, self.blocks = weight.astype(np.float64), blocks.astype(np.int64)
+        # in virtual time each source is read at the rate of its weight until it ends
+        end = self.blocks / self.weight
+        order = np.argsort(end, kind="stable")
+        rate = self.weight.sum() - np.append(0.0, np.cumsum(self.weight[order])[:-1])
+        self.virtual = np.append(0.0, end[order])
+        self.slots = np.append(0.0, np.cumsum(np.maximum(rate, self.weight[order]) * np.diff(self.virtual)))
+        self.total = int(self.blocks.sum())
+
+    def _when(self, source: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.interp(n / self.weight[source], self.virtual, self.slots)
+
+    def release(self, source: np.ndarray, i: np.ndarray) -> np.ndarray:
+        t = self._when(source, i)
+        return np.floor(t + 1e-6 + 1e-14 * t).astype(np.int64)
+
+    def deadline(self, source: np.ndarray, i: np.ndarray) -> np.ndarray:
+        t = self._when(source, i + 1)
+        return np.maximum(np.ceil(t - 1e-6 - 1e-14 * t).astype(np.int64), self.release(source, i) + 1)
+
+    def _first(self, at: int, passed) -> np.ndarray:
+        """Of each source the first block that hasn't ``passed``, which holds of a source's blocks up to some one; the ideal at ``at`` is near it."""
+        every = np.arange(len(self.weight))
+        n = np.clip(np.floor(self.weight * np.interp(at, self.slots, self.virtual)).astype(np.int64), 0, self.blocks)
+        while (back := (n > 0) & ~passed(every, np.maximum(n - 1, 0))).any():
+            n -= back
+        while (on := (n < self.blocks) & passed(every, n)).any():
+            n += on
+        return n
+
+    def due_by(self, at: int) -> np.ndarray:
+        """How many blocks of each source have their deadline by then."""
+        return self._first(at, lambda s, i: self.deadline(s, i) <= at)
+
+    def ended_by(self, at: int) -> int:
+        """How many sources have ended in the ideal."""
+        return int(np.searchsorted(self.slots[1:], at, "right"))
+
+    def done_by(self, at: int) -> np.ndarray:
+        """How many blocks of each source earliest deadline first (ties: the source before) has placed in the slots before ``at``.
+
+        Due blocks are all placed. Of the others that are released, one a source, the first
+        due one is placed if slots suffice for all placed blocks that are released no sooner, and so on.
+        """
+        if at >= self.total:
+            return self.blocks.copy()
+        done = self.due_by(at)
+        short = at - int(done.sum())
+        open_ = np.flatnonzero(done < self.blocks)
+        release = self.release(open_, done[open_])
+        open_, release = open_[release < at], release[release < at]
+        if short <= 0 or not len(open_):
+            return done
+        # before the first of their releases the due blocks have all slots they need
+        low = int(release.min())
+        begin = self._first(low, lambda s, i: self.release(s, i) < low)
+        size = np.maximum(done - begin, 0)
+        source = np.repeat(np.arange(len(size)), size)
+        due = np.sort(self.release(source, np.arange(len(source)) - np.repeat(np.cumsum(size) - size, size) + begin[source])) - low
+        # each takes the first free slot from its release on: late slots serve all that come later
+        taken = np.maximum.accumulate(due - np.arange(len(due))) + np.arange(len(due))
+        free = np.ones(at - low + 1, bool)
+        free[taken[taken < at - low]] = False
+        after = np.flatnonzero(free)
+        after = after[np.searchsorted(after, np.arange(at - low + 1))].tolist()  # the first free slot from each on; the last is none
+
+        def find(x: int) -> int:
+            root = x
+            while after[root] != root:
+                root = after[root]
+            while after[x] != root:
+                after[x], x = root, after[x]
+            return root
+
+        order = np.lexsort((open_, self.deadline(open_, done[open_])))
+        left = []
+        for s, r in zip(open_[order].tolist(), (release[order] - low).tolist()):
+            slot = find(r)
+            if slot == at - low:
+                left.append(s)
+                continue
+            after[slot] = slot + 1
+            done[s] += 1
+            short -= 1
+            if not short:
+                break
+        for s in left[: max(short, 0)]:  # only if doubles were too coarse
+            done[s] += 1
+        return done
+
+    def blocks_of(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(source, block) of the blocks that lie between two states."""
+        size = after - before
+        source = np.repeat(np.arange(len(size)), size)
+        return source, np.arange(len(source)) - np.repeat(np.cumsum(size) - size, size) + before[source]
+
+    def widest(self) -> int:
+        """Slots in the widest window: rates only rise, so the lightest source has it."""
+        return int(np.ceil(self.weight.sum() / self.weight.min())) + 1
+
+
+def windows(weight: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all blocks, source by source: their source, release and deadline."""
+    ideal = Ideal(weight, blocks)
+    source, i = ideal.blocks_of(np.zeros(len(blocks), np.int64), ideal.blocks)
+    return source, ideal.release(source, i), ideal.deadline(source, i)
 
 
 def first_due(release: np.ndarray, deadline: np.ndarray) -> np.ndarray:
-    """The slot of each block: earliest deadline first among released blocks."""
+    """The slot of each block: earliest deadline first (ties: the block before) among released blocks; if none is, the next to be."""
     n = len(release)
     order, slots = np.argsort(release, kind="stable").tolist(), np.empty(n, np.int64)
     begin, due = release.tolist(), deadline.tolist()
     ready: list[tuple[int, int]] = []
     at = 0
     for t in range(n):
-        while at < n and begin[order[at]] <= t:
+        while at < n and (begin[order[at]] <= t or not ready):
             heapq.heappush(ready, (due[order[at]], order[at]))
             at += 1
-        end, b = heapq.heappop(ready)
-        assert t < end, "a block is late"
-        slots[b] = t
+        slots[heapq.heappop(ready)[1]] = t
     return slots
 
 
 _KEY = "__mix_key"
-_ROUND = "late boolean, round long"
-_PLAN = f"source_key string, {_ROUND}, phase long, slots array<int>, releases array<int>, deadlines array<int>"
-
-
-def one_round(rows: pd.DataFrame) -> pd.DataFrame:
-    """Slots, releases and deadlines of a round's blocks, counted from its first slot; phase: sources that have ended in earlier rounds."""
-    rows = rows.sort_values("source_key", kind="stable")
-    blocks = rows["blocks"].to_numpy(np.int64)
-    _, release, deadline = windows(rows["share"].to_numpy(np.int64), blocks)
-    slot, at = first_due(release, deadline), np.cumsum(blocks)[:-1]
-    out = rows[["source_key", "late", "round"]].assign(phase=rows["sources"] - len(rows))
-    for name, x in (("slots", slot), ("releases", release), ("deadlines", deadline)):
-        out[name] = [a.astype(np.int32) for a in np.split(x, at)]
-    return out
+_PLAN = f"{_KEY} string, block long, phase long, slot long, release long, deadline long"
 
 
 def _running(d: DataFrame, value: str, by: list[str], at: str, name: str) -> DataFrame:
@@ -110,29 +197,40 @@ def _running(d: DataFrame, value: str, by: list[str], at: str, name: str) -> Dat
     return inside.join(sums, [*by, "__run"]).withColumn(name, F.col(name) + F.col("__base")).drop("__run", "__base")
 
 
-def rounds(sources: DataFrame, period: int = PERIOD) -> DataFrame:
-    """source_key, late, share, blocks of (source_key, late, weight, blocks) rows by round, with the number of sources."""
-    # two rows at most
-    total = {r["late"]: r for r in sources.groupBy("late").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()}
-    weight = F.when(F.col("late"), float(total[True]["w"]) if True in total else 1.0).otherwise(float(total[False]["w"]) if False in total else 1.0)
-    number = F.when(F.col("late"), total[True]["n"] if True in total else 0).otherwise(total[False]["n"] if False in total else 0)
-    d = sources.withColumn("share", F.greatest(F.lit(1), F.round(F.col("weight") / weight * period)).cast("long")).withColumn("sources", number.cast("long"))
-    last = F.expr("(blocks - 1) div share")
-    d = d.withColumn("__far", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / RUN))))
-    d = d.withColumn("round", F.explode(F.sequence(F.col("__far") * RUN, F.least(last, F.col("__far") * RUN + (RUN - 1)))))
-    return d.withColumn("blocks", F.least("share", F.col("blocks") - F.col("round") * F.col("share"))).drop("__far", "weight")
-
-
 def schedule(sources: DataFrame, period: int = PERIOD) -> DataFrame:
-    """``_PLAN`` rows with share and base (the round's first slot), a row for each source and round."""
-    parts = cut(rounds(sources, period))
-    length = parts.groupBy("late", "round").agg(F.sum("blocks").alias("length"))
-    base = _running(length, "length", ["late"], "round", "base").drop("length")
-    # one row
-    first = parts.where("NOT late").agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
-    base = base.withColumn("base", F.col("base") + F.when(F.col("late"), first).otherwise(0))
-    plan = parts.groupBy("late", "round").applyInPandas(one_round, _PLAN)
-    return plan.join(base, ["late", "round"])
+    """``_PLAN`` rows, one for each block of (source_key, late, weight, blocks) rows; phase is the number of sources that end before its round. Late sources follow the others."""
+    spark = sources.sparkSession
+    held = sources.orderBy("late", "source_key").limit(MOST_SOURCES + 1).toArrow()
+    if len(held) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    late = held.column("late").to_numpy(zero_copy_only=False)
+    weight, blocks, keys = held.column("weight").to_numpy(), held.column("blocks").to_numpy(), held.column("source_key")
+    plans, base = [], 0
+    for part in (np.flatnonzero(~late), np.flatnonzero(late)):
+        if not len(part):
+            continue
+        ideal, names = Ideal(weight[part], blocks[part]), keys.take(pa.array(part)).combine_chunks()
+        length = min(max(period, min(ideal.widest(), LONGEST)), ideal.total)
+
+        def rounds(batches: Iterator[pa.RecordBatch], ideal=ideal, names=names, length=length, base=base) -> Iterator[pa.RecordBatch]:
+            last, state = None, None
+            for batch in batches:
+                for r in batch.column(0).to_pylist():
+                    at, to = r * length, min((r + 1) * length, ideal.total)
+                    before = state if last == r - 1 and state is not None else ideal.done_by(at)
+                    last, state = r, ideal.done_by(to)
+                    source, i = ideal.blocks_of(before, state)
+                    release, deadline = ideal.release(source, i), ideal.deadline(source, i)
+                    slot = first_due(np.maximum(release - at, 0), deadline - at) + at
+                    phase = np.full(len(i), ideal.ended_by(at))
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(source)), *map(pa.array, (i, phase, slot + base, release + base, deadline + base))], [_KEY, "block", "phase", "slot", "release", "deadline"]
+                    )
+
+        n = -(-ideal.total // length)
+        plans.append(spark.range(0, n, 1, max(1, min(n, 1 + n // ROUNDS + spark.sparkContext.defaultParallelism))).mapInArrow(rounds, _PLAN))
+        base += ideal.total
+    return plans[0] if len(plans) == 1 else plans[0].unionByName(plans[1])
 
 
 def _key(c: Column) -> Column:
@@ -161,15 +259,11 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     if sources.isEmpty():
         return docs.withColumn("__mix", F.lit(None).cast("struct<block:bigint,phase:bigint,slot:bigint,release:bigint,deadline:bigint,position:bigint>"))
     sources = cut(sources)
-    plan = schedule(sources, period).withColumnRenamed("source_key", _KEY)
-
-    # the places of each bucket's blocks: some BUCKET / block of them
-    share = rounds(sources, period).where("round = 0").select(F.col("source_key").alias(_KEY), "share")
+    # the blocks of each bucket: some BUCKET / block of them, a row each
     before = _running(buckets, "n", [_KEY], "__mix_bucket", "before")
-    mine = before.join(share, _KEY).withColumn("block", F.explode(F.sequence(F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("n") - 1) / block))))
-    mine = mine.withColumn("round", F.expr("block div share")).join(plan, [_KEY, "round"])
-    i = F.pmod("block", "share").cast("int")
-    place = F.struct("block", "phase", *(F.get(c, i) + F.col("base") for c in ("slots", "releases", "deadlines")))
+    mine = before.select(_KEY, "__mix_bucket", "before", F.explode(F.sequence(F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("n") - 1) / block))).alias("block"))
+    mine = mine.join(schedule(sources, period), [_KEY, "block"])
+    place = F.struct("block", "phase", "slot", "release", "deadline")
     places = mine.groupBy(_KEY, "__mix_bucket").agg(F.first("before").alias("__mix_before"), F.sort_array(F.collect_list(place)).alias("__mix_places"))
 
     inside = Window.partitionBy(_KEY, "__mix_bucket").orderBy("__mix_salt", "doc_id")
@@ -177,12 +271,8 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     n = F.col("__mix_n") + F.col("__mix_before")
     p = F.get("__mix_places", (F.floor(n / block) - F.floor(F.col("__mix_before") / block)).cast("int"))
     mix = F.struct(
-        p["block"].alias("block"),
-        p["phase"].alias("phase"),
-        p["col3"].alias("slot"),
-        p["col4"].alias("release"),
-        p["col5"].alias("deadline"),
-        (p["col3"] * block + F.pmod(n, F.lit(block))).alias("position"),
+        *(p[c].alias(c) for c in ("block", "phase", "slot", "release", "deadline")),
+        (p["slot"] * block + F.pmod(n, F.lit(block))).alias("position"),
     )
     return d.select(*(F.col(f"`{c}`") for c in docs.columns), mix.alias("__mix"))
 

@@ -2,11 +2,14 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strandline.llm import mixing
 
+SOURCES = "source_key string, late boolean, weight double, blocks long"
+
 
 def ideal(share, blocks, t):
     """What each source has by time ``t`` when all that last are read at once: exact, a step to each end."""
@@ -37,15 +40,58 @@ def test_windows_and_deviation(sources):
             assert abs(int(((source == k) & (slot < t)).sum()) - want[k]) < 1
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(1, 30)), min_size=1, max_size=8))
+def test_states_are_those_of_the_one_schedule(sources):
+    weight, blocks = np.array([w for w, _ in sources]), np.array([b for _, b in sources])
+    source, release, deadline = mixing.windows(weight, blocks)
+    slot = mixing.first_due(release, deadline)
+    i = mixing.Ideal(weight, blocks)
+    for t in range(i.total + 1):
+        assert i.done_by(t).tolist() == np.bincount(source[slot < t], minlength=len(blocks)).tolist()
+
+
+def _deviation(rows, weight, blocks):
+    """The largest distance from the target weights over all slots, while all sources last."""
+    at = {k: n for n, k in enumerate(weight)}
+    who = np.empty(len(rows), np.int64)
+    for r in rows:
+        who[r["slot"]] = at[r[mixing._KEY]]
+    w, b = np.array([weight[k] for k in at], float), np.array([blocks[k] for k in at])
+    t = int(min(b / w) * w.sum())
+    worst = 0.0
+    for k in range(len(w)):
+        got = np.append(0, np.cumsum(who[:t] == k))
+        worst = max(worst, np.abs(got - np.arange(t + 1) * w[k] / w.sum()).max())
+    return worst
+
+
+@pytest.mark.parametrize("period", [3, 13, 64])
+def test_target_weights_over_many_rounds(spark, period):
+    """Weights that no period holds in whole shares: the distance doesn't grow from round to round."""
+    weight, blocks = {"a": 1.0, "b": 2.0, "c": 0.37, "d": 2**0.5}, {"a": 500, "b": 1000, "c": 200, "d": 900}
+    rows = mixing.schedule(spark.createDataFrame([(k, False, weight[k], blocks[k]) for k in weight], SOURCES), period).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(2600)) and len(rows) == 2600
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    assert _deviation(rows, weight, blocks) < 1
+
+
+def test_one_large_source_and_many_small_ones(spark):
+    weight = {"big": 1e6} | {f"s{i:05}": 1.0 for i in range(20_000)}
+    blocks = {k: 60_000 if k == "big" else 3 for k in weight}
+    rows = mixing.schedule(spark.createDataFrame([(k, False, weight[k], blocks[k]) for k in weight], SOURCES)).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(120_000))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    got = np.zeros(120_000, bool)
+    got[[r["slot"] for r in rows if r[mixing._KEY] == "big"]] = True
+    assert np.abs(np.cumsum(got)[:60_000] - np.arange(1, 60_001) / 1.02).max() < 1
+
+
 def test_rounds_keep_the_ideal_over_all(spark):
     """Many rounds, sources that end at different times, and late ones: within a block of the ideal at every slot."""
     sources = [("a", False, 8.0, 100), ("b", False, 4.0, 7), ("c", False, 1.0, 30), ("d", True, 1.0, 5), ("e", True, 1.0, 9)]
-    rows = mixing.schedule(spark.createDataFrame(sources, "source_key string, late boolean, weight double, blocks long"), 13).collect()
-    at = {}
-    for r in rows:
-        share = {"a": 8, "b": 4, "c": 1}.get(r["source_key"], 7)
-        for i, s in enumerate(r["slots"]):
-            at[r["source_key"], r["round"] * share + i] = r["base"] + s
+    rows = mixing.schedule(spark.createDataFrame(sources, SOURCES), 13).collect()
+    at = {(r[mixing._KEY], r["block"]): r["slot"] for r in rows}
     assert sorted(at.values()) == list(range(151)) and sorted(at) == sorted((k, i) for k, _, _, n in sources for i in range(n))
     for t in range(137):
         want = ideal({"a": 8, "b": 4, "c": 1}, {"a": 100, "b": 7, "c": 30}, t)
@@ -53,6 +99,17 @@ def test_rounds_keep_the_ideal_over_all(spark):
     assert min(s for (k, _), s in at.items() if k in "de") == 137
 
 
+def test_blocks_of_one_row(spark):
+    """A row for each block is joined, no plan of a whole round."""
+    docs = spark.range(0, 90_000, 1, 8).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a', 'b') AS source")
+    rows = mixing.mixed(docs, {"a": 1, "b": 2}, block=1).select("source", "__mix.position").collect()
+    assert sorted(r["position"] for r in rows) == list(range(90_000))
+    order = np.empty(90_000, bool)
+    for r in rows:
+        order[r["position"]] = r["source"] == "a"
+    assert np.abs(np.cumsum(order) - np.arange(1, 90_001) / 3).max() < 1
+
+
 def test_many_sources_and_one_row_many_times(spark):
     docs = spark.range(0, 30_000, 1, 8).selectExpr(
         "IF(id % 3 = 0, NULL, id) AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 5000) END AS source"
@@ -83,7 +140,7 @@ def test_query(spark, sf):
     for t in range(0, span, 3):
         for s, n in sizes.items():
             done = len({r["block"] for r in rows if r["source"] == s and r["slot"] < t})
-            assert abs(done - t * n**0.5 / total) < 1 + t * 2 / mixing.PERIOD
+            assert abs(done - t * n**0.5 / total) < 1
 
 
 def test_edges_and_clashing_columns(edge, none):
