@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from . import lowrank
 
 
 def beta_alpha(f: DataFrame, log_pr: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def gram(x: DataFrame) -> DataFrame:
 
 
 def _axes(x: DataFrame, k: int) -> tuple[DataFrame, DataFrame, list[float], DataFrame]:
-    """Second moments by node x node where nodes are few (features), from executors' partial sums; eigenvectors on the driver.
+    """For ``models.loo_stability``: second moments by node x node where nodes are few (features), from executors' partial sums; eigenvectors on the driver.
 
     Each task adds up its patients' outer products, so what moves is one matrix per
     task; the width is checked, as the matrix must fit the driver.
@@ -69,16 +69,18 @@ def _axes(x: DataFrame, k: int) -> tuple[DataFrame, DataFrame, list[float], Data
 
 
 def pca_loadings(x: DataFrame, k: int) -> DataFrame:
-    """(pc, node, loading); signs such that the largest loading is positive."""
-    return _axes(x, k)[0]
+    """(pc, node, loading); signs such that the largest loading is positive. Any number of nodes (``lowrank``)."""
+    return lowrank.axes(x, k)[0]
 
 
 def pca(x: DataFrame, k: int) -> DataFrame:
     """(patient_id, pc, score, explained) of (patient_id, node, value)."""
-    load, means, share, _ = _axes(x, k)
-    ex = F.element_at(F.array(*map(F.lit, share)), F.col("pc"))
-    d = x.withColumn("node", F.col("node").cast("int")).join(F.broadcast(means), "node").join(F.broadcast(load), "node")
-    return d.groupBy("patient_id", "pc").agg(F.sum((F.col("value") - F.col("mean")) * F.col("loading")).alias("score")).withColumn("explained", ex)
+    load, means, share = lowrank.axes(x, k)
+    ex = F.element_at(F.array(*map(F.lit, share or [0.0])), F.col("pc"))
+    # what isn't there is zero: a mean's projection is taken from every patient's
+    shift = load.join(means, "node").groupBy("pc").agg(F.sum(F.col("mean") * F.col("loading")).alias("shift"))
+    d = x.withColumn("node", F.col("node").cast("int")).join(load, "node").groupBy("patient_id", "pc").agg(F.sum(F.col("value") * F.col("loading")).alias("score"))
+    return d.join(F.broadcast(shift), "pc").select("patient_id", "pc", (F.col("score") - F.col("shift")).alias("score"), ex.alias("explained"))
 
 
 def cosines(axes: DataFrame) -> DataFrame:
