@@ -16,10 +16,14 @@ from ..graph import Graph
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    """Materialise in the shared folder that spark.checkpoint.dir names; one of our own only where it is unset and all runs on this machine."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ckpt-"))
     return df.checkpoint(eager=True)
 
 

@@ -246,28 +246,32 @@ def perturbability(spark, sf):
 
 
 def _ranked(n: int) -> str:
-    """PageRank of metabolites and their reactions, unrolled, and what stands on it."""
+    """PageRank of metabolites and their reactions, unrolled to ``n`` rounds, of which the first counts that changes no more than a millionth a node; and what stands on it."""
     sql = """
 , pair AS MATERIALIZED (SELECT DISTINCT b.node_id AS met, b.other AS rxn, r.pathways FROM both_ways b JOIN nodes m ON m.node_id = b.node_id AND m.node_type = 'metabolite'
   JOIN nodes r ON r.node_id = b.other AND r.node_type = 'reaction' WHERE b.rel IN ('substrate', 'product', 'modifier')),
 b AS MATERIALIZED (SELECT met AS src, rxn AS dst FROM pair UNION ALL SELECT rxn, met FROM pair), dg AS MATERIALIZED (SELECT src, count(*) AS deg FROM b GROUP BY 1),
-v AS MATERIALIZED (SELECT node_id FROM nodes WHERE node_type = 'metabolite' UNION SELECT rxn FROM pair), c AS (SELECT count(*) AS n FROM v),
-r0 AS MATERIALIZED (SELECT node_id, 1.0::DOUBLE / n AS rank FROM v, c)"""
+v AS MATERIALIZED (SELECT node_id FROM nodes WHERE node_type = 'metabolite' UNION SELECT rxn FROM pair), c AS MATERIALIZED (SELECT count(*) AS n FROM v),
+r0 AS MATERIALIZED (SELECT node_id, 1.0::DOUBLE / n AS rank, 0.0::DOUBLE AS moved FROM v, c)"""
     for i in range(n):
         sql += f""",
 l{i} AS MATERIALIZED (SELECT coalesce(sum(r.rank), 0.0) AS loose FROM r{i} r LEFT JOIN dg ON dg.src = r.node_id WHERE dg.src IS NULL),
 x{i} AS MATERIALIZED (SELECT b.dst, sum(r.rank / dg.deg) AS s FROM b JOIN r{i} r ON r.node_id = b.src JOIN dg ON dg.src = b.src GROUP BY 1),
-r{i + 1} AS MATERIALIZED (SELECT v.node_id, 0.15::DOUBLE / c.n + 0.85::DOUBLE * (coalesce(x.s, 0.0) + l.loose / c.n) AS rank FROM v CROSS JOIN c CROSS JOIN l{i} l LEFT JOIN x{i} x ON x.dst = v.node_id)"""
+r{i + 1} AS MATERIALIZED (SELECT node_id, rank, abs(rank - old) AS moved FROM (
+  SELECT o.node_id, o.rank AS old, 0.15::DOUBLE / c.n + 0.85::DOUBLE * (coalesce(x.s, 0.0) + l.loose / c.n) AS rank FROM r{i} o CROSS JOIN c CROSS JOIN l{i} l LEFT JOIN x{i} x ON x.dst = o.node_id))"""
+    every = " UNION ALL ".join(f"SELECT {i} AS i, * FROM r{i}" for i in range(1, n + 1))
     return sql + f""",
+rounds AS MATERIALIZED ({every}),
+last AS (SELECT min(i) AS i FROM (SELECT i, sum(moved) AS moved FROM rounds GROUP BY i) x, c WHERE x.moved < c.n * 1e-6),
 paths AS (SELECT met, count(DISTINCT p) AS n_pathways FROM (SELECT met, unnest(pathways) AS p FROM pair) GROUP BY 1),
 many AS (SELECT met, count(*) AS n FROM pair GROUP BY 1)
 SELECT m.node_id, coalesce(k.n, 0) AS n_reactions, coalesce(k.n, 0) AS degree, coalesce(p.n_pathways, 0) AS n_pathways, round(r.rank, 9) AS pagerank, round(ln(1 + coalesce(p.n_pathways, 0)) * r.rank, 9) AS branch_score
-FROM nodes m JOIN r{n} r USING (node_id) LEFT JOIN paths p ON p.met = m.node_id LEFT JOIN many k ON k.met = m.node_id WHERE m.node_type = 'metabolite'"""
+FROM nodes m JOIN rounds r USING (node_id) JOIN last ON last.i = r.i LEFT JOIN paths p ON p.met = m.node_id LEFT JOIN many k ON k.met = m.node_id WHERE m.node_type = 'metabolite'"""
 
 
-@query(_ranked(4))
+@query(_ranked(60))
 def branch_points(spark, sf):
-    return sc.rounded(sc.branch_points(demo.graph(spark, sf), fixed=4), 9)
+    return sc.rounded(sc.branch_points(demo.graph(spark, sf)), 9)
 
 
 @query("""

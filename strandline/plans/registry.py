@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue, q_agree, q_bridge, q_enrich, q_graph, q_infer, q_map, q_more, q_score, q_sources, q_stats  # noqa: F401  (each fills the catalogue)
+from . import catalogue, q_agree, q_bridge, q_enrich, q_graph, q_infer, q_map, q_more, q_score, q_sources, q_stats, q_survive  # noqa: F401  (each fills the catalogue)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = catalogue.QUERIES
 ORACLES: dict[str, str] = catalogue.ORACLES
