@@ -1,8 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the presence of words, word pairs and pairs with one word between
-(lower-cased words of letters, digits and other than ASCII characters), hashed to
-``2**BITS_`` slots. FTRL-proximal keeps a rate for each coordinate, and its L1
+(lower-cased words of letters, digits and other than ASCII characters), and of the
+stems of words: their first ``STEMS`` bytes, where they are longer, as compounds are mostly
+words that no labelled row has. All are hashed to ``2**BITS_`` slots. FTRL-proximal keeps a rate for each coordinate, and its L1
 term leaves most weights at exactly zero; what is broadcast is the short list of
 the others, at most ``2**BITS_`` whatever the corpus.
 
@@ -30,6 +31,7 @@ from .common import held_out, table
 from .labelled import training_rows
 
 BITS_ = 18
+STEMS = (4, 5, 6, 8)
 #: Most labelled documents used for fitting, and passes over them.
 SAMPLE = 16_000
 EPOCHS = 6
@@ -37,11 +39,14 @@ CUT = 0.3
 
 
 def _hashed(t: tx.Texts) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(text, slot) arrays for single words, pairs and skip pairs, repeats included."""
-    w = tx.words(t, tx.ALNUM)
-    h = tx.hashes(tx.LOWER[t.data], w.start, w.end)
+    """(text, slot) arrays for single words, pairs, skip pairs and stems, repeats included."""
+    w, lower = tx.words(t, tx.ALNUM), tx.LOWER[t.data]
+    h = tx.hashes(lower, w.start, w.end)
     owner = w.text()
     out = [(owner, h)]
+    for size in STEMS:
+        long = w.end - w.start > size
+        out.append((owner[long], tx.mix(tx.hashes(lower, w.start[long], w.start[long] + size) + np.uint64(size))))
     for gap in (1, 2):
         g, place = tx.grams(h, w.first, 2, gap, salt=gap)
         out.append((owner[place], g))
