@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import factors
 from ..operators import models as md
 from ..operators import scoring as sc
 from ..sources import annotate as an
@@ -143,3 +144,9 @@ def matched_null(spark, sf):
 def loo_stability(spark, sf):
     e = demo.read(spark, sf, "embeddings").select(F.col("vec_id").alias("patient_id"), F.posexplode("embedding").alias("node", "value"))
     return md.loo_stability(e.withColumn("value", F.col("value").cast("double")))
+
+
+@query(None)
+def factor_explained(spark, sf):
+    d = _by_brand(spark, sf).select("block", "sample_id", "feature_id", "value")
+    return factors.fit(d, 3, sparsity=0.01, rounds=10)[2]
