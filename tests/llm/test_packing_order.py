@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from strandline.llm import mixing, packing
-from strandline.llm.common import shipped
+from strandline.llm.common import cut, shipped
 
 
 def test_sequences_follow_the_mixture(spark, tmp_path):
@@ -19,7 +19,7 @@ def test_sequences_follow_the_mixture(spark, tmp_path):
         met = [r["doc_id"] % 5 == 0 for r in got if r["sequence_id"] in first]
         assert abs(sum(met) / len(met) - 1 / 3) < 0.04
     # groups of rows that come from no file follow partitions
-    plain = packing.packed(mixing.interleaved(docs).localCheckpoint(), length=16, group=128).collect()
+    plain = packing.packed(cut(mixing.interleaved(docs)), length=16, group=128).collect()
     first = set(sorted({r["sequence_id"] for r in plain})[: len(numbers) // 4])
     met = [r["doc_id"] % 5 == 0 for r in plain if r["sequence_id"] in first]
     assert abs(sum(met) / len(met) - 1 / 3) < 0.04
