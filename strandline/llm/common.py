@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def dealt(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """What is executed inside deals its rows to so many partitions, or as many as the session says if those are more, and leaves them apart."""
+    most = max(partitions, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = {"spark.sql.shuffle.partitions": str(most), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def sweep(spark: SparkSession) -> None:
     """Drop the shuffle files of rounds whose rows are in a checkpoint: Spark does when the driver's JVM finds their frames unused, which may be long after."""
     gc.collect()

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, ordered, table
+from .common import cut, dealt, ordered, table
 
 #: Words of a k-mer.
 K = 2
@@ -43,6 +43,10 @@ TUPLES = 48
 #: Bits of a packed minimum that hold the place.
 PLACE = 28
 PLACES = (1 << PLACE) - 1
+#: Code points of a partition.
+PORTION = 1 << 22
+#: Places are under this.
+PART = 1 << 32
 #: From here on a packed minimum says that its half has no element.
 NONE = 1 << 62
 
@@ -92,14 +96,16 @@ def signatures(texts: DataFrame, by: list[str], k: int = K, tuples: int = TUPLES
     none = F.array().cast("array<bigint>")
     own, new = (F.coalesce(F.col(c), none) for c in ("own", "new"))
     each = split.select(*by, "shared", F.size(own).alias("n"), F.posexplode(F.concat(own, new)).alias("at", "kmer"))
-    part = F.when(F.col("at") < F.col("shared"), 0).when(F.col("at") < F.col("n"), 1).otherwise(2)
-    place = F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n") + F.col("shared"))
-    each = each.select(*by, part.alias("part"), place.alias("place"), "kmer")
+    # part (0: in both, 1: the text's own, 2: the edit's) and place in one number, which sorts
+    new_place = F.col("at") - F.col("n") + F.col("shared")
+    at = F.when(F.col("at") < F.col("shared"), F.col("at").cast("long")).when(F.col("at") < F.col("n"), F.col("at") + F.lit(PART)).otherwise(new_place + F.lit(2 * PART))
+    each = each.select(*by, "kmer", at.alias("at"))
     # an occurrence's number counts those before it in its own text
-    before = Window.partitionBy(*by, "kmer").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    counts = [F.sum(F.when(F.col("part") == p, 1).otherwise(0)).over(before) for p in range(3)]
-    number = counts[0] + F.when(F.col("part") == 0, 0).when(F.col("part") == 1, counts[1]).otherwise(counts[2])
-    each = each.select(*by, "part", F.col("place").cast("long").bitwiseAND(F.lit(PLACES)).alias("low"), F.xxhash64("kmer", number).alias("element"))
+    before = Window.partitionBy(*by, "kmer").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    part = F.shiftright("at", 32)
+    counts = [F.sum(F.when(part == p, 1).otherwise(0)).over(before) for p in range(3)]
+    number = counts[0] + F.when(part == 0, 0).when(part == 1, counts[1]).otherwise(counts[2])
+    each = each.select(*by, part.cast("int").alias("part"), F.col("at").bitwiseAND(F.lit(PLACES)).alias("low"), F.xxhash64("kmer", number).alias("element"))
     each = each.select(*by, "part", "low", *(F.xxhash64(F.col("element").bitwiseXOR(_seed(t))).alias(f"h{t}") for t in range(tuples)))
     halves = []
     for t in range(tuples):
@@ -172,7 +178,10 @@ def edited_fingerprints(docs: DataFrame, k: int = K, tuples: int = TUPLES) -> Da
     prints = signatures(texts, ["u", "v"], k, tuples).groupBy("u", "v").agg(of(False).alias("signature"), of(True).alias("edited_signature"))
     facts = texts.select("u", "v", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     prints = facts.join(prints, ["u", "v"], "left").withColumns({c: F.coalesce(c, wordless(tuples)) for c in ("signature", "edited_signature")})
-    prints = cut(prints)
+    # so many partitions that the k-mers of one are sorted in memory, whatever the session's number is
+    size = order.agg(F.coalesce(F.sum("n_chars"), F.lit(0))).first()[0]
+    with dealt(docs.sparkSession, -(-size // PORTION)):
+        prints = cut(prints)
     following = prints.select(F.col("u").alias("next_u"), F.col("v").alias("next_v"), F.col("signature").alias("next_signature"))
     result = prints.join(order.drop("n_chars"), ["u", "v"]).join(following, ["next_u", "next_v"])
     result = result.select(
