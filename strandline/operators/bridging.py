@@ -7,18 +7,19 @@ aggregation by (set, node) and a checkpoint.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from .iterate import components, cut, largest_component
+from .iterate import components, cut, fresh, largest_component
 
 
 def undirected(g: Graph) -> DataFrame:
-    """(node_id, other), each once, without loops."""
-    return g.both_ways().select("node_id", "other").where("node_id <> other").distinct()
+    """(node_id, other), each once, without loops; laid down, as every round reads them."""
+    return cut(g.both_ways().select("node_id", "other").where("node_id <> other").distinct())
 
 
 def in_main_component(nodes: DataFrame, pairs: DataFrame, terminals: DataFrame) -> DataFrame:
@@ -34,16 +35,18 @@ def distance_cells(pairs: DataFrame, terminals: DataFrame) -> DataFrame:
     A terminal owns itself at 0 hops, without a parent. A node's owner is the least of the
     owners one hop nearer, so one round settles all nodes of one distance.
     """
-    seen = cut(terminals.select("set", "node_id", F.col("node_id").alias("owner"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hops")).distinct())
-    front = seen
+    front = cut(terminals.select("set", "node_id", F.col("node_id").alias("owner"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hops")).distinct())
+    fronts = [front]
     for i in count(1):
         step = front.select("set", "node_id", "owner").join(pairs, "node_id").groupBy("set", F.col("other").alias("node_id"))
         step = step.agg(F.min(F.struct("owner", F.col("node_id").alias("parent"))).alias("x"))
-        step = step.join(seen.select("set", "node_id"), ["set", "node_id"], "left_anti")
+        # pairs are symmetric, so a node next to the last round's is of that round, the one before or new
+        for last in fronts[-2:]:
+            step = step.join(last.select("set", "node_id"), ["set", "node_id"], "left_anti")
         front = cut(step.select("set", "node_id", "x.owner", "x.parent", F.lit(i).alias("hops")))
         if front.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(front))
+            return reduce(DataFrame.unionByName, fronts)
+        fronts.append(front)
 
 
 def crossings(pairs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -67,16 +70,16 @@ def spanning_links(links: DataFrame) -> DataFrame:
     live, chosen = links, links.limit(0)
     while True:
         at = lambda end: label.select("set", F.col("node").alias(end), F.col("part").alias(f"p{end}"))
-        live = cut(live.drop("pa", "pb").join(at("a"), ["set", "a"]).join(at("b"), ["set", "b"]).where("pa <> pb"))
+        live = fresh(live.drop("pa", "pb").join(at("a"), ["set", "a"]).join(at("b"), ["set", "b"]).where("pa <> pb"))
         if live.isEmpty():
             return chosen.select(*links.columns)
         key = F.struct("weight", "a", "b")
         best = live.select("pa", key.alias("k")).unionByName(live.select(F.col("pb").alias("pa"), key.alias("k"))).groupBy("pa").agg(F.min("k").alias("k"))
-        picked = cut(live.join(best.select("pa", "k.*").withColumnRenamed("pa", "p").distinct(), ["weight", "a", "b"]).where("p = pa OR p = pb").drop("p").distinct())
+        picked = fresh(live.join(best.select("pa", "k.*").withColumnRenamed("pa", "p").distinct(), ["weight", "a", "b"]).where("p = pa OR p = pb").drop("p").distinct())
         chosen = cut(chosen.unionByName(picked.select(*links.columns)))
         parts = label.select(F.col("part").alias("node_id")).distinct()
         joined = components(parts, picked.select(F.col("pa").alias("src"), F.col("pb").alias("dst")))
-        label = cut(label.join(joined.withColumnRenamed("node_id", "part"), "part").select("set", "node", F.col("component").alias("part")))
+        label = fresh(label.join(joined.withColumnRenamed("node_id", "part"), "part").select("set", "node", F.col("component").alias("part")))
 
 
 def steiner_forest(pairs: DataFrame, terminals: DataFrame) -> DataFrame:
@@ -94,7 +97,7 @@ def steiner_forest(pairs: DataFrame, terminals: DataFrame) -> DataFrame:
     front = links.select("set", F.col("u").alias("node_id")).unionByName(links.select("set", F.col("v").alias("node_id"))).distinct()
     seen = front = cut(front)
     while True:
-        step = cut(front.join(up, ["set", "node_id"]))
+        step = fresh(front.join(up, ["set", "node_id"]))
         if step.isEmpty():
             return out.distinct()
         out = cut(out.unionByName(step.select("set", *edge("node_id", "parent"))))
@@ -138,10 +141,10 @@ def connected_seeds(pairs: DataFrame, values: DataFrame, coverage: float = COVER
     while not front.isEmpty():
         step = front.where("left > 0").join(pairs, "node_id").groupBy("set", F.col("other").alias("node_id"), (F.col("left") - 1).alias("left")).agg(F.min("by").alias("by"))
         old = reached.select("set", "node_id", "left", F.col("by").alias("old"))
-        step = cut(step.join(old, ["set", "node_id", "left"], "left").where("old IS NULL OR by < old").drop("old"))
+        step = fresh(step.join(old, ["set", "node_id", "left"], "left").where("old IS NULL OR by < old").drop("old"))
         hit = step.groupBy("set", "node_id").agg(F.min("by").alias("by"))
         new = able.join(hit, ["set", "node_id"]).where(F.col("by") < F.col("order")).drop("by").join(seeds.select("set", "node_id"), ["set", "node_id"], "left_anti")
-        new = cut(new.select("set", "node_id", "value", "order"))
+        new = fresh(new.select("set", "node_id", "value", "order"))
         seeds = cut(seeds.unionByName(new))
         front = cut(step.unionByName(new.select("set", "node_id", F.lit(hops).alias("left"), F.col("order").alias("by"))).groupBy("set", "node_id", "left").agg(F.min("by").alias("by")))
         reached = cut(reached.unionByName(front).groupBy("set", "node_id", "left").agg(F.min("by").alias("by")))

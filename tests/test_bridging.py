@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.operators import bridging as br
 
@@ -135,3 +136,20 @@ def test_seeds_as_in_turn(spark, coverage, dropoff, hops):
     got = br.connected_seeds(spark.createDataFrame(pairs, PAIR), spark.createDataFrame(rows, "set string, node_id string, value double"), coverage, dropoff, hops).collect()
     assert {(r["set"], r["node_id"]) for r in got} == want and len(got) == len(want)
     assert br.connected_seeds(spark.createDataFrame(pairs, PAIR), spark.createDataFrame([], "set string, node_id string, value double")).collect() == []
+
+
+def test_each_cell_is_laid_down_once(spark, monkeypatch):
+    laid, cut = [], br.cut
+    monkeypatch.setattr(br, "cut", lambda d: (r := cut(d), laid.append(r.count()))[0])
+    pairs = spark.createDataFrame(both([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")]), PAIR)
+    got = br.distance_cells(pairs, spark.createDataFrame([("s", "a"), ("t", "c")], TERM)).collect()
+    assert len(got) == 10 and sum(laid) == 10
+
+
+def test_estimates_of_size_do_not_pile_up(spark):
+    from strandline.operators import iterate
+
+    d = spark.range(3).withColumnRenamed("id", "node_id")
+    for _ in range(6):
+        d = iterate.fresh(d.join(d.withColumnRenamed("node_id", "x"), F.col("node_id") == F.col("x")).select("node_id"))
+    assert d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
