@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import factors
 from ..operators import models as md
 from ..operators import scoring as sc
+from ..operators.iterate import cut
 from ..sources import annotate as an
 from . import demo
 from .catalogue import query
@@ -135,7 +136,7 @@ def multiblock_loadings(spark, sf):
 @query(None)
 def matched_null(spark, sf):
     g = demo.graph(spark, sf)
-    d = g.reaction_degree().withColumnRenamed("degree", "value")
+    d = cut(g.reaction_degree().withColumnRenamed("degree", "value"))  # for candidates, cuts, sizes and places
     q = d.join(g.currency_nodes().select("node_id"), "node_id", "left_semi")
     return md.matched_null(d, q, draws=50)
 
