@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, dealt, ordered, table
+from .common import cut, dealt, ordered, sweep, table
 
 #: Words of a k-mer.
 K = 2
@@ -173,6 +173,7 @@ def fingerprints(docs: DataFrame, k: int = K, tuples: int = TUPLES) -> DataFrame
 def edited_fingerprints(docs: DataFrame, k: int = K, tuples: int = TUPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     order = followed(docs)
+    sweep(docs.sparkSession)  # its exchanges are not kept beside those of the texts
     texts = with_edits(docs, order)
     of = lambda edited: F.first(F.when(F.col("is_edit") == edited, F.col("signature")), ignorenulls=True)
     prints = signatures(texts, ["u", "v"], k, tuples).groupBy("u", "v").agg(of(False).alias("signature"), of(True).alias("edited_signature"))
@@ -182,6 +183,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, tuples: int = TUPLES) -> Da
     size = order.agg(F.coalesce(F.sum("n_chars"), F.lit(0))).first()[0]
     with dealt(docs.sparkSession, -(-size // PORTION)):
         prints = cut(prints)
+    sweep(docs.sparkSession)  # nor those of the texts beside those of what follows
     following = prints.select(F.col("u").alias("next_u"), F.col("v").alias("next_v"), F.col("signature").alias("next_signature"))
     result = prints.join(order.drop("n_chars"), ["u", "v"]).join(following, ["next_u", "next_v"])
     result = result.select(
