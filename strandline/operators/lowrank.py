@@ -24,6 +24,8 @@ from .iterate import cut
 
 #: More axes than wanted are kept: what is left out then matters less.
 SPARE = 8
+#: Up to so many nodes a sketch keeps as many axes as nodes: then it leaves nothing out, and no round is needed.
+WHOLE = 512
 #: Patients that a task takes into its sketch at once, and sketches that one task merges.
 CHUNK, FAN = 64, 8
 #: Rounds at most, and the relative change of variances at which they stop.
@@ -137,7 +139,7 @@ def axes(x: DataFrame, k: int, spare: int = SPARE) -> tuple[DataFrame, DataFrame
     if row[0] is None:
         return none
     width, n = int(row[0]) + 1, int(row[1])
-    rank = min(k + spare, width)
+    rank = width if width <= WHOLE else k + spare
     s = sketch(x, rank, width)
     lost = s.agg(F.sum("lost")).first()[0]
     sums = x.groupBy("node").agg((F.sum("value") / n).alias("mean"), F.sum(F.col("value") * F.col("value")).alias("sq"))
