@@ -13,11 +13,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import mixing, packing, quality, similar, toxicity
-from strandline.llm.common import checkpoint_dir, shipped
+from strandline.llm.common import checkpoint_dir, frugal
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shipped(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    return frugal(spark).read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def without_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: the one of the smallest doc_id, once if repeated. Texts without words are one group."""
-    shipped(spark)
+    frugal(spark)
     return similar.deduplicated(docs)
 
 
@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with the sequence and the offset of each; an empty document is one piece, its end mark."""
-    shipped(spark)
+    frugal(spark)
     return packing.packed(docs)
 
 
@@ -68,7 +68,7 @@ def _drop(spark: SparkSession, path: str) -> None:
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents. The rows between two stages lie in the shared checkpoint folder until the next are written;
     those before the last stage stay there, as its rows are read from them."""
-    checkpoint_dir(shipped(spark))
+    checkpoint_dir(frugal(spark))
     folder = f"{spark.sparkContext.getCheckpointDir()}/stages-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):

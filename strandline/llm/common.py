@@ -28,6 +28,14 @@ def shipped(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def frugal(spark: SparkSession) -> SparkSession:
+    """``shipped``, and workers that give freed memory back to the system, where stages of different needs follow each other on the same executors."""
+    env = spark.sparkContext.environment
+    for k, v in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "1"), ("MALLOC_TRIM_THRESHOLD_", "131072")):
+        env.setdefault(k, v)
+    return shipped(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -137,13 +137,17 @@ def _within(a: str, b: str, n: int, most: int) -> Column:
     return F.greatest(*diffs) <= most
 
 
+def pivot_cells(fp: str) -> Column:
+    """A cell for each two of four blocks: fingerprints within two bits agree in the distances to the single-bit references of two blocks, which are the blocks' bits."""
+    block = [F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    return F.array(*(F.lit(n).cast("long") * (1 << 32) + block[i] * 65536 + block[j] for n, (i, j) in enumerate(pairs)))
+
+
 def links(fps: DataFrame, crowd: int = CROWD, spread: int = SPREAD) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` whose components are those of all pairs within two bits."""
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    cells = [(F.lit(n).cast("long") * (1 << 32) + block[i] * 65536 + block[j]).alias(f"c{n}") for n, (i, j) in enumerate(pairs)]
     t = pivot_table(fps, spread)
-    t = cut(t.select("*", F.explode(F.array(*cells)).alias("cell")))
+    t = cut(t.select("*", F.explode(pivot_cells("fp")).alias("cell")))
     size = t.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut(t.join(size, "cell"))
     few = shared.where(F.col("size") <= crowd)

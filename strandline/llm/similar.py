@@ -1,6 +1,8 @@
 """Near-duplicates by five-word shingles: documents whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-Documents of equal shingle sets make one class. Candidates are classes that share one
+Documents of equal shingle sets make one class. Candidates are classes whose distances to
+the single-bit references of two of four blocks of the fingerprint are equal (the pivot
+tables of ``simhash``: all pairs within two bits), and, as pairs of 0.8 differ by more, classes that share one
 of ``BANDS`` keys, each of ``ROWS`` minima of the set under pseudo-random orders; two
 sets of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS (0.998 at 0.8,
 0.9999997 at 0.9). Of those, pairs go whose sizes say that they can't reach 0.8; pairs
@@ -10,9 +12,8 @@ five deviations more; and pairs that agree in fewer than ``AGREE`` of the 80 min
 byte of each is kept), where 0.8 means 64 and 52 is 3.4 deviations less (a chance of
 0.0003). Survivors are verified on their whole shingle sets.
 
-Two bits, which pivot tables of fingerprints can search alone, hold next to none of
-these pairs, and at the 17 bits needed pivots discard too little to choose candidates:
-so minima choose them, and pivots and fingerprints discard.
+Pivot tables find every pair within two bits. Pairs of 0.8 differ by 17 bits and more, where pivots discard too little
+to choose alone: so minima add candidates, and pivots and fingerprints discard among all.
 
 Keys with the same first member (see below) are one. No group makes all its pairs. In each round the first members of every key (1, then 16
 times as many) are compared with its members of other components and, being compared
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 
 from . import textops as tx
 from .common import components, cut, sweep
-from .simhash import majority, pivot_table
+from .simhash import majority, pivot_cells, pivot_table
 
 SHINGLE = 5
 ALIKE = 0.8
@@ -206,7 +207,7 @@ def _leaders(cells: DataFrame, leaders: int) -> DataFrame:
 def _hubs(cells: DataFrame) -> DataFrame:
     """Cells of the same first member as one cell, named by it: a group of near copies shares many keys, and its members are sent once for all of them.
 
-    That member is in all of the ``BANDS`` keys at most, so a cell grows no further, and what was compared in one of them still is.
+    That member is in all of the ``BANDS`` keys and six pivot cells at most, so a cell grows no further, and what was compared in one of them still is.
     """
     first = cells.groupBy("cell").agg(F.min(F.struct((-F.col("middle")).alias("m"), "cls")).alias("first"))
     return cells.join(first, "cell").select(F.col("first.cls").alias("cell"), "cls", "middle", "root").distinct()
@@ -230,7 +231,7 @@ def _links(cells: DataFrame, lead: DataFrame, told: DataFrame) -> DataFrame:
 def roots(c: DataFrame, docs: DataFrame) -> DataFrame:
     """cls and root (the smallest cls of its component) of classes that are alike to others."""
     empty = c.select("cls", F.col("cls").alias("root")).limit(0)
-    keyed = c.select("cls", F.explode("bands").alias("cell"))
+    keyed = c.where(F.size("bands") > 0).select("cls", F.explode(F.concat("bands", F.transform(pivot_cells("fp"), lambda x: F.xxhash64(x)))).alias("cell"))
     shared = keyed.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
     keyed = cut(keyed.join(shared, "cell"))
     middle = cut(keyed.groupBy("cls").agg(F.sum("size").alias("middle")))

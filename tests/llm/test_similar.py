@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import similar
 from strandline.llm import textops as tx
@@ -85,3 +86,14 @@ def test_recall_on_the_table(spark):
     got = {r["doc_id"] for r in similar.deduplicated(docs).select("doc_id").collect()}
     want = set(brute_roots(rows).values())
     assert want <= got and len(got) <= len(want) + 0.01 * (len(rows) - len(want))
+
+
+def test_pivot_cells_choose_candidates(spark):
+    """Pairs within two bits are found by the pivot tables alone: no two classes share a key of minima here."""
+    text = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "something else that is like neither of these texts at all")], "doc_id long, text string")
+    bands = F.transform(F.col("bands"), lambda b: F.xxhash64(b, "cls"))
+    lone = similar.classes(docs).withColumn("bands", bands)
+    fps = [r["fp"] for r in lone.where("n > 100").collect()]
+    assert ((fps[0] ^ fps[1]) & (2**64 - 1)).bit_count() <= 2
+    assert len({r["root"] for r in similar.roots(lone, docs).collect()}) == 1
