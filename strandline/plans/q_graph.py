@@ -206,9 +206,8 @@ FROM scores s LEFT JOIN (SELECT reaction_id, min(gate) AS lo, exp(avg(ln(gate)))
 """)
 def enzyme_gate(spark, sf):
     g, e = demo.graph(spark, sf), demo.evidence(spark, sf)
-    gated = sc.apply_gate(sc.score_reactions(g, e), sc.enzyme_gate(g, e))
-    both = gated.join(sc.enzyme_gate(g, e, combine="mean").withColumnRenamed("gate", "geometric"), "reaction_id", "left")
-    return sc.rounded(both.select("reaction_id", "gate", "gated_score", "geometric"))
+    gated = sc.apply_gate(sc.score_reactions(g, e), sc.enzyme_gate(g, e, also=("mean",)))
+    return sc.rounded(gated.select("reaction_id", "gate", "gated_score", F.col("mean").alias("geometric")))
 
 
 _DRUGS = """
