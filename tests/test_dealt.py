@@ -36,12 +36,12 @@ def test_details_are_collected_once(spark, sf):
 def test_intervals_read_their_rows_once(spark):
     rng = np.random.default_rng(0)
     d = [(f, float(rng.integers(9)), bool(rng.random() > 0.6)) for f in range(5) for _ in range(40)]
-    d += [(5, 1.0, True), (5, 2.0, True), (6, 1.0, False), (7, 1.0, True), (7, 1.0, False), (7, None, True), (8, 3.0, None)]
+    d += [(5, 1.0, True), (5, 2.0, True), (6, 1.0, False), (7, 1.0, True), (7, 1.0, False), (7, None, True), (8, 3.0, None), (None, 1.0, True), (None, 2.0, False)]
     got = models.delong(spark.createDataFrame(d, "f long, v double, y boolean").repartition(3, "f"), ["f"], "v", "y")
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
     got = {r["f"]: (r["auc"], r["se"]) for r in got.collect()}
-    assert got.keys() == {0, 1, 2, 3, 4, 7}  # the others have one class
+    assert got.keys() == {0, 1, 2, 3, 4, 7, None}  # the others have one class; a null is a key, as in SQL
     for f in got:
         own = [(v, y) for g, v, y in d if g == f and v is not None]
         a, b = (np.array([v for v, y in own if y == k]) for k in (True, False))
