@@ -20,7 +20,7 @@ ROUNDS = 12
 
 def _ground(spark, sf):
     g = demo.graph(spark, sf)
-    return it.restricted(g, ["metabolite", "reaction"], 10**9)
+    return it.restricted(g, ["metabolite", "reaction"])
 
 
 def _terminals(spark, sf):
