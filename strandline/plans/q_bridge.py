@@ -42,7 +42,7 @@ c{i} AS MATERIALIZED (SELECT * FROM c{i - 1} UNION ALL SELECT c.s, p.other, min(
 
 @query(_cells_sql() + f'SELECT s AS "set", node_id, owner, hops FROM c{ROUNDS}')
 def distance_cells(spark, sf):
-    return br.distance_cells(br.undirected(_ground(spark, sf)), _terminals(spark, sf)).drop("parent")
+    return br.distance_cells(br.undirected(_ground(spark, sf)), _terminals(spark, sf), parents=False)
 
 
 # the weight of a minimum spanning forest is, over all thresholds, the sum of parts that still wait to be linked
@@ -57,7 +57,7 @@ SELECT s AS "set", (SELECT count(*) FROM c0 WHERE c0.s = parts.s) AS n_terminals
 """)
 def spanning_weights(spark, sf):
     pairs, t = br.undirected(_ground(spark, sf)), _terminals(spark, sf)
-    links = br.spanning_links(br.crossings(pairs, br.distance_cells(pairs, t)))
+    links = br.spanning(pairs, t)
     n = t.groupBy("set").agg(F.count("*").alias("n_terminals"))
     w = links.groupBy("set").agg(F.count("*").alias("links"), F.sum("weight").alias("weight"))
     d = n.join(w, "set", "left")
@@ -68,8 +68,9 @@ def spanning_weights(spark, sf):
 def steiner_nodes(spark, sf):
     g = _ground(spark, sf)
     pairs = br.undirected(g)
-    t = br.in_main_component(g.nodes, pairs, _terminals(spark, sf))
-    return br.steiner_nodes(br.steiner_forest(pairs, t), t)
+    at = br.placed(pairs, g.nodes)
+    t = br.in_main_component(g.nodes, pairs, _terminals(spark, sf), at)
+    return br.steiner_nodes(br.steiner_forest(pairs, t, at), t)
 
 
 @query("""
