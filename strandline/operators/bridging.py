@@ -41,7 +41,7 @@ def placed(pairs: DataFrame, more: DataFrame) -> Tiles:
     """The nodes of symmetric pairs and of ``more`` in blocks, with their neighbours."""
     idx = tiles.cut(node_index(pairs.select("node_id").unionByName(more.select("node_id"))))
     at = lambda c, name: idx.select(F.col("node_id").alias(c), F.col("idx").alias(name))
-    e = pairs.where("node_id < other").distinct().join(at("node_id", "a"), "node_id").join(at("other", "b"), "other")
+    e = pairs.where("node_id < other").join(at("node_id", "a"), "node_id").join(at("other", "b"), "other")
     return tiles.blocked(tiles.laid(e.select("a", "b", F.lit(1.0).alias("w"))), idx)
 
 

@@ -85,3 +85,29 @@ def test_long_chains_are_one_component(spark, monkeypatch):
     t = spark.createDataFrame([("s", "n00"), ("s", "n20"), ("s", "z1"), ("s", "nowhere")], TERM)
     got = br.in_main_component(pairs.select("node_id").distinct(), pairs, t)
     assert sorted(map(tuple, got.collect())) == [("s", "n00"), ("s", "n20")]
+
+
+def test_ranks_leave_one_state(spark):
+    """Before, each round's checkpoint stayed; edges of one direction, a node that leads nowhere, nodes apart."""
+    folder = iterate._folder(spark).removeprefix("file:")
+    e = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "b"), ("d", "a"), ("a", "e"), ("a", "b")]
+    nodes = [(x,) for x in "abcdez"]
+    before = len(glob.glob(f"{folder}/rdd-*"))
+    got = {r["node_id"]: r["rank"] for r in iterate.pagerank(spark.createDataFrame(nodes, "node_id string"), spark.createDataFrame(e, "src string, dst string"), fixed=9).collect()}
+    m, ids = np.zeros((6, 6)), "abcdez"
+    for a, b in set(e):
+        m[ids.index(b), ids.index(a)] = 1
+    out, rank = m.sum(0), np.full(6, 1 / 6)
+    for _ in range(9):
+        rank = 0.15 / 6 + 0.85 * (m @ (rank / np.maximum(out, 1)) + rank[out == 0].sum() / 6)
+    assert np.allclose([got[x] for x in ids], rank, atol=1e-15) and len(glob.glob(f"{folder}/rdd-*")) <= before + 4
+
+
+def test_correlations_in_turns(spark):
+    from strandline.operators import models
+
+    rng = np.random.default_rng(3)
+    x = spark.createDataFrame([(s, f"f{f:02}", float(rng.integers(0, 4) + (f % 3) * s)) for s in range(9) for f in range(12) if rng.random() < 0.7], "sample_id long, feature_id string, value double")
+    rows = lambda d: sorted((a, b, round(r, 12)) for a, b, r in d.collect())
+    want = rows(models.correlation_edges(x))
+    assert rows(models.correlation_edges(x, pairs=8, turn=60)) == want and len(want) > 5
