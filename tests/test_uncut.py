@@ -30,3 +30,11 @@ def test_leading_edges_are_whole(spark):
     m = r.where("score > 60").select(F.lit("s").alias("pathway_id"), "node_id")
     got = enrichment.preranked(m, r).first()
     assert got["leading_edge"] == ",".join(f"n{i:02}" for i in range(40))
+
+
+def test_members_are_laid_down_as_places(spark, monkeypatch):
+    kept, laid = [], enrichment.laid
+    monkeypatch.setattr(enrichment, "laid", lambda d: (kept.append(d.columns), laid(d))[1])
+    r = spark.range(9).select(F.format_string("n%02d", "id").alias("node_id"), (100 - F.col("id")).cast("double").alias("score"))
+    got = enrichment.preranked(r.select(F.lit("s").alias("pathway_id"), "node_id").limit(4), r).first()
+    assert got["n_hits"] == 4 and kept and all("node_id" not in c for c in kept)
